@@ -1,0 +1,5 @@
+"""Nothing here: every job of this package is a batch job.
+
+The folder is kept so that a later incremental ingest has a home; no operator
+in scope has stream semantics (no watermarks, windows or stateful operators).
+"""
