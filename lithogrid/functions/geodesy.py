@@ -96,7 +96,9 @@ def _project_batch(lon: pa.Array, lat: pa.Array, lon0: pa.Array, lat0: pa.Array)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _METRES = T.StructType([T.StructField(axis, T.ArrayType(T.DoubleType())) for axis in ("x", "z")])
-_project = arrow_udf(_project_batch, _METRES)
+# Not marked deterministic, so that the optimizer neither repeats the call nor
+# moves filters on its result below it.
+_project = arrow_udf(_project_batch, _METRES).asNondeterministic()
 
 
 def project(lon: Column, lat: Column, lon0: Column, lat0: Column) -> Column:

@@ -18,7 +18,7 @@ DEFAULT_KIND = "structure"
 
 # Order of the fatal checks within one feature.
 FEATURE_STAGE = 5
-UNREGISTERED, UNREADABLE_GEOMETRY, BAD_WIDTH, BAD_ELEVATION = 1, 2, 4, 5
+UNREGISTERED, UNREADABLE_GEOMETRY, BAD_WIDTH, BAD_ELEVATION, OUT_OF_REACH = 1, 2, 4, 5, 6
 
 
 def resolve_evidence(features: DataFrame) -> DataFrame:
@@ -91,6 +91,13 @@ def with_fatal_check(features: DataFrame) -> DataFrame:
     )
 
 
+def with_reach_check(checked: DataFrame) -> DataFrame:
+    """Usable features with a vertex whose geodesic from the centre is not determined."""
+    return checked.withColumn("fatal", F.when(
+        F.col("fatal").isNull() & F.col("error").isNull() & F.col("unreachable"), OUT_OF_REACH
+    ).otherwise(F.col("fatal")))
+
+
 def feature_violations(checked: DataFrame) -> DataFrame:
     """Fatal features in the form of the other gates."""
     name = F.coalesce("id", F.concat(F.lit("#"), F.col("pos").cast("string")))
@@ -98,6 +105,7 @@ def feature_violations(checked: DataFrame) -> DataFrame:
         F.when(F.col("fatal") == UNREGISTERED, F.concat(F.lit("Feature "), name, F.lit(" has no registered source")))
         .when(F.col("fatal") == UNREADABLE_GEOMETRY, F.concat(F.lit("Unreadable geometry on "), name))
         .when(F.col("fatal") == BAD_WIDTH, F.concat(F.lit("Invalid width on "), name))
+        .when(F.col("fatal") == OUT_OF_REACH, F.concat(F.lit("Vertex opposite the area on "), name))
         .otherwise(F.concat(F.lit("Invalid elevation or height on "), name))
     )
     return checked.filter("fatal IS NOT NULL").select(

@@ -28,13 +28,14 @@ def with_outline(features: DataFrame) -> DataFrame:
 def project_in_row(framed: DataFrame, max_edges: int = MAX_EDGES_IN_ROW) -> DataFrame:
     """Add ``x`` and ``z``: metre arrays over the vertices of all rings in order.
 
-    Empty for features with more than ``max_edges`` edges.
+    Empty for features that are not ``usable``, and for those with more than
+    ``max_edges`` edges.
     """
-    def flat(field: str):
-        return F.expr(f"CASE WHEN n_edges <= {max_edges} AND NOT malformed THEN flatten(rings.{field}) "
+    def vertices(field: str):
+        return F.expr(f"CASE WHEN usable AND n_edges <= {max_edges} THEN flatten(rings.{field}) "
                       "ELSE cast(array() AS array<double>) END")
 
-    flat = framed.select("*", flat("lon").alias("_lon"), flat("lat").alias("_lat"))
+    flat = framed.select("*", vertices("lon").alias("_lon"), vertices("lat").alias("_lat"))
     projected = flat.withColumn("_p", project(F.col("_lon"), F.col("_lat"), F.col("lon0"), F.col("lat0")))
     return projected.select("*", "_p.x", "_p.z").drop("_lon", "_lat", "_p")
 
@@ -62,9 +63,10 @@ exists(edges, e -> {planar.STARTS_INSIDE}) OR exists(edges, e -> {planar.MEETS_A
 OR ({_CORNER_INSIDE})"""
 
 
-def touches_area(with_edges: DataFrame) -> DataFrame:
+def touches_area(projected: DataFrame) -> DataFrame:
     """Add ``in_area``: the clipped geometry is not empty."""
-    return with_edges.withColumn("in_area", F.coalesce(F.expr(_TOUCHES_AREA), F.lit(False)))
+    touches = f"size(x) > 0 AND {planar.let('edges', _EDGES, _TOUCHES_AREA)}"
+    return projected.withColumn("in_area", F.coalesce(F.expr(touches), F.lit(False)))
 
 
 # --- large features -----------------------------------------------------------------------------
@@ -94,7 +96,7 @@ def chunk_edges(framed: DataFrame, chunk: int = CHUNK_VERTICES) -> DataFrame:
 
 
 def large_contact(edges: DataFrame) -> DataFrame:
-    """Per large feature: ``in_area`` as for small ones, and ``reachable``."""
+    """Per large feature: ``in_area`` as for small ones, and ``unreachable``."""
     meets = edges.withColumn("f", F.expr(planar.SIDE_VALUES)).withColumn("t", F.expr(planar.INSIDE_RANGE))
     below = f"geom_type IN ('Polygon', 'MultiPolygon') AND ({planar.crosses('qx[0]')})"
     under = F.expr(f"CASE WHEN {below} AND {planar.crossing_z('qx[0]')} < qz[0] THEN 1 ELSE 0 END")
@@ -102,6 +104,6 @@ def large_contact(edges: DataFrame) -> DataFrame:
         meets.groupBy("area_id", "pos")
         .agg(F.bool_or(F.coalesce(F.expr("t.t0 <= t.t1"), F.lit(False))).alias("meets"),
              (F.sum(under) % 2 == 1).alias("around"),
-             (~F.bool_or(F.isnan("e.x1") | F.isnan("e.x2"))).alias("reachable"))
-        .select("area_id", "pos", (F.col("meets") | F.col("around")).alias("in_area"), "reachable")
+             F.bool_or(F.isnan("e.x1") | F.isnan("e.x2")).alias("unreachable"))
+        .select("area_id", "pos", (F.col("meets") | F.col("around")).alias("in_area"), "unreachable")
     )

@@ -165,38 +165,34 @@ _TWICE = f"""size(array_distinct(transform({_MEETINGS}, h -> struct(h.ga, h.gb,
   > size(array_distinct(transform({_MEETINGS}, h -> struct(h.ga, h.gb))))"""
 
 
+# All values a verdict needs are bound inside one expression: as columns they
+# would be copied into every filter the optimizer pushes down.
+_FEW = f"get(filter(points, d -> size(d.x) < CASE WHEN {_AREAL} THEN 4 ELSE 2 END), 0)"
+_RING_VERDICT = let("c", f"array_min(filter(hits, h -> h.code < {_RINGS_MEET}))", f"""CASE
+  WHEN c.code = {_CROSSING} THEN {_at(SELF_INTERSECTION, 'c.x', 'c.y')}
+  WHEN c.code = {_RING_TOUCH} THEN {_at(RING_SELF_INTERSECTION, 'c.x', 'c.y')}
+  WHEN size(points) > 1 THEN coalesce(
+    {let('w', _OUTSIDE, _at(HOLE_OUTSIDE, 'w.x1', 'w.y1'))},
+    {let('w', _IN_HOLE, _at(NESTED_HOLES, 'w.x1', 'w.y1'))},
+    {let('w', _IN_SHELL, _at(NESTED_SHELLS, 'w.x1', 'w.y1'))},
+    CASE WHEN {_TWICE} THEN {let('w', f'array_min({_MEETINGS})', _at(DISCONNECTED, 'w.x', 'w.y'))} END)
+  END""")
+_AREAL_VERDICT = let("edges", _EDGES, let("hits", _HITS, _RING_VERDICT))
+
+
 def check_in_row(features: DataFrame, max_edges: int) -> DataFrame:
     """Add ``error``: why the geometry is empty or invalid, null when it is neither.
 
-    Polygons with more than ``max_edges`` edges keep null here; see
-    :func:`check_large`.
+    Polygons with more than ``max_edges`` edges are only checked for points
+    here; see :func:`check_large`.
     """
-    small = f"{_AREAL} AND n_edges <= {max_edges}"
-    pointed = features.withColumn("points", F.expr(
-        f"CASE WHEN malformed OR n_edges = 0 OR NOT (({small}) OR {_LINEAR}) "
-        f"THEN filter({_POINTS}, d -> false) ELSE {_POINTS} END"))
-    edged = pointed.withColumn("edges", F.expr(f"CASE WHEN {small} THEN {_EDGES} ELSE filter({_EDGES}, e -> false) END"))
-    met = edged.withColumn("hits", F.expr(_HITS))
-    few = (f"get(filter(points, d -> size(d.x) < CASE WHEN {_AREAL} THEN 4 ELSE 2 END), 0)")
-    judged = met.select(
-        "*",
-        F.expr(few).alias("_few"),
-        F.expr(f"array_min(filter(hits, h -> h.code < {_RINGS_MEET}))").alias("_cross"),
-        F.expr("exists(points, d -> d.ring > 0)").alias("_holes"),
-        F.expr("exists(points, d -> d.part > 0)").alias("_parts"),
-    )
-    reason = f"""CASE
+    verdict = let("points", _POINTS, let("few", _FEW, f"""CASE
+      WHEN few IS NOT NULL THEN {_at(TOO_FEW_POINTS, 'few.x[0]', 'few.y[0]')}
+      WHEN {_AREAL} AND n_edges <= {max_edges} THEN {_AREAL_VERDICT} END"""))
+    return features.withColumn("error", F.expr(f"""CASE
       WHEN malformed THEN NULL
       WHEN n_edges = 0 THEN '{EMPTY}'
-      WHEN _few IS NOT NULL THEN {_at(TOO_FEW_POINTS, '_few.x[0]', '_few.y[0]')}
-      WHEN _cross.code = {_CROSSING} THEN {_at(SELF_INTERSECTION, '_cross.x', '_cross.y')}
-      WHEN _cross.code = {_RING_TOUCH} THEN {_at(RING_SELF_INTERSECTION, '_cross.x', '_cross.y')}
-      WHEN _holes AND {_OUTSIDE} IS NOT NULL THEN {let('w', _OUTSIDE, _at(HOLE_OUTSIDE, 'w.x1', 'w.y1'))}
-      WHEN _holes AND {_IN_HOLE} IS NOT NULL THEN {let('w', _IN_HOLE, _at(NESTED_HOLES, 'w.x1', 'w.y1'))}
-      WHEN _parts AND {_IN_SHELL} IS NOT NULL THEN {let('w', _IN_SHELL, _at(NESTED_SHELLS, 'w.x1', 'w.y1'))}
-      WHEN {_TWICE} THEN {let('w', f"array_min({_MEETINGS})", _at(DISCONNECTED, 'w.x', 'w.y'))}
-      END"""
-    return judged.select(*features.columns, F.expr(reason).alias("error"))
+      WHEN {_AREAL} OR {_LINEAR} THEN {verdict} END"""))
 
 
 # --- large polygons -----------------------------------------------------------------------------

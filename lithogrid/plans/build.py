@@ -79,32 +79,27 @@ def prepare(features: DataFrame, framed: DataFrame, registry: DataFrame,
     """Everything a feature's own row decides, in one narrow pass.
 
     Adds evidence, registration, the frame of its area, layers, the validity
-    of small geometry, projected vertices and contact with the area. Large
-    features keep ``rings`` for the jobs that spread their edges.
+    of small geometry, projected vertices and whether it is accepted. Large
+    features keep ``rings`` for the jobs that spread their edges and are not
+    accepted yet.
     """
     parsed = parse_geometry(features) if "geometry" in features.columns else features
     read = evidence.resolve_evidence(parsed)
     registered = evidence.with_registration(read, registry, broadcast=broadcast)
     outlined = local_geometry.with_outline(area_ops.attach_frame(registered, framed, broadcast=broadcast))
-    judged = validity.check_in_row(outlined, max_edges)
-    edged = local_geometry.edges_in_row(local_geometry.project_in_row(judged, max_edges))
-    placed = raster.with_layers(local_geometry.touches_area(edged))
+    judged = evidence.with_fatal_check(validity.check_in_row(outlined, max_edges))
+    usable = judged.withColumn("usable", F.expr("fatal IS NULL AND error IS NULL"))
+    projected = local_geometry.project_in_row(usable, max_edges)
+    placed = raster.with_layers(local_geometry.touches_area(projected))
     return placed.select(
         "area_id", "pos", "id", "has_id", "properties", "geom_type", "malformed", "outline", "n_edges",
         F.expr(f"CASE WHEN n_edges > {max_edges} THEN rings END").alias("rings"),
         F.col("source_id").alias("source"), "kind", "registered", "thick", "width", "base", "height",
-        "assumptions", "error", "x", "z", "in_area",
-        F.expr("NOT exists(x, v -> isnan(v))").alias("reachable"),
+        "assumptions", "error", "fatal", "x", "z", F.col("in_area").alias("accepted"),
+        F.expr("exists(x, v -> isnan(v))").alias("unreachable"),
         "y0", "y1", *area_ops.FRAME)
 
 
-def accept(prepared: DataFrame) -> DataFrame:
-    """Add ``fatal`` and ``accepted``; needs final ``error`` and ``in_area``."""
-    checked = evidence.with_fatal_check(prepared)
-    return checked.withColumn(
-        "accepted", F.col("fatal").isNull() & F.col("error").isNull() & F.col("in_area"))
-
-
 def small_spans(features: DataFrame, keep: list[str]) -> DataFrame:
     """Spans of small accepted features, without a shuffle."""
     edged = local_geometry.edges_in_row(features.filter("accepted"))
@@ -128,14 +123,18 @@ def _with_large(prepared: DataFrame, work: Workspace) -> DataFrame:
     large = prepared.filter(f"n_edges > {MAX_EDGES_IN_ROW}")
     if large.isEmpty():
         return small
-    sound = large.filter("NOT malformed")
-    in_row = sound.select("area_id", "pos", "error").filter("error IS NOT NULL")
-    joined_up = validity.check_large(sound.filter(f"{_AREAL} AND error IS NULL"), work.save)
-    errors = work.save(in_row.unionByName(joined_up), "large-errors")
+    sound = large.filter("NOT malformed AND error IS NULL")
+    errors = work.save(validity.check_large(sound.filter(_AREAL), work.save), "large-errors")
     contact = work.save(local_geometry.large_contact(local_geometry.chunk_edges(sound)), "large-contact")
-    known = large.drop("error", "in_area", "reachable").join(errors, ["area_id", "pos"], "left").join(
-        contact, ["area_id", "pos"], "left").fillna({"in_area": False, "reachable": True})
-    return small.unionByName(known.select(*small.columns))
+    known = (
+        large.withColumnRenamed("error", "_early").drop("fatal", "accepted", "unreachable")
+        .join(errors, ["area_id", "pos"], "left").join(contact, ["area_id", "pos"], "left")
+        .withColumn("error", F.coalesce("_early", "error"))
+        .fillna({"in_area": False, "unreachable": False})
+    )
+    judged = evidence.with_fatal_check(known).withColumn(
+        "accepted", F.expr("fatal IS NULL AND error IS NULL AND in_area"))
+    return small.unionByName(judged.select(*small.columns))
 
 
 def _with_names(checked: DataFrame, work: Workspace) -> DataFrame:
@@ -179,7 +178,7 @@ def build(
     usable = framed.join(found.select("area_id").distinct(), "area_id", "left_anti")
 
     prepared = work.save(prepare(features, usable, registry), "prepared")
-    checked = accept(_with_large(prepared, work))
+    checked = evidence.with_reach_check(_with_large(prepared, work))
     broken = work.save(evidence.feature_violations(checked), "feature-violations")
     if not skip:
         raise_first(broken)

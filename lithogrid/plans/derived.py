@@ -124,3 +124,252 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.size("v") > 1, "LineString").otherwise("Point").alias("geom_type"),
         F.expr("array(named_struct('part', 0, 'ring', 0, 'lon', v.lon, 'lat', v.lat))").alias("rings"),
         F.lit(False).alias("malformed"))
+
+
+# --- footprints with gaps in their evidence -----------------------------------------------------
+
+def patchy_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footprints that lack a height (negative balance) or a base (every fifth)."""
+    rows = footprints(spark, sf_dir)
+    balances = tables(spark, sf_dir, "customer")["customer"].select(
+        F.col("c_custkey").alias("pos"), (F.col("c_acctbal") < 0).alias("poor"))
+    kept = F.struct(
+        F.try_variant_get("properties", "$.source_id", "string").alias("source_id"),
+        F.lit("building").alias("kind"),
+        F.when(~F.col("poor"), F.try_variant_get("properties", "$.height_m", "double")).alias("height_m"),
+        F.when(F.col("pos") % 5 != 0, F.try_variant_get("properties", "$.base_elevation_m", "double"))
+        .alias("base_elevation_m"))
+    # to_json leaves null members out, so they come back absent.
+    return rows.join(balances, "pos").withColumn("properties", F.parse_json(F.to_json(kept))).drop("poor")
+
+
+# --- large outlines -----------------------------------------------------------------------------
+
+STAR_VERTICES = 512
+
+# One outline per 512 customers around the centre of an area; every third one
+# visits its vertices out of order and so crosses itself.
+STAR_VERTICES_SQL = f"""
+select cast(floor(c_custkey / {STAR_VERTICES}) as bigint) as pos, c_custkey % {STAR_VERTICES} as i,
+  {num('7.0')} + {num('1e-5')} * cos(2 * pi() * (case when floor(c_custkey / {STAR_VERTICES}) % 3 = 2
+      then (c_custkey * 37) % {STAR_VERTICES} else c_custkey % {STAR_VERTICES} end) / {num(str(STAR_VERTICES))})
+    * (40 + c_custkey * 7919 % 41) as lon,
+  {num('48.0')} + {num('1e-5')} * sin(2 * pi() * (case when floor(c_custkey / {STAR_VERTICES}) % 3 = 2
+      then (c_custkey * 37) % {STAR_VERTICES} else c_custkey % {STAR_VERTICES} end) / {num(str(STAR_VERTICES))})
+    * (40 + c_custkey * 7919 % 41) as lat
+from {{customer}}"""
+
+STAR_AREA = (6.9993, 47.9994, 7.0006, 48.0006)
+
+
+def star_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    west, south, east, north = STAR_AREA
+    one = tables(spark, sf_dir, "region")["region"].filter("r_regionkey = 0")
+    return one.select(
+        F.lit("stars").alias("area_id"), F.lit(west).alias("west"), F.lit(south).alias("south"),
+        F.lit(east).alias("east"), F.lit(north).alias("north"), F.lit(1.0).alias("voxel_size_m"),
+        F.lit(4e6).alias("max_area_m2"), F.lit(5_000_000).cast("bigint").alias("max_voxels"),
+        F.lit(False).alias("strict"))
+
+
+def star_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir, "region")["region"].select(
+        F.lit("stars").alias("area_id"), F.col("r_regionkey").cast("bigint").alias("pos"),
+        F.col("r_name").alias("id"), F.lit("https://example.org").alias("url"), F.lit("CC0-1.0").alias("license"),
+        F.lit("{}").alias("raw"))
+
+
+def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons of up to 512 vertices, the bound of each group."""
+    vertices = spark.sql(STAR_VERTICES_SQL, **tables(spark, sf_dir, "customer"))
+    rings = vertices.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("i", "lon", "lat"))).alias("v"))
+    properties = F.to_variant_object(F.struct(
+        F.lit("EUROPE").alias("source_id"), F.lit("water").alias("kind"), F.lit(2).alias("height_m"),
+        F.lit(0).alias("base_elevation_m")))
+    closed = "array(named_struct('part', 0, 'ring', 0, 'lon', concat(v.lon, slice(v.lon, 1, 1)), " \
+             "'lat', concat(v.lat, slice(v.lat, 1, 1))))"
+    return rings.filter(F.size("v") > 2).select(
+        F.lit("stars").alias("area_id"), "pos", F.concat(F.lit("s"), "pos").alias("id"),
+        F.lit(True).alias("has_id"), properties.alias("properties"), F.lit("Polygon").alias("geom_type"),
+        F.expr(closed).alias("rings"), F.lit(False).alias("malformed"))
+
+
+# --- valid and invalid polygons -----------------------------------------------------------------
+
+# Rings per shape on a quarter grid (exact in binary): sound ones with and
+# without a hole, then one for every way of being invalid.
+SHAPES = {
+    0: [[(0, 0), (4, 0), (4, 3), (0, 3), (0, 0)]],
+    1: [[(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(1, 1), (1, 2), (2, 2), (2, 1), (1, 1)]],
+    2: [[(0, 0), (4, 4), (4, 0), (0, 4), (0, 0)]],
+    3: [[(0, 0), (4, 0), (4, 0), (0, 0), (0, 0)]],
+    4: [[(0, 0), (4, 0), (4, 4), (2, 0), (0, 4), (0, 0)]],
+    5: [[(0, 0), (2, 0), (2, 2), (0, 2), (0, 0)], [(3, 3), (3, 4), (4, 4), (4, 3), (3, 3)]],
+    6: [[(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(1, 1), (1, 3), (3, 3), (3, 1), (1, 1)],
+        [(1.5, 1.5), (1.5, 2), (2, 2), (2, 1.5), (1.5, 1.5)]],
+    7: [[(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(2, 2), (2, 5), (3, 5), (3, 2), (2, 2)]],
+    8: [[(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(0, 2), (2, 3), (2, 1), (0, 2)]],
+    9: [[(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(0, 2), (2, 4), (2, 2), (0, 2)]],
+}
+
+SHAPES_SQL = """
+select p_partkey as pos, p_partkey % 10 as shape, cast(p_size as double) / cast(4 as double) as dx,
+  cast(p_size as double) / cast(4 as double) as dy, cast(p_partkey % 100 as double) as w,
+  cast(p_partkey % 50 as double) as s
+from {part}"""
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(SHAPES_SQL, **tables(spark, sf_dir, "part"))
+    return rows.select(
+        F.lit("shapes").alias("area_id"), "pos", F.lit("Polygon").alias("geom_type"),
+        F.expr(_rings(SHAPES)).alias("rings"), F.lit(False).alias("malformed"))
+
+
+# --- areas --------------------------------------------------------------------------------------
+
+# One area per part, some of them with a bad box, size or budget.
+PART_AREAS_SQL = f"""
+select concat('part-', cast(p_partkey as varchar(20))) as area_id,
+  cast(p_partkey * 37 % 400 - 201 as double) as west,
+  cast(p_partkey * 53 % 176 - 88 as double) as south,
+  cast(p_partkey * 37 % 400 - 201 as double) + cast(p_size - 5 as double) * {num('0.001')} as east,
+  cast(p_partkey * 53 % 176 - 88 as double) + cast(p_size % 7 as double) * {num('0.004')} as north,
+  case when p_partkey % 10 = 3 then {num('0')} when p_partkey % 10 = 4 then cast('NaN' as double)
+       else {num('0.5')} end as voxel_size_m,
+  cast(p_partkey % 40 as double) * {num('250000')} as max_area_m2
+from {{part}}"""
+
+
+def part_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(PART_AREAS_SQL, **tables(spark, sf_dir, "part"))
+
+
+ORDER_BOXES_SQL = f"""
+select o_orderkey as pos, west, south, west + width as east, south + width / 2 as north from (
+  select o_orderkey, cast(o_orderkey * 37 % 4000 as double) / {num('100')} - 20 as west,
+    cast(o_orderkey * 59 % 2000 as double) / {num('100')} - 10 as south,
+    cast(o_custkey % 30 as double) * cast(o_custkey % 30 as double) / {num('1000')} as width
+  from {{orders}}) t"""
+
+SUPPLIER_BOXES_SQL = f"""
+select concat('sup-', cast(s_suppkey as varchar(20))) as area_id, west, south,
+    west + width as east, south + width as north from (
+  select s_suppkey, cast(s_suppkey * 53 % 4000 as double) / {num('100')} - 20 as west,
+    cast(s_suppkey * 31 % 2000 as double) / {num('100')} - 10 as south,
+    {num('0.03')} + cast(s_suppkey % 4 as double) * {num('0.2')} as width
+  from {{supplier}}) t"""
+
+
+def order_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(ORDER_BOXES_SQL, **tables(spark, sf_dir, "orders"))
+
+
+def supplier_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SUPPLIER_BOXES_SQL, **tables(spark, sf_dir, "supplier"))
+
+
+# --- registries and citations -------------------------------------------------------------------
+
+SUPPLIER_SOURCES_SQL = """
+select concat('area-', cast(s_nationkey as varchar(10))) as area_id,
+  concat('src-', cast(s_suppkey % 7 as varchar(10))) as id, cast(s_suppkey as bigint) as pos,
+  s_name as url, case when s_acctbal < 0 then '' else 'CC0-1.0' end as license
+from {supplier}"""
+
+CITATIONS_SQL = """
+select concat('area-', cast(c_nationkey as varchar(10))) as area_id, cast(c_custkey as bigint) as pos,
+  case when c_custkey % 50 = 0 then null
+       else concat('src-', cast(c_custkey % 9 as varchar(10))) end as source_id
+from {customer}"""
+
+
+def supplier_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(SUPPLIER_SOURCES_SQL, **tables(spark, sf_dir, "supplier"))
+    return rows.withColumn("raw", F.to_json(F.struct("id", "url", "license")))
+
+
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(CITATIONS_SQL, **tables(spark, sf_dir, "customer"))
+
+
+NAMELESS_SQL = """
+select concat('area-', cast(o_custkey % 3 as varchar(10))) as area_id, cast(o_orderkey as bigint) as pos,
+  o_orderstatus <> 'F' as accepted, o_orderkey % 3 <> 0 as has_id,
+  case when o_orderkey % 3 = 0 or o_orderkey % 7 = 0 then null
+       else concat('o', cast(o_orderkey as varchar(20))) end as id
+from {orders}"""
+
+
+def nameless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(NAMELESS_SQL, **tables(spark, sf_dir, "orders"))
+
+
+# --- evidence in every spelling -----------------------------------------------------------------
+
+# Property values as JSON text; None is an absent property.
+HEIGHTS = [None, "null", "3", "3.5", '"3.5 m"', '"3.5m"', '"abc"', '"inf"', "0", "true", '" 4 "', '"1_000"', '"3d"',
+           '"-2"', "[1]"]
+FALLBACK_HEIGHTS = [None, "5", '"6 m"', "null"]
+BASES = [None, "null", "10", '"10"', '"10 m"', "-0.5", "true", '"nan"']
+WIDTHS = [None, "null", "0", '"2"', "2.5", '"wide"', "true", "-1"]
+KINDS = [None, '"path"', '"bridge"']
+
+
+def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the orders, their properties picked from the spellings by key."""
+    orders = tables(spark, sf_dir, "orders")["orders"].select(F.col("o_orderkey").cast("bigint").alias("pos"))
+
+    def pick(name: str, values: list, divisor: int):
+        options = F.array(*[F.lit(None if v is None else f'"{name}": {v}') for v in values])
+        return F.get(options, (F.floor(F.col("pos") / divisor) % len(values)).cast("int"))
+
+    members = F.concat_ws(", ", pick("height_m", HEIGHTS, 1), pick("height", FALLBACK_HEIGHTS, 3),
+                          pick("base_elevation_m", BASES, 7), pick("width_m", WIDTHS, 11), pick("kind", KINDS, 2))
+    return orders.select(
+        "pos", F.parse_json(F.concat(F.lit("{"), members, F.lit("}"))).alias("properties"),
+        F.when(F.col("pos") % 2 == 0, "LineString").otherwise("Polygon").alias("geom_type"))
+
+
+# --- OpenStreetMap elements ---------------------------------------------------------------------
+
+# Tags per element: value or null for every key that can occur.
+ELEMENT_TAGS = {
+    "building": "case when event_type = 'view' then 'yes' when event_type = 'purchase' and event_id % 3 = 0 then 'no' end",
+    "highway": "case when event_type = 'click' or (event_type = 'view' and event_id % 11 = 0) then 'footway' end",
+    "waterway": "case when event_type = 'signup' then 'river' end",
+    "amenity": "case when event_type = 'purchase' then 'parking' end",
+    "natural": "case when event_id % 7 = 0 then 'water' end",
+    "attraction": "case when event_type = 'error' and event_id % 4 = 0 then '' "
+                  "when event_type = 'error' and event_id % 4 = 1 then 'ride' end",
+    "roller_coaster": "case when event_id % 13 = 0 then 'track' end",
+    "kind": "case when event_id % 9 = 0 then 'tagged' end",
+    "type": "case when event_id % 20 = 0 then 'multipolygon' end",
+}
+
+ELEMENTS_SQL = f"""
+select concat('area-', cast(user_id % 25 as varchar(10))) as area_id, cast(event_id as bigint) as pos,
+  cast(event_id as bigint) as id, case when event_id % 20 = 0 then 'relation' else 'way' end as type,
+  cast(event_id % 6 as int) as n_vertices,
+  {num('-0.5155')} + {num('0.25')} * cast(user_id % 25 as double) + cast(event_id * 37 % 700 as double) * {num('1e-5')} as w,
+  {num('51.4005')} - {num('3.5')} * cast(user_id % 25 as double) + cast(event_id * 53 % 600 as double) * {num('1e-5')} as s,
+  {', '.join(f'{sql} as tag_{key}' for key, sql in ELEMENT_TAGS.items())}
+from {{events}}"""
+
+# Vertices of an element: the first n of these offsets in 1e-5 degrees; with
+# five of them the way is closed.
+ELEMENT_OFFSETS = [(0, 0), (9, 0), (9, 7), (0, 7), (0, 0)]
+
+
+def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(ELEMENTS_SQL, **tables(spark, sf_dir, "events"))
+    vertices = ", ".join(f"named_struct('lon', w + {num(str(u))} * {num('1e-5')}, 'lat', s + {num(str(v))} * {num('1e-5')})"
+                         for u, v in ELEMENT_OFFSETS)
+    entries = ", ".join(f"named_struct('k', '{key}', 'v', tag_{key})" for key in ELEMENT_TAGS)
+    return rows.select(
+        "area_id", "pos", "type", "id",
+        F.expr(f"map_from_entries(filter(array({entries}), t -> t.v IS NOT NULL))").alias("tags"),
+        F.expr(f"CASE WHEN type = 'relation' THEN named_struct('minlon', w, 'minlat', s, "
+               f"'maxlon', w + {num('9')} * {num('1e-5')}, 'maxlat', s + {num('7')} * {num('1e-5')}) END").alias("bounds"),
+        F.expr(f"CASE WHEN n_vertices > 0 AND type = 'way' THEN slice(array({vertices}), 1, n_vertices) END")
+        .alias("geometry"))
