@@ -43,6 +43,6 @@ def lookup(
         broadcast = fits_broadcast(small)
     if broadcast:
         return big.join(F.broadcast(small), keys, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS).cast("bigint")))
+    repeated = small.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

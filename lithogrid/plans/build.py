@@ -54,7 +54,8 @@ class BuildResult:
         """Clipped GeoJSON of the accepted features; large ones are projected whole here."""
         rows = self.accepted
         small = rows.filter(f"n_edges <= {MAX_EDGES_IN_ROW}")
-        large = rows.filter(f"n_edges > {MAX_EDGES_IN_ROW}").drop("x", "z")
+        large = rows.filter(f"n_edges > {MAX_EDGES_IN_ROW}").drop("x", "z").withColumn(
+            "usable", F.lit(True))
         whole = local_geometry.project_in_row(large, 2**31 - 1)
         both = small.unionByName(whole.select(*small.columns))
         return export.local_features(local_geometry.edges_in_row(both))

@@ -13,6 +13,7 @@ from lithogrid.plans.build import BuildResult, GateError
 
 ROWS_PER_FILE = 4_000_000
 OPEN_AREAS_PER_TASK = 64
+MAX_WRITE_TASKS = 20_000
 VOXEL = ["x", "y", "z", "kind", "feature", "source"]
 
 
@@ -39,17 +40,22 @@ def balanced(spans: DataFrame, counts: DataFrame, rows_per_file: int = ROWS_PER_
     """Spread spans so that each task writes one well-filled file of an area.
 
     An area gets as many shares as its voxels fill files, so a hot area is many
-    tasks and a small one a single file. Spans of one column and feature stay
-    in order of feature, x and z.
+    tasks and a small one a single file. The number of tasks is stated, because
+    spans are far smaller than the voxels they turn into and would be merged
+    by their size otherwise. Spans of one column and feature stay in order of
+    feature, x and z.
     """
+    files = F.ceil(F.col("voxel_records") / rows_per_file)
+    total = counts.agg(F.sum(files)).first()[0] or 1
+    tasks = int(max(1, min(total, MAX_WRITE_TASKS)))
     shares = counts.select(
-        "area_id", F.greatest(F.lit(1), F.ceil(F.col("voxel_records") / rows_per_file)).alias("_shares"))
+        "area_id", F.greatest(F.lit(1), files).alias("_shares"))
     shared = lookup(spans, shares, ["area_id"], "inner", spread_by=("pos", "x"))
     tall = shared.withColumn("_layer", F.explode(F.expr(f"sequence(y0, y1 - 1, {rows_per_file})")))
     cut = tall.withColumn("y1", F.expr(f"least(y1, _layer + {rows_per_file})")).withColumn(
         "y0", F.col("_layer")).drop("_layer")
     placed = cut.withColumn("_share", F.pmod(F.xxhash64("pos", "x", "y0"), F.col("_shares")))
-    return placed.repartition("area_id", "_share").sortWithinPartitions("area_id", "pos", "x", "z0").drop(
+    return placed.repartition(tasks, "area_id", "_share").sortWithinPartitions("area_id", "pos", "x", "z0").drop(
         "_share", "_shares")
 
 
@@ -68,7 +74,8 @@ def publish(result: BuildResult, path: str, voxel_format: str = "parquet",
         watch, F.count(F.lit(1)).alias("rows"),
         F.bit_xor(F.xxhash64("area_id", *VOXEL)).alias("digest"))
     with _setting(spark, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_AREAS_PER_TASK)):
-        voxels.write.partitionBy("area_id").format(voxel_format).save(f"{path}/voxels")
+        voxels.write.partitionBy("area_id").format(voxel_format).option(
+            "maxRecordsPerFile", rows_per_file).save(f"{path}/voxels")
     seen = watch.get
     result.local_features.select("area_id", F.col("feature_json").alias("value")).write.partitionBy(
         "area_id").text(f"{path}/features-local")

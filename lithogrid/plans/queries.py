@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithogrid.functions import planar
@@ -27,6 +27,12 @@ def spread(features: DataFrame) -> DataFrame:
     return features.repartition(wanted, "area_id", "pos")
 
 
+def _tidy(metres: Column) -> Column:
+    """Four decimals without a negative zero."""
+    short = F.round(metres, 4)
+    return F.when(short == 0, 0.0).otherwise(short)
+
+
 def _prepared(spark: SparkSession, sf_dir: str, features: DataFrame) -> DataFrame:
     framed = area_ops.frame_areas(derived.areas(spark, sf_dir))
     registry = config.registry(derived.sources(spark, sf_dir))
@@ -102,12 +108,12 @@ def project_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = local_geometry.project_in_row(outlined)
     return local.select(
         "pos", F.posexplode(F.arrays_zip("x", "z")).alias("i", "v")).select(
-        "pos", "i", F.round("v.x", 4).alias("x"), F.round("v.z", 4).alias("z"))
+        "pos", "i", _tidy(F.col("v.x")).alias("x"), _tidy(F.col("v.z")).alias("z"))
 
 
 def area_quad(spark: SparkSession, sf_dir: str) -> DataFrame:
     framed = area_ops.frame_areas(derived.part_areas(spark, sf_dir))
-    corners = [F.round(F.get(axis, F.lit(i)), 4).alias(f"{name}{i}")
+    corners = [_tidy(F.get(axis, F.lit(i))).alias(f"{name}{i}")
                for axis, name in (("qx", "x"), ("qz", "z")) for i in range(4)]
     return framed.select("area_id", *corners, F.round("area_m2", 2).alias("area_m2"))
 
@@ -127,9 +133,9 @@ def line_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = local_geometry.edges_in_row(rows).select(
         "pos", F.posexplode_outer(F.expr(f"transform(edges, e -> {planar.CLIPPED_SEGMENT})")).alias("i", "s"))
     return segments.filter("s IS NOT NULL").select(
-        "pos", "i", F.round("s.px", 4).alias("px"), F.round("s.pz", 4).alias("pz"),
-        F.round(F.col("s.px") + F.col("s.dx"), 4).alias("qx"),
-        F.round(F.col("s.pz") + F.col("s.dz"), 4).alias("qz"))
+        "pos", "i", _tidy(F.col("s.px")).alias("west"), _tidy(F.col("s.px") + F.col("s.dx")).alias("east"),
+        _tidy(F.least("s.pz", F.col("s.pz") + F.col("s.dz"))).alias("south"),
+        _tidy(F.greatest("s.pz", F.col("s.pz") + F.col("s.dz"))).alias("north"))
 
 
 def in_area(spark: SparkSession, sf_dir: str) -> DataFrame:

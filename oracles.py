@@ -83,6 +83,11 @@ def project(source: str, rounds: int = 6) -> str:
     return f"(select * exclude ({hidden}) from {nested} as chain)"
 
 
+def tidy(value: str) -> str:
+    """Four decimals without a negative zero."""
+    return f"case when round({value}, 4) = 0 then {num('0')} else round({value}, 4) end"
+
+
 def frames(areas_sql: str) -> str:
     """CTEs ``area`` and ``corner``: centre and projected corners, in order around the box."""
     return f"""area as (select *, (west + east) / 2 as lon0, (south + north) / 2 as lat0 from ({named(areas_sql)}) as a0),
@@ -396,8 +401,8 @@ ORACLES = {
     where n > 500 * (a.nation % 10)""",
     "large_polygon_cells": f"with {STARS} {PER_FEATURE}",
     "project_vertices": f"""with {FOOTPRINTS} select pos, cast(row_number() over (partition by pos order by ring, i) - 1 as integer) as i,
-      round(x, 4) as x, round(z, 4) as z from vertex""",
-    "area_quad": f"""{QUAD} select area_id, {', '.join(f'round({c}{i}, 4) as {c}{i}' for c in 'xz' for i in range(4))},
+      {tidy('x')} as x, {tidy('z')} as z from vertex""",
+    "area_quad": f"""{QUAD} select area_id, {', '.join(f'{tidy(c + str(i))} as {c}{i}' for c in 'xz' for i in range(4))},
       round(m2, 2) as area_m2 from sized""",
     "area_gates": f"""{QUAD}, staged as (select a.area_id,
       case when not (-180 <= west and west < east and east <= 180 and -90 < south and south < north and north < 90)
@@ -411,8 +416,8 @@ ORACLES = {
     "pair_areas": f"""select o.pos, s.area_id from ({named(derived.ORDER_BOXES_SQL)}) as o join ({named(derived.SUPPLIER_BOXES_SQL)}) as s
       on o.west <= s.east and o.east >= s.west and o.south <= s.north and o.north >= s.south""",
     "line_clip": f"""with {LINES} select pos, cast(n - 1 as integer) as i,
-      round(least(px, qx), 4) as px, round(case when px <= qx then pz else qz end, 4) as pz,
-      round(greatest(px, qx), 4) as qx, round(case when px <= qx then qz else pz end, 4) as qz
+      {tidy('least(px, qx)')} as west, {tidy('greatest(px, qx)')} as east,
+      {tidy('least(pz, qz)')} as south, {tidy('greatest(pz, qz)')} as north
     from clipped c where exists (select 1 from point p where p.pos = c.pos and p.n = 2)""",
     "in_area": f"""with {FOOTPRINTS}, {_CLIPPED_EDGES}, hit as (select distinct pos from meets where gone = 0 and t0 <= t1)
     select f.area_id, count(hit.pos) as accepted, count(*) - count(hit.pos) as dropped
