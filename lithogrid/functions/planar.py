@@ -98,29 +98,33 @@ def resting_range(x: str) -> str:
             f"'hi', CASE WHEN e.x1 = e.x2 THEN greatest(e.z1, e.z2) WHEN e.x1 = {x} THEN e.z1 ELSE e.z2 END)")
 
 
-def capsule_range(x: str, radius: str) -> str:
-    """Where the vertical line at ``x`` runs within ``radius`` of segment ``s``.
-
-    The set of points near a segment is convex, so the range is the hull of the
-    ranges in the two end discs and in the strip between them.
-    """
-    h = f"({x} - s.px)"
-    far = f"({x} - s.px - s.dx)"
-    reach = f"({radius} * sqrt(s.len2))"
-    in_strip = (f"s.len2 > 0 AND (s.dz <> 0 OR ({h} * s.dx >= 0 AND {h} * s.dx <= s.len2)) "
-                f"AND (s.dx > 0 OR abs({h} * s.dz) <= {reach})")
-    along = (f"CASE WHEN s.dz <> 0 THEN {{}}(-{h} * s.dx / s.dz, (s.len2 - {h} * s.dx) / s.dz) END")
-    across = f"CASE WHEN s.dx > 0 THEN ({h} * s.dz {{}} {reach}) / s.dx END"
-    strip_lo = f"greatest({along.format('least')}, {across.format('-')})"
-    strip_hi = f"least({along.format('greatest')}, {across.format('+')})"
-    cap = "CASE WHEN abs({0}) <= {1} THEN {2} {3} sqrt({1} * {1} - {0} * {0}) END"
-    ends = [(h, "0D"), (far, "s.dz")]
-    strip = let("w", f"named_struct('lo', {strip_lo}, 'hi', {strip_hi})",
-                f"CASE WHEN {in_strip} AND w.lo <= w.hi THEN w END")
-    lows = ", ".join(cap.format(d, radius, z, "-") for d, z in ends)
-    highs = ", ".join(cap.format(d, radius, z, "+") for d, z in ends)
-    return let("m", strip,
-               f"named_struct('lo', s.pz + least(m.lo, {lows}), 'hi', s.pz + greatest(m.hi, {highs}))")
+# The points within ``radius`` of segment ``s``: reach in x, the two ends, and
+# the straight parts of the outline, which touch the end discs ``shift`` beside
+# the ends (at -shift above and +shift below).
+CAPSULE = """named_struct(
+  'west', s.px - radius, 'east', s.px + s.dx + radius,
+  'px', s.px, 'pz', s.pz, 'qx', s.px + s.dx, 'qz', s.pz + s.dz, 'radius2', radius * radius,
+  'shift', CASE WHEN s.len2 > 0 THEN radius * s.dz / sqrt(s.len2) ELSE 0D END,
+  'slope', CASE WHEN s.dx > 0 THEN s.dz / s.dx ELSE 0D END,
+  'above', CASE WHEN s.dx > 0 THEN radius * sqrt(s.len2) / s.dx WHEN s.len2 > 0 THEN greatest(s.dz, 0D) ELSE radius END,
+  'below', CASE WHEN s.dx > 0 THEN -radius * sqrt(s.len2) / s.dx WHEN s.len2 > 0 THEN least(s.dz, 0D) ELSE -radius END)"""
+
+
+def _outline(x: str, sign: str, shift: str, side: str) -> str:
+    def disc(end: str) -> str:
+        return f"s.{end}z {sign} sqrt(greatest(0D, s.radius2 - ({x} - s.{end}x) * ({x} - s.{end}x)))"
+
+    return (f"CASE WHEN {x} > s.qx {shift} s.shift THEN {disc('q')} WHEN {x} < s.px {shift} s.shift THEN {disc('p')} "
+            f"ELSE s.pz + ({x} - s.px) * s.slope + s.{side} END")
+
+
+def capsule_top(x: str) -> str:
+    """Highest z of capsule ``s`` on the vertical line at ``x`` within its reach."""
+    return _outline(x, "+", "-", "above")
+
+
+def capsule_bottom(x: str) -> str:
+    return _outline(x, "-", "+", "below")
 
 
 # --- cells --------------------------------------------------------------------------------------

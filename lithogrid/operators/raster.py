@@ -30,6 +30,7 @@ def _cells(low: str, high: str) -> str:
             f"'z1', least({planar.last_cell(high)}, top_cell))")
 
 
+_CAPSULE_CELLS = _cells(f"({planar.capsule_bottom('xc')})", f"({planar.capsule_top('xc')})")
 _BOTTOM_CELL = planar.first_cell(f"({planar.quad_bottom('xc')})")
 _TOP_CELL = planar.last_cell(f"({planar.quad_top('xc')})")
 
@@ -88,15 +89,12 @@ def thick_spans(features: DataFrame, keep: list[str]) -> DataFrame:
     clipped = features.withColumnRenamed("voxel_size_m", "r").select(
         *keep, "r", "quad", "first_column", "last_column", (F.col("width") / 2).alias("radius"),
         F.expr(f"filter(transform(edges, e -> {planar.CLIPPED_SEGMENT}), s -> s IS NOT NULL)").alias("segments"),
-    ).filter(F.size("segments") > 0)
-    low = "array_min(segments.px) - radius"
-    high = "array_max(transform(segments, s -> s.px + s.dx)) + radius"
-    lined = _explode_columns(clipped, _columns(f"({low})", f"({high})"),
-                             [*keep, "r", "quad", "radius", "segments"])
-    near = "filter(segments, s -> xc >= s.px - radius AND xc <= s.px + s.dx + radius)"
-    ranged = lined.withColumn("reach", F.expr(
-        f"filter(transform({near}, s -> {planar.capsule_range('xc', 'radius')}), w -> w.lo IS NOT NULL)"))
-    return _finish(ranged, f"transform(reach, w -> {_cells('w.lo', 'w.hi')})", keep)
+    ).withColumn("capsules", F.expr(f"transform(segments, s -> {planar.CAPSULE})"))
+    columns = _columns("array_min(capsules.west)", "array_max(capsules.east)")
+    lined = _explode_columns(clipped, f"CASE WHEN size(capsules) > 0 THEN {columns} END",
+                             [*keep, "r", "quad", "capsules"])
+    near = "filter(capsules, s -> xc >= s.west AND xc <= s.east)"
+    return _finish(lined, f"transform({near}, s -> {_CAPSULE_CELLS})", keep)
 
 
 # --- large features: edges on the cluster -------------------------------------------------------
@@ -132,11 +130,9 @@ def large_thick_spans(edges: DataFrame) -> DataFrame:
     clipped = edges.withColumnRenamed("voxel_size_m", "r").select(
         "area_id", "pos", "r", "quad", "first_column", "last_column",
         (F.col("width") / 2).alias("radius"), F.expr(planar.CLIPPED_SEGMENT).alias("s"),
-    ).filter("s IS NOT NULL")
-    lined = _explode_columns(clipped, _columns("(s.px - radius)", "(s.px + s.dx + radius)"),
-                             ["area_id", "pos", "r", "quad", "radius", "s"])
-    ranged = lined.withColumn("w", F.expr(planar.capsule_range("xc", "radius"))).filter("w.lo IS NOT NULL")
-    cells = ranged.select("area_id", "pos", "c", F.expr(_cells("w.lo", "w.hi")).alias("v"))
+    ).filter("s IS NOT NULL").withColumn("s", F.expr(planar.CAPSULE))
+    lined = _explode_columns(clipped, _columns("s.west", "s.east"), ["area_id", "pos", "r", "quad", "s"])
+    cells = lined.select("area_id", "pos", "c", F.expr(_CAPSULE_CELLS).alias("v"))
     marks = cells.filter("v.z0 <= v.z1").select(
         "area_id", "pos", "c", F.col("v.z0").alias("cell"), F.col("v.z1").alias("reach"), F.lit(0).alias("turn"))
     return _spans_of_marks(marks)
