@@ -95,28 +95,35 @@ def _cell(degrees: str, level: str) -> str:
 def pair_areas(features: DataFrame, areas: DataFrame, key: str = "pos", broadcast: bool | None = None) -> DataFrame:
     """Pairs of features and areas whose lon/lat envelopes overlap.
 
-    ``features`` has ``west, south, east, north`` and a unique ``key``. Every
-    feature sits in at most four cells of the grid level that fits its size;
-    areas list their cells on every level. The pair is kept in one cell only:
-    the one that holds the lower-left corner of the overlap.
+    ``features`` has ``west, south, east, north`` and a unique ``key``. Both
+    sides have a grid level that fits their size, where they cover at most four
+    cells, and a pair meets on the coarser of its two levels. Areas are listed
+    on every level from their own up, features on their own and on the levels
+    that areas have. The pair is kept in one cell: the one that holds the
+    lower-left corner of the overlap.
     """
     extent = "greatest(east - west, north - south)"
-    level = (f"least({LEVELS - 1}, greatest(0, cast(ceil(log2(greatest({extent}, 1e-12D) / {FINEST_CELL_DEG}D)) AS INT)))")
+    level = f"least({LEVELS - 1}, greatest(0, cast(ceil(log2(greatest({extent}, 1e-12D) / {FINEST_CELL_DEG}D)) AS INT)))"
 
     def cells(df: DataFrame) -> DataFrame:
-        spans = {axis: f"sequence({_cell(lo, 'level')}, {_cell(hi, 'level')})"
-                 for axis, lo, hi in (("cx", "west", "east"), ("cy", "south", "north"))}
-        return (df.withColumn("cx", F.explode(F.expr(spans["cx"])))
-                .withColumn("cy", F.explode(F.expr(spans["cy"]))))
-
-    placed = cells(features.withColumn("level", F.expr(level)))
-    listed = cells(areas.withColumn("level", F.explode(F.expr(f"sequence(0, {LEVELS - 1})"))))
+        columns = f"sequence({_cell('west', 'level')}, {_cell('east', 'level')})"
+        rows = f"sequence({_cell('south', 'level')}, {_cell('north', 'level')})"
+        return df.withColumn("cx", F.explode(F.expr(columns))).withColumn("cy", F.explode(F.expr(rows)))
+
+    sized = areas.withColumn("area_level", F.expr(level))
+    # At most LEVELS values, whatever the number of areas.
+    used = sorted(r.area_level for r in sized.select("area_level").distinct().collect())
+    coarser = f"filter(cast(array({', '.join(map(str, used))}) AS array<int>), l -> l > own_level)"
+    placed = cells(features.withColumn("own_level", F.expr(level)).withColumn(
+        "level", F.explode(F.expr(f"concat(array(own_level), {coarser})"))))
+    listed = cells(sized.withColumn("level", F.explode(F.expr(f"sequence(area_level, {LEVELS - 1})"))))
     boxes = listed.select(
-        "level", "cx", "cy", "area_id",
+        "level", "cx", "cy", "area_id", "area_level",
         *[F.col(c).alias(f"area_{c}") for c in ("west", "south", "east", "north")])
     joined = lookup(placed, boxes, ["level", "cx", "cy"], "inner", spread_by=(key,), broadcast=broadcast)
     return joined.filter(
-        "west <= area_east AND east >= area_west AND south <= area_north AND north >= area_south "
+        "level = greatest(own_level, area_level) "
+        "AND west <= area_east AND east >= area_west AND south <= area_north AND north >= area_south "
         f"AND cx = {_cell('greatest(west, area_west)', 'level')} "
         f"AND cy = {_cell('greatest(south, area_south)', 'level')}"
-    ).drop("level", "cx", "cy", "area_west", "area_south", "area_east", "area_north")
+    ).drop("level", "own_level", "area_level", "cx", "cy", "area_west", "area_south", "area_east", "area_north")

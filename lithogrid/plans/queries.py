@@ -24,7 +24,8 @@ def spread(features: DataFrame) -> DataFrame:
     wanted = features.sparkSession.sparkContext.defaultParallelism
     if len(features.inputFiles()) >= wanted:
         return features
-    return features.repartition(wanted, "area_id", "pos")
+    keys = [c for c in ("area_id", "pos") if c in features.columns]
+    return features.repartition(wanted, *keys)
 
 
 def _tidy(metres: Column) -> Column:
@@ -39,6 +40,11 @@ def _prepared(spark: SparkSession, sf_dir: str, features: DataFrame) -> DataFram
     return prepare(spread(features), framed, registry).withColumn("feature", F.col("id"))
 
 
+def _stored(spark: SparkSession, sf_dir: str, features: DataFrame) -> DataFrame:
+    """The prepared table as a stage of its own, as in a whole run: several readers follow."""
+    return Workspace(spark).save(_prepared(spark, sf_dir, features), "prepared")
+
+
 _KEEP = ["area_id", "pos", "kind", "feature", "source", "y0", "y1"]
 
 
@@ -160,7 +166,7 @@ def validity_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- evidence -----------------------------------------------------------------------------------
 
 def resolve_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = evidence.resolve_evidence(derived.evidence_rows(spark, sf_dir))
+    read = evidence.resolve_evidence(spread(derived.evidence_rows(spark, sf_dir)))
     return read.select(
         "pos", "kind",
         F.coalesce("width", F.lit(-1.0)).alias("width"), F.coalesce("base", F.lit(-999.0)).alias("base"),
@@ -169,7 +175,7 @@ def resolve_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _prepared(spark, sf_dir, derived.patchy_footprints(spark, sf_dir))
+    rows = _stored(spark, sf_dir, derived.patchy_footprints(spark, sf_dir))
     return evidence.issues_of(rows).select(
         "area_id", "pos", "feature", "severity", F.array_join("reasons", "|").alias("reasons"))
 
@@ -230,7 +236,7 @@ def select_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     framed = area_ops.frame_areas(derived.areas(spark, sf_dir))
-    rows = _prepared(spark, sf_dir, derived.patchy_footprints(spark, sf_dir))
+    rows = _stored(spark, sf_dir, derived.patchy_footprints(spark, sf_dir))
     counts = voxel_counts(small_spans(rows, _KEEP))
     skipped = osm.skipped_elements(_classified(spark, sf_dir))
     headers = report.headers(framed, counts, rows.filter("accepted"), evidence.issues_of(rows), skipped)
@@ -240,7 +246,7 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _prepared(spark, sf_dir, derived.patchy_footprints(spark, sf_dir))
+    rows = _stored(spark, sf_dir, derived.patchy_footprints(spark, sf_dir))
     skipped = osm.skipped_elements(_classified(spark, sf_dir))
     registry = config.registry(derived.supplier_sources(spark, sf_dir))
     pieces = report.list_pieces(registry, evidence.issues_of(rows), skipped)

@@ -257,3 +257,25 @@ def test_evidence_flags(spark):
     assert (out[1].height, out[1].base, out[1].assumptions) == (1.0, 1.0, [evidence.HEIGHT_UNREADABLE])
     assert (out[2].height, out[2].base) == (7.0, None)
     assert (out[3].kind, out[3].width, out[3].base) == (None, 1.0, -0.5)
+
+
+def test_pairs_match_brute_force(spark):
+    rng = random.Random(3)
+
+    def boxes(n, scale):
+        out = []
+        for i in range(n):
+            west, south, w, h = rng.uniform(-1, 1), rng.uniform(-1, 1), *(10 ** rng.uniform(*scale) for _ in "wh")
+            out.append((i, west, south, west + w, south + h))
+        return out
+
+    features, areas = boxes(200, (-5, 0.5)), boxes(40, (-3, 0.7))
+    box = "west DOUBLE, south DOUBLE, east DOUBLE, north DOUBLE"
+    f = spark.createDataFrame(features, f"pos BIGINT, {box}")
+    a = spark.createDataFrame([(str(i), *b) for i, *b in areas], f"area_id STRING, {box}")
+    expected = {(i, str(j)) for i, w, s, e, n in features for j, w2, s2, e2, n2 in areas
+                if w <= e2 and e >= w2 and s <= n2 and n >= s2}
+    for broadcast in (True, False):
+        rows = [(r.pos, r.area_id) for r in area_ops.pair_areas(f, a, broadcast=broadcast).collect()]
+        assert len(rows) == len(set(rows))
+        assert set(rows) == expected
