@@ -220,3 +220,30 @@ def test_osm_run(spark, tmp_path):
     with pytest.raises(GateError, match="incomplete data: timed out"):
         build_from_osm(config.areas_of(configs), config.sources_of(configs),
                        osm.read_extracts(spark, str(tmp_path / "osm")))
+
+
+def test_large_features_in_a_run(spark, tmp_path):
+    """More than 64 edges: grid validity, exploded spans, whole export."""
+    import math
+
+    def circle(radius, n=90, east=0.0005):
+        ring = [[east + radius * math.cos(2 * math.pi * i / n), 0.0005 + radius * math.sin(2 * math.pi * i / n)]
+                for i in range(n)]
+        return ring + ring[:1]
+
+    crossed = circle(0.0001)
+    crossed[10], crossed[50] = crossed[50], crossed[10]
+    wave = [[0.0001 + 0.000008 * i, 0.0005 + 0.0001 * math.sin(i / 5)] for i in range(100)]
+    features = [feature("Polygon", [circle(0.0002), circle(0.0001)]), feature("Polygon", [crossed]),
+                feature("LineString", wave, width_m=2), feature("Polygon", [circle(0.0001, east=0.005)])]
+    result = run(spark, tmp_path, features)
+    assert {r.pos: r.feature for r in result.accepted.collect()} == {0: "0", 2: "1"}
+    assert {r.pos: r.severity for r in result.issues.collect()} == {1: "error"}
+    cells = {r.feature: r["count"] for r in result.voxels.groupBy("feature").count().collect()}
+    # A ring between 22.2 m and 11.1 m, and two metres along the wave.
+    assert cells["0"] == pytest.approx(math.pi * (22.2**2 - 11.1**2), rel=0.02)
+    assert cells["1"] == pytest.approx(2 * sum(
+        math.dist((a[0] * 111320, a[1] * 110574), (b[0] * 111320, b[1] * 110574)) for a, b in zip(wave, wave[1:])), rel=0.1)
+    publish(result, str(tmp_path / "out"))
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out" / "features-local")).collect()]
+    assert {len(f["geometry"]["coordinates"]) for f in lines if f["geometry"]["type"] == "Polygon"} == {2}
