@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from lithogrid.functions import planar
 
-SPAN = ["area_id", "pos", "x", "z0", "z1"]
-
 _XC = planar.centre("c")
 _NO_RANGES = "cast(array() AS array<struct<z0: bigint, z1: bigint>>)"
 
