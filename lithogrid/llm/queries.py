@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from lithogrid.llm import exact_dedup
 from lithogrid.llm.exact_dedup import op5_exact_dedup
+from lithogrid.llm.packing import op2_packing
 from lithogrid.llm.simhash import op9_simhash_dedup
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_simhash_dedup": op9_simhash_dedup,
 }
