@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from lithogrid.llm import exact_dedup
 from lithogrid.llm.exact_dedup import op5_exact_dedup
+from lithogrid.llm.license_scan import op3_license_scan
 from lithogrid.llm.packing import op2_packing
 from lithogrid.llm.simhash import op9_simhash_dedup
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_license_scan": op3_license_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_simhash_dedup": op9_simhash_dedup,
 }
 
 ORACLES = {
+    "op3_license_scan": op3_license_scan,
     "op5_exact_dedup": exact_dedup.ORACLE,
 }
