@@ -7,11 +7,13 @@ from lithogrid.llm.exact_dedup import op5_exact_dedup
 from lithogrid.llm.license_scan import op3_license_scan
 from lithogrid.llm.packing import op2_packing
 from lithogrid.llm.simhash import op9_simhash_dedup
+from lithogrid.llm.token_files import op7_token_files
 
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_license_scan": op3_license_scan,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_token_files": op7_token_files,
     "op9_simhash_dedup": op9_simhash_dedup,
 }
 

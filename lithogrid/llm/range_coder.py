@@ -37,7 +37,8 @@ _W1, _W2 = 10, 11                 # bits of the order-1 and order-2 tables
 _SEEN = 11                        # bits of the encoder's table of places in the list
 _TOP = 32                         # a 48-bit interval sheds its top 16 bits below 2**_TOP
 _MASK = (1 << _TOP) - 1
-_HEADER = struct.Struct("<4sIIIQ")
+_HEADER = "<4sIIIQ"
+_HEADER_SIZE = struct.calcsize(_HEADER)
 #: Raw bits by class: places in the list by powers of two, then ids by their number of bits.
 _RAW = np.array([0, 0, 1, 2, 3, 4, 5, 6, 9, 9, 10, 11, 12, 13, 14, 15])
 _BASE = np.array([0, 1, 2, 4, 8, 16, 32, 64, 0, 512, 1024, 2048, 4096, 8192, 16384, 32768])
@@ -285,7 +286,7 @@ def decode_blocks(coded: list[bytes], count: int, block: int = BLOCK) -> np.ndar
 
 def write_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     coded = encode_blocks(ids, block)
-    head = _HEADER.pack(MAGIC, block, len(coded), len(doc_ids), len(ids))
+    head = struct.pack(_HEADER, MAGIC, block, len(coded), len(doc_ids), len(ids))
     head += np.array([i or 0 for i in doc_ids], "<i8").tobytes()
     head += np.array([i is not None for i in doc_ids], "u1").tobytes()
     head += np.asarray(lengths, "<u8").tobytes()
@@ -295,14 +296,14 @@ def write_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray,
 
 def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(document ids, ids in each document, all ids); a damaged file raises ValueError."""
-    magic, block, blocks, docs, count = _HEADER.unpack_from(data)
-    at = _HEADER.size + 17 * docs + 8 * blocks
+    magic, block, blocks, docs, count = struct.unpack_from(_HEADER, data)
+    at = _HEADER_SIZE + 17 * docs + 8 * blocks
     if magic != MAGIC or struct.unpack_from("<I", data, at)[0] != zlib.crc32(data[:at]):
         raise ValueError("not a token-id file, or its header is damaged")
-    numbers = np.frombuffer(data, "<i8", docs, _HEADER.size).tolist()
-    known = np.frombuffer(data, "u1", docs, _HEADER.size + 8 * docs).tolist()
-    lengths = np.frombuffer(data, "<u8", docs, _HEADER.size + 9 * docs).astype(np.int64)
-    index = np.frombuffer(data, "<u4", 2 * blocks, _HEADER.size + 17 * docs).reshape(-1, 2).tolist()
+    numbers = np.frombuffer(data, "<i8", docs, _HEADER_SIZE).tolist()
+    known = np.frombuffer(data, "u1", docs, _HEADER_SIZE + 8 * docs).tolist()
+    lengths = np.frombuffer(data, "<u8", docs, _HEADER_SIZE + 9 * docs).astype(np.int64)
+    index = np.frombuffer(data, "<u4", 2 * blocks, _HEADER_SIZE + 17 * docs).reshape(-1, 2).tolist()
     coded, at = [], at + 4
     for words, checksum in index:
         coded.append(data[at:at + 2 * words])
