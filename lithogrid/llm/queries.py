@@ -8,10 +8,12 @@ from lithogrid.llm.license_scan import op3_license_scan
 from lithogrid.llm.packing import op2_packing
 from lithogrid.llm.simhash import op9_simhash_dedup
 from lithogrid.llm.token_files import op7_token_files
+from lithogrid.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_license_scan": op3_license_scan,
+    "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_token_files": op7_token_files,
     "op9_simhash_dedup": op9_simhash_dedup,
