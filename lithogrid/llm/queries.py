@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lithogrid.llm import exact_dedup
 from lithogrid.llm.exact_dedup import op5_exact_dedup
+from lithogrid.llm.language_id import op10_language_id
 from lithogrid.llm.license_scan import op3_license_scan
 from lithogrid.llm.packing import op2_packing
 from lithogrid.llm.simhash import op9_simhash_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_token_files": op7_token_files,
+    "op10_language_id": op10_language_id,
     "op9_simhash_dedup": op9_simhash_dedup,
 }
 
