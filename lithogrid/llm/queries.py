@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lithogrid.llm import exact_dedup
+from lithogrid.llm.decontaminate import op1_decontaminate
 from lithogrid.llm.exact_dedup import op5_exact_dedup
 from lithogrid.llm.language_id import op10_language_id
 from lithogrid.llm.license_scan import op3_license_scan
@@ -12,6 +13,7 @@ from lithogrid.llm.token_files import op7_token_files
 from lithogrid.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_packing": op2_packing,
     "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
