@@ -5,6 +5,7 @@ from __future__ import annotations
 from lithogrid.llm import exact_dedup
 from lithogrid.llm.decontaminate import op1_decontaminate
 from lithogrid.llm.exact_dedup import op5_exact_dedup
+from lithogrid.llm.html_extract import op8_html_extract
 from lithogrid.llm.language_id import op10_language_id
 from lithogrid.llm.license_scan import op3_license_scan
 from lithogrid.llm.packing import op2_packing
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op7_token_files": op7_token_files,
     "op10_language_id": op10_language_id,
+    "op8_html_extract": op8_html_extract,
     "op9_simhash_dedup": op9_simhash_dedup,
 }
 
