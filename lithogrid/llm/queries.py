@@ -8,6 +8,7 @@ from lithogrid.llm.exact_dedup import op5_exact_dedup
 from lithogrid.llm.html_extract import op8_html_extract
 from lithogrid.llm.language_id import op10_language_id
 from lithogrid.llm.license_scan import op3_license_scan
+from lithogrid.llm.lm_score import op6_lm_score
 from lithogrid.llm.packing import op2_packing
 from lithogrid.llm.simhash import op9_simhash_dedup
 from lithogrid.llm.token_files import op7_token_files
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_lm_score": op6_lm_score,
     "op7_token_files": op7_token_files,
     "op10_language_id": op10_language_id,
     "op8_html_extract": op8_html_extract,
