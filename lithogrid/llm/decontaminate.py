@@ -3,10 +3,12 @@
 The index holds units of at most ``UNIT`` consecutive words of the items. A
 posting's weight is its BM25 weight, with document frequencies over all items,
 divided by the unit's sum of weights, so a passage that has all of a unit's words scores 1.
-Postings lie in blocks with their largest weight. Every training text is cut
-into overlapping passages of ``2 * UNIT`` words; a passage is a query of its
-distinct words, and block-max WAND returns every unit that scores ``THRESHOLD``
-or more. A unit's item is then verified on the words around the passage: of the item's
+Units lie in blocks, and each term keeps its largest weight in each block that
+it occurs in. Every training text is cut into overlapping passages of ``2 * UNIT``
+words; a passage is a query of its distinct words. Block-max WAND first sums the
+block maxima of the query's terms and skips every block that cannot reach
+``THRESHOLD``; in the others WAND moves its cursors from pivot to pivot and
+returns every unit that scores ``THRESHOLD`` or more. A unit's item is then verified on the words around the passage: of the item's
 question and of its answer (its last sentences), at least ``OVERLAP`` of the
 word ``SHINGLE``-grams must occur there (shorter parts: the part as a whole).
 
@@ -26,6 +28,7 @@ import re
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -39,9 +42,11 @@ UNIT = 64
 THRESHOLD = 0.5
 OVERLAP = 0.5
 SHINGLE = 5
-BLOCK = 16
+BLOCK = 4
 K1, B = 1.2, 0.75
 SHARD_BYTES = 16 << 20
+#: Passages that are bounded together.
+_PASSAGES = 64
 #: Words that the answer, the last sentences of an item, has at least.
 ANSWER_WORDS = 5
 
@@ -97,17 +102,50 @@ class Index:
         self.terms = {w: n for n, w in enumerate(postings)}
         self.docs = [[d for d, _ in p] for p in postings.values()]
         self.weights = [[x for _, x in p] for p in postings.values()]
-        self.block_end = [[d[min(i + BLOCK, len(d)) - 1] for i in range(0, len(d), BLOCK)] for d in self.docs]
-        self.block_max = [[max(w[i:i + BLOCK]) for i in range(0, len(w), BLOCK)] for w in self.weights]
-        #: Each term's largest weight; the last entry stands for words that are no term.
-        self.most = np.array([max(w) for w in self.weights] + [0.0])
-
-    def retrieve(self, terms: list[int]) -> list[tuple[int, float]]:
-        """(unit, score) of all units that score THRESHOLD or more for the distinct terms, by block-max WAND."""
-        least, found = THRESHOLD - 1e-9, []
-        at = dict.fromkeys(terms, 0)
-        active = sorted((self.docs[t][0], t) for t in terms)
+        #: Each term's blocks of units with its largest weight there, one term after the other.
+        best = [{} for _ in self.docs]
+        for blocks, docs, weights in zip(best, self.docs, self.weights):
+            for d, x in zip(docs, weights):
+                blocks[d // BLOCK] = max(x, blocks.get(d // BLOCK, 0.0))
+        self.first = np.cumsum([0, *map(len, best)])
+        self.block = np.array([b for blocks in best for b in blocks], np.int64)
+        self.block_max = np.array([x for blocks in best for x in blocks.values()])
+        self.blocks = len(self.units) // BLOCK + 1
+        self.most = np.array([max(w) for w in self.weights])
+
+    def live_blocks(self, terms: np.ndarray, halves: int) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+        """(passage, its distinct terms, blocks whose units may score THRESHOLD) for the halves' terms, -1 for other words.
+
+        A block's bound is the sum of the terms' largest weights in it.
+        """
+        for start in range(0, max(1, halves - 1), _PASSAGES):
+            count = min(_PASSAGES, max(1, halves - 1) - start)
+            words = terms[start * UNIT:(start + count + 1) * UNIT]
+            half = np.arange(len(words)) // UNIT
+            half, words = half[words >= 0], words[words >= 0]
+            key = np.unique(np.concatenate([half, half - 1]) * len(self.docs) + np.concatenate([words, words]))
+            key = key[(key >= 0) & (key < count * len(self.docs))]
+            passage, term = key // len(self.docs), key % len(self.docs)
+            size = self.first[term + 1] - self.first[term]
+            at = np.repeat(self.first[term] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            bound = np.bincount(np.repeat(passage, size) * self.blocks + self.block[at], self.block_max[at],
+                                count * self.blocks).reshape(count, self.blocks)
+            live = bound >= THRESHOLD - 1e-9
+            ends = np.searchsorted(passage, np.arange(count + 1))
+            for k in np.flatnonzero(live.any(1)).tolist():
+                yield start + k, term[ends[k]:ends[k + 1]], np.flatnonzero(live[k]).tolist()
+
+    def retrieve(self, terms: list[int], block: int) -> list[tuple[int, float]]:
+        """(unit, score) of the block's units that score THRESHOLD or more for the distinct terms, by WAND."""
+        least, found, stop = THRESHOLD - 1e-9, [], (block + 1) * BLOCK
+        at, active = {}, []
+        for t in terms:
+            docs = self.docs[t]
+            at[t] = bisect_left(docs, block * BLOCK)
+            if at[t] < len(docs) and docs[at[t]] < stop:
+                active.append((docs[at[t]], t))
         while active:
+            active.sort()
             bound, pivot = 0.0, 0
             for pivot, (_, t) in enumerate(active):
                 bound += self.most[t]
@@ -118,49 +156,34 @@ class Index:
             doc = active[pivot][0]
             while pivot + 1 < len(active) and active[pivot + 1][0] == doc:
                 pivot += 1
-            front, rest = active[:pivot + 1], active[pivot + 1:]
-            # the blocks that would hold the pivot bound its score, and those of the units up to the first block's end
-            bound, end = 0.0, math.inf
-            for _, t in front:
-                block = bisect_left(self.block_end[t], doc, at[t] // BLOCK)
-                if block < len(self.block_end[t]):
-                    bound += self.block_max[t][block]
-                    end = min(end, self.block_end[t][block])
-            if bound < least:
-                target = min(end + 1, rest[0][0] if rest else math.inf)
-            elif front[0][0] == doc:
+            front, active = active[:pivot + 1], active[pivot + 1:]
+            target = doc
+            if front[0][0] == doc:
                 score = sum(self.weights[t][at[t]] for _, t in front)
                 if score >= least:
                     found.append((doc, score))
                 target = doc + 1
-            else:
-                target = doc
-            for _, t in front:
-                at[t] = bisect_left(self.docs[t], target, at[t])
-                if at[t] < len(self.docs[t]):
-                    rest.append((self.docs[t][at[t]], t))
-            active = sorted(rest)
+            for d, t in front:
+                docs, i = self.docs[t], at[t]
+                while i < len(docs) and docs[i] < target:
+                    i += 1
+                at[t] = i
+                if i < len(docs) and docs[i] < stop:
+                    active.append((docs[i], t))
         return found
 
     def search(self, text: str | None) -> list[tuple[int | None, int, float, float, float]]:
         """(item, first word of the passage, score, question overlap, answer overlap) of each verified item."""
         words = words_of(text)
-        none = len(self.most) - 1
-        get = self.terms.get
-        terms = np.fromiter((get(w, none) for w in words), np.int64, len(words))
         if not len(words) or not len(self.units):
             return []
-        # halves of passages; sums of the words' largest weights rule most passages out
-        sums = np.add.reduceat(self.most[terms], np.arange(0, len(words), UNIT))
-        pairs = sums if len(sums) == 1 else sums[:-1] + sums[1:]
+        get = self.terms.get  # -1 for words that no item has
+        terms = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         best: dict[int, tuple[float, int, float, float]] = {}
-        for k in np.flatnonzero(pairs >= THRESHOLD - 1e-9).tolist():
-            query = np.unique(terms[k * UNIT:(k + 2) * UNIT])
-            query = query[query != none]
-            if self.most[query].sum() < THRESHOLD - 1e-9:
-                continue
+        for k, query, blocks in self.live_blocks(terms, -(-len(words) // UNIT)):
+            query = query.tolist()
             around = None
-            for unit, score in self.retrieve(query.tolist()):
+            for unit, score in chain.from_iterable(self.retrieve(query, b) for b in blocks):
                 number = self.units[unit]
                 item, length, question, answer = self.parts[number]
                 if number in best and best[number][0] >= score:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,16 +34,37 @@ def test_wand_finds_what_scoring_every_unit_finds(monkeypatch, block):
         monkeypatch.setattr(X, "THRESHOLD", threshold)
         for _ in range(60):
             source = X.words_of(rng.choice(items)[1])[:64]
-            words = rng.sample(source, rng.randint(0, len(source))) + X.words_of(made_up(rng, 20))
+            words = rng.sample(source, rng.randint(0, min(44, len(source)))) + X.words_of(made_up(rng, 20))
             terms = sorted({index.terms[w] for w in words if w in index.terms})
             want = {d: sum(ws.get(t, 0) for t in terms) for d, ws in table.items()}
             want = {d: s for d, s in want.items() if s >= threshold - 1e-9}
-            got = dict(index.retrieve(terms))
+            halves = np.full(X.UNIT, -1)
+            halves[:len(terms)] = terms[:X.UNIT]
+            assert len(terms) <= X.UNIT
+            got = {}
+            for passage, query, blocks in index.live_blocks(halves, 1):
+                assert passage == 0 and query.tolist() == terms
+                for block in blocks:
+                    got |= dict(index.retrieve(query.tolist(), block))
             assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-9 for d in got)
             hits += len(got)
     assert hits > 500
 
 
+def test_passages_of_a_long_text_are_bounded_alike_in_any_batch(monkeypatch):
+    rng = random.Random(5)
+    index = index_of([(i, made_up(rng, 20)) for i in range(50)])
+    words = X.words_of(" ".join(made_up(rng, 300) + " " + made_up(random.Random(5), 20) for _ in range(12)))
+    terms = np.array([index.terms.get(w, -1) for w in words])
+    seen = []
+    for batch in (64, 5, 1):
+        monkeypatch.setattr(X, "_PASSAGES", batch)
+        seen.append([(k, q.tolist(), b) for k, q, b in index.live_blocks(terms, -(-len(terms) // X.UNIT))])
+    assert seen[0] and seen[0] == seen[1] == seen[2]
+    for k, query, _ in seen[0]:
+        assert query == sorted({t for t in terms[k * X.UNIT:(k + 2) * X.UNIT].tolist() if t >= 0})
+
+
 def test_planted_items_are_found_and_clean_texts_left_alone(spark, docs_of, monkeypatch):
     rng = random.Random(7)
     items = [(i, ". ".join(made_up(rng, rng.randint(6, 25)) for _ in range(rng.randint(1, 3)))) for i in range(40)]
