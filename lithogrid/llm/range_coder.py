@@ -4,17 +4,19 @@ A file holds the ids of consecutive documents, cut into blocks of BLOCK ids.
 Every block starts from an empty model and has a checksum, so blocks decode
 alone; the blocks of a file are coded side by side, one numpy lane each.
 
-An id is coded in up to three steps. Order 2 and order 1 (the ids after the
+An id is one symbol of the range coder, and bits within a class beside it. Order 2 and order 1 (the ids after the
 last two ids, and after the last one, in hashed tables with a confidence)
-each predict an id; whether one of them is right is coded with the mean of two
-adaptive distributions, chosen by the confidence of either order. Otherwise
-order 0 codes the id: by its place in a list of the block's ids that moves
-ids forward as they recur, or by its number of bits, with an adaptive
-distribution over these classes; the bits within a class follow as they are.
+each predict an id; the shares of "order 2 is right" and "order 1 is right"
+are the mean of two adaptive distributions, chosen by the confidence of either
+order. The rest of the interval belongs to order 0, which codes the id by its place in a list of
+the block's ids that moves ids forward as they recur, or by its number of
+bits, with an adaptive distribution over these classes. The bits that tell
+ids of a class apart go to a bit string of the block as they are.
 
 File layout, little-endian: header (magic, counts), documents (id, has-id
-flag, ids in the document), blocks (words, checksum of its coded bytes), checksum of all
-that, then the blocks' 16-bit words. A document never spans two files.
+flag, ids in the document), blocks (bytes, bytes of them that are
+range-coded words, checksum), checksum of all
+that, then the blocks: words, then bit string. A document never spans two files.
 """
 
 from __future__ import annotations
@@ -25,25 +27,30 @@ import zlib
 import numpy as np
 
 MAGIC = b"LTC1"
-BLOCK = 2048
+BLOCK = 1024
 MAX_ID = (1 << 16) - 1
 
 _TOTAL = 14                       # bits of a distribution
 _T = 1 << _TOTAL
+_SCALE = 16                       # bits of a symbol's share: four times finer than a distribution
+_WHOLE = 1 << _SCALE
 _KEEP = 16                        # least share of a symbol
 _CLASSES = 16
 _LIST = 128
-_W1, _W2 = 10, 11                 # bits of the order-1 and order-2 tables
-_SEEN = 11                        # bits of the encoder's table of places in the list
+_W1, _W2 = 8, 9                   # bits of the order-1 and order-2 tables
+_SEEN = 9                         # bits of the encoder's table of places in the list
 _TOP = 32                         # a 48-bit interval sheds its top 16 bits below 2**_TOP
 _MASK = (1 << _TOP) - 1
+_SMALL = 1 << 28                  # an interval cut this short by a word's edge sheds again
 _HEADER = "<4sIIIQ"
 _HEADER_SIZE = struct.calcsize(_HEADER)
 #: Raw bits by class: places in the list by powers of two, then ids by their number of bits.
 _RAW = np.array([0, 0, 1, 2, 3, 4, 5, 6, 9, 9, 10, 11, 12, 13, 14, 15])
 _BASE = np.array([0, 1, 2, 4, 8, 16, 32, 64, 0, 512, 1024, 2048, 4096, 8192, 16384, 32768])
 _LENGTH = np.array([n.bit_length() for n in range(1 << 16)], np.int8)
-_STEP = np.arange(1, _CLASSES, dtype=np.int32)[:, None]
+_STEP = np.arange(1, _CLASSES, dtype=np.int16)[:, None]
+_HIGH = (_T - (_CLASSES - _STEP) * _KEEP).astype(np.int16)
+_ROW = _STEP.astype(np.int32)
 
 
 class _Model:
@@ -56,7 +63,7 @@ class _Model:
         start = np.int32(_T // 3 | (2 * _T // 3) << 16)
         self.by_two = np.full(9 * lanes, start)
         self.by_one = np.full(18 * lanes, start)
-        self.classes = np.repeat((_STEP * (_T // _CLASSES)).astype(np.int32), lanes, axis=1)
+        self.classes = np.repeat((_STEP * (_T // _CLASSES)).astype(np.int16), lanes, axis=1)
         self.list = np.full(_LIST * lanes, -1, np.int32)
         self.fresh = np.zeros(lanes, np.int64)
         self.last = np.zeros(lanes, np.int64)
@@ -76,8 +83,8 @@ class _Model:
         by1 = np.where(e1 < 0, 8, (e1 & 3) * 2 + agree) * 2 + self.right[:n]
         self.in2, self.in1 = by2 * self.stride + lane, by1 * self.stride + lane
         self.d2, self.d1 = self.by_two[self.in2], self.by_one[self.in1]
-        mixed = (self.d2 & 0xFFFF) + (self.d1 & 0xFFFF) >> 1
-        return mixed.astype(np.int64), ((self.d2 >> 16) + (self.d1 >> 16) >> 1).astype(np.int64)
+        c1, c2 = (self.d2 & 0xFFFF) + (self.d1 & 0xFFFF), (self.d2 >> 16) + (self.d1 >> 16)
+        return (c1 << 1).astype(np.int64), (c2 << 1).astype(np.int64)
 
     def learn(self, n: int, said: np.ndarray, ids: np.ndarray) -> None:
         """said: 0 order 2 was right, 1 order 1 was, 2 neither."""
@@ -94,10 +101,20 @@ class _Model:
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
-    def learn_class(self, some: np.ndarray, cls: np.ndarray) -> None:
-        bounds = self.classes[:, some]
-        goal = np.where(_STEP <= cls, _STEP * _KEEP, _T - (_CLASSES - _STEP) * _KEEP).astype(np.int32)
-        self.classes[:, some] = bounds + (goal - bounds >> 5)
+    def learn_class(self, n: int, cls: np.ndarray) -> None:
+        """cls: the class that order 0 coded, _CLASSES where it coded none."""
+        bounds = self.classes[:, :n]
+        goal = np.where(_STEP <= cls, _STEP * np.int16(_KEEP), _HIGH)
+        goal -= bounds
+        goal >>= 5
+        goal *= cls < _CLASSES
+        bounds += goal
+
+    def class_bound(self, some: np.ndarray, k: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        """Where class k starts, k up to _CLASSES; every class has a share."""
+        inner = np.where(k > 0, self.classes[np.clip(k, 1, _CLASSES - 1) - 1, some], 0).astype(np.int64)
+        inner[k == _CLASSES] = _T
+        return c2 + k + ((_WHOLE - _CLASSES - c2) * inner >> _TOTAL)
 
 
 class _Interval:
@@ -123,56 +140,75 @@ class _Interval:
 class _Writer(_Interval):
     def __init__(self, lanes: int, ids: int):
         super().__init__(lanes)
-        self.words = np.zeros((lanes, 3 * ids + 3), np.uint16)
+        self.words = np.zeros((lanes, 2 * ids + 3), np.uint16)
         self.used = np.zeros(lanes, np.int64)
-
-    def put(self, lanes, start: np.ndarray, size: np.ndarray, bits) -> None:
-        low, rng = self.low[lanes], self.range[lanes]
-        unit = rng >> bits
-        low = low + start * unit
-        rng = unit * size
-        some, word, lo, r = self.shed(low, rng)
-        low[some], rng[some] = lo, r
-        self.low[lanes], self.range[lanes] = low, rng
-        at = self.lane(lanes, some)
-        self.words[at, self.used[at]] = word
-        self.used[at] += 1
-
-    @staticmethod
-    def lane(lanes, some: np.ndarray) -> np.ndarray:
-        return some if isinstance(lanes, slice) else lanes[some]
-
-    def finish(self) -> list[bytes]:
+        self.deep = np.zeros((ids, lanes), np.uint16)
+        self.bits = np.zeros((ids, lanes), np.uint8)
+
+    def put(self, n: int, start: np.ndarray, stop: np.ndarray) -> None:
+        unit = self.range[:n] >> _SCALE
+        low, rng = self.low[:n], self.range[:n]
+        low += start * unit
+        np.multiply(unit, stop - start, out=rng)
+        again = True
+        while again:
+            some, word, lo, r = self.shed(low, rng)
+            low[some], rng[some] = lo, r
+            self.words[some, self.used[some]] = word
+            self.used[some] += 1
+            again = bool((r < _SMALL).any())
+
+    def finish(self) -> list[tuple[bytes, bytes]]:
+        """(words, bit string) of each lane."""
         for shift in (32, 16, 0):
             self.words[np.arange(len(self.used)), self.used] = self.low >> shift & 0xFFFF
             self.used += 1
-        return [row[:n].astype("<u2").tobytes() for row, n in zip(self.words, self.used.tolist())]
+        places = np.arange(16, dtype=np.uint16)
+        out = []
+        for lane, (row, n) in enumerate(zip(self.words, self.used.tolist())):
+            value, size = self.deep[:, lane, None], self.bits[:, lane, None]
+            # the bits of each value from its highest on
+            spread = (value >> np.maximum(size.astype(np.int16) - 1 - places.astype(np.int16), 0).astype(np.uint16) & 1)
+            out.append((row[:n].astype("<u2").tobytes(), np.packbits(spread[places < size].astype(np.uint8)).tobytes()))
+        return out
 
 
 class _Reader(_Interval):
-    def __init__(self, coded: list[bytes]):
+    def __init__(self, coded: list[tuple[bytes, bytes]]):
         super().__init__(len(coded))
-        self.words = np.frombuffer(b"".join(coded) + bytes(6), "<u2").astype(np.int64)
-        ends = np.cumsum([len(x) // 2 for x in coded])
+        self.words = np.frombuffer(b"".join(x for x, _ in coded) + bytes(6), "<u2").astype(np.int64)
+        ends = np.cumsum([len(x) // 2 for x, _ in coded])
         self.next = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        raw = np.frombuffer(b"".join(x for _, x in coded) + bytes(4), np.uint8).astype(np.int32)
+        #: Three bytes from every byte on.
+        self.raw = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
+        sizes = [len(x) for _, x in coded]
+        self.bit = 8 * (np.cumsum(sizes) - sizes).astype(np.int64)
         self.code = np.zeros(len(coded), np.int64)
         for _ in range(3):
             self.code = self.code << 16 | self.words[self.next]
             self.next += 1
 
-    def target(self, lanes, bits) -> np.ndarray:
-        self.unit = self.range[lanes] >> bits
-        return (self.code[lanes] - self.low[lanes]) // self.unit
+    def target(self, n: int) -> np.ndarray:
+        self.unit = self.range[:n] >> _SCALE
+        return np.minimum((self.code[:n] - self.low[:n]) // self.unit, _WHOLE - 1)
+
+    def take(self, n: int, start: np.ndarray, stop: np.ndarray) -> None:
+        low, rng = self.low[:n], self.range[:n]
+        low += start * self.unit
+        np.multiply(self.unit, stop - start, out=rng)
+        again = True
+        while again:
+            some, word, lo, r = self.shed(low, rng)
+            low[some], rng[some] = lo, r
+            self.code[some] = (self.code[some] - (word << _TOP)) << 16 | self.words[self.next[some]]
+            self.next[some] = np.minimum(self.next[some] + 1, len(self.words) - 1)
+            again = bool((r < _SMALL).any())
 
-    def take(self, lanes, start: np.ndarray, size: np.ndarray) -> None:
-        low = self.low[lanes] + start * self.unit
-        rng = self.unit * size
-        some, word, lo, r = self.shed(low, rng)
-        low[some], rng[some] = lo, r
-        self.low[lanes], self.range[lanes] = low, rng
-        at = _Writer.lane(lanes, some)
-        self.code[at] = (self.code[at] - (word << _TOP)) << 16 | self.words[np.minimum(self.next[at], len(self.words) - 1)]
-        self.next[at] += 1
+    def deep(self, some: np.ndarray, size: np.ndarray) -> np.ndarray:
+        bit = self.bit[some]
+        self.bit[some] = bit + size
+        return self.raw[np.minimum(bit >> 3, len(self.raw) - 1)] >> (24 - (bit & 7) - size) & (1 << size) - 1
 
 
 def _rows(ids: np.ndarray, block: int) -> tuple[np.ndarray, int]:
@@ -183,7 +219,8 @@ def _rows(ids: np.ndarray, block: int) -> tuple[np.ndarray, int]:
     return np.ascontiguousarray(wide.reshape(lanes, block).T), len(ids) - (lanes - 1) * block
 
 
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
+def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[tuple[bytes, bytes]]:
+    """(range-coded words, bit string) of each block."""
     if not len(ids):
         return []
     if ids.max() > MAX_ID:
@@ -197,28 +234,23 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
         now = rows[t, :n]
         c1, c2 = model.predict(n)
         said = np.where(now == model.p2, 0, np.where(now == model.p1, 1, 2))
-        start = np.where(said == 0, 0, np.where(said == 1, c1, c2))
-        stop = np.where(said == 0, c1, np.where(said == 1, c2, _T))
-        out.put(slice(0, n), start, stop - start, _TOTAL)
+        start, stop = c1 * (said == 1), np.where(said == 0, c1, c2)
         some = np.flatnonzero(said == 2)
+        classes = np.full(n, _CLASSES, np.int16)
         if len(some):
             x = now[some]
             spot = (some << _SEEN) + (x * 40503 >> 4 & (1 << _SEEN) - 1)
             place = seen[spot].astype(np.int64)
             listed = model.list[place * model.stride + some] == x
             cls = np.where(listed, _LENGTH[place], np.maximum(_LENGTH[x], 9) - 1)
-            bounds = model.classes[:, some]
-            column = np.arange(len(some))
-            start = np.where(cls > 0, bounds[cls - 1, column], 0).astype(np.int64)
-            stop = np.where(cls < _CLASSES - 1, bounds[np.minimum(cls, _CLASSES - 2), column], _T)
-            out.put(some, start, stop - start, _TOTAL)
-            model.learn_class(some, cls)
-            raw = _RAW[cls]
-            deep = np.flatnonzero(raw)
-            if len(deep):
-                value = (np.where(listed, place, x) - _BASE[cls])[deep]
-                out.put(some[deep], value, np.ones(len(deep), np.int64), raw[deep])
+            c2_some = c2[some]
+            start[some], stop[some] = model.class_bound(some, cls, c2_some), model.class_bound(some, cls + 1, c2_some)
+            classes[some] = cls
+            out.bits[t, some] = _RAW[cls]
+            out.deep[t, some] = np.where(listed, place, x) - _BASE[cls]
             _move(model, some, x, np.where(listed, place, -1), seen)
+        out.put(n, start, stop)
+        model.learn_class(n, classes)
         model.learn(n, said, now)
     return out.finish()
 
@@ -239,7 +271,7 @@ def _move(model: _Model, some: np.ndarray, x: np.ndarray, place: np.ndarray, see
         seen[(some << _SEEN) + (x * 40503 >> 4 & (1 << _SEEN) - 1)] = to
 
 
-def decode_blocks(coded: list[bytes], count: int, block: int = BLOCK) -> np.ndarray:
+def decode_blocks(coded: list[tuple[bytes, bytes]], count: int, block: int = BLOCK) -> np.ndarray:
     lanes = len(coded)
     if not lanes:
         return np.empty(0, np.int64)
@@ -249,38 +281,29 @@ def decode_blocks(coded: list[bytes], count: int, block: int = BLOCK) -> np.ndar
     for t in range(short if lanes == 1 else block):
         n = lanes if t < short else lanes - 1
         c1, c2 = model.predict(n)
-        every = slice(0, n)
-        target = read.target(every, _TOTAL)
-        said = (target >= c1).astype(np.int64) + (target >= c2)
-        start = np.where(said == 0, 0, np.where(said == 1, c1, c2))
-        stop = np.where(said == 0, c1, np.where(said == 1, c2, _T))
-        read.take(every, start, stop - start)
-        now = np.where(said == 0, model.p2, model.p1).astype(np.int64)
-        some = np.flatnonzero(said == 2)
+        target = read.target(n)
+        first, second = target < c1, target < c2
+        start, stop = np.where(first, 0, c1), np.where(first, c1, c2)
+        now = np.where(first, model.p2, model.p1).astype(np.int64)
+        some = np.flatnonzero(~second)
+        classes = np.full(n, _CLASSES, np.int16)
         if len(some):
-            target = np.minimum(read.target(some, _TOTAL), _T - 1)
-            bounds = model.classes[:, some]
-            cls = (bounds <= target).sum(0)
-            column = np.arange(len(some))
-            start = np.where(cls > 0, bounds[cls - 1, column], 0).astype(np.int64)
-            stop = np.where(cls < _CLASSES - 1, bounds[np.minimum(cls, _CLASSES - 2), column], _T)
-            read.take(some, start, stop - start)
-            model.learn_class(some, cls)
-            raw = _RAW[cls]
-            value = _BASE[cls]
-            deep = np.flatnonzero(raw)
-            if len(deep):
-                more = read.target(some[deep], raw[deep])
-                more = np.minimum(more, (1 << raw[deep]) - 1)
-                read.take(some[deep], more, np.ones(len(deep), np.int64))
-                value[deep] += more
+            c2_some, inner = c2[some], model.classes[:, :n]
+            inner = inner if len(some) == n else inner[:, some]
+            rest = (target[some] - c2_some).astype(np.int32)
+            cls = ((((_WHOLE - _CLASSES - c2_some).astype(np.int32) * inner >> _TOTAL) + _ROW) <= rest).sum(0)
+            start[some], stop[some] = model.class_bound(some, cls, c2_some), model.class_bound(some, cls + 1, c2_some)
+            classes[some] = cls
+            value = _BASE[cls] + read.deep(some, _RAW[cls])
             listed = cls < 8
             place = np.where(listed, value, 0)
             x = np.where(listed, model.list[place * model.stride + some], value)
             _move(model, some, x, np.where(listed, place, -1), None)
             now[some] = x
+        read.take(n, start, stop)
         rows[t, :n] = now
-        model.learn(n, said, now)
+        model.learn_class(n, classes)
+        model.learn(n, 2 - second.astype(np.int64) - first, now)
     return np.ascontiguousarray(rows.T).ravel()[:count]
 
 
@@ -290,25 +313,26 @@ def write_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray,
     head += np.array([i or 0 for i in doc_ids], "<i8").tobytes()
     head += np.array([i is not None for i in doc_ids], "u1").tobytes()
     head += np.asarray(lengths, "<u8").tobytes()
-    head += np.array([[len(x) // 2, zlib.crc32(x)] for x in coded], "<u4").tobytes()
-    return head + struct.pack("<I", zlib.crc32(head)) + b"".join(coded)
+    head += np.array([[len(x) + len(y), len(x), zlib.crc32(x + y)] for x, y in coded], "<u4").tobytes()
+    return head + struct.pack("<I", zlib.crc32(head)) + b"".join(x + y for x, y in coded)
 
 
 def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(document ids, ids in each document, all ids); a damaged file raises ValueError."""
     magic, block, blocks, docs, count = struct.unpack_from(_HEADER, data)
-    at = _HEADER_SIZE + 17 * docs + 8 * blocks
+    at = _HEADER_SIZE + 17 * docs + 12 * blocks
     if magic != MAGIC or struct.unpack_from("<I", data, at)[0] != zlib.crc32(data[:at]):
         raise ValueError("not a token-id file, or its header is damaged")
     numbers = np.frombuffer(data, "<i8", docs, _HEADER_SIZE).tolist()
     known = np.frombuffer(data, "u1", docs, _HEADER_SIZE + 8 * docs).tolist()
     lengths = np.frombuffer(data, "<u8", docs, _HEADER_SIZE + 9 * docs).astype(np.int64)
-    index = np.frombuffer(data, "<u4", 2 * blocks, _HEADER_SIZE + 17 * docs).reshape(-1, 2).tolist()
+    index = np.frombuffer(data, "<u4", 3 * blocks, _HEADER_SIZE + 17 * docs).reshape(-1, 3).tolist()
     coded, at = [], at + 4
-    for words, checksum in index:
-        coded.append(data[at:at + 2 * words])
-        at += 2 * words
-        if len(coded[-1]) < 2 * words or zlib.crc32(coded[-1]) != checksum:
-            raise ValueError(f"block {len(coded) - 1} is damaged")
+    for size, words, checksum in index:
+        part = data[at:at + size]
+        at += size
+        if len(part) < size or zlib.crc32(part) != checksum:
+            raise ValueError(f"block {len(coded)} is damaged")
+        coded.append((part[:words], part[words:]))
     ids = decode_blocks(coded, count, block)
     return [i if k else None for i, k in zip(numbers, known)], lengths, ids
