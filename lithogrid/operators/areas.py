@@ -19,6 +19,13 @@ BAD_RESOLUTION = "voxel_size_m must be positive"
 AREA_OVER_BUDGET = "Area exceeds configured build budget; split into smaller areas"
 BAD_SOURCE = "Every source needs url and license"
 BBOX_CHECK, RESOLUTION_CHECK, AREA_CHECK, SOURCE_CHECK = 1, 2, 3, 4
+
+# Gates on the inputs as a whole; they come before all others.
+INPUT_CHECK = 0
+REPEATED_AREA, UNKNOWN_AREA = 1, 2
+AREA_TWICE = "Area is configured more than once"
+NO_SUCH_AREA = "Input names an area that is not configured"
+SOURCE_WITHOUT_ID = "Every source needs an id"
 NO_POSITION = -1
 
 
@@ -72,13 +79,29 @@ def area_violations(framed: DataFrame) -> DataFrame:
 
 
 def source_violations(registry: DataFrame) -> DataFrame:
-    return registry.filter(~F.col("complete")).select(
+    """Sources without an id, an address or a license."""
+    return registry.filter(~F.col("complete") | F.col("id").isNull()).select(
         "area_id", F.lit(SOURCE_CHECK).alias("stage"), F.lit(NO_POSITION).cast("bigint").alias("pos"),
-        F.lit(0).alias("code"), F.lit(BAD_SOURCE).alias("message"))
+        F.lit(0).alias("code"), F.when(F.col("id").isNull(), SOURCE_WITHOUT_ID).otherwise(BAD_SOURCE).alias("message"))
+
+
+def input_violations(areas: DataFrame, *inputs: DataFrame) -> DataFrame:
+    """Areas configured twice, and area ids of inputs (or null ones) that are not configured."""
+    def listed(df: DataFrame, code: int, message: str) -> DataFrame:
+        return df.select(
+            "area_id", F.lit(INPUT_CHECK).alias("stage"), F.lit(NO_POSITION).cast("bigint").alias("pos"),
+            F.lit(code).alias("code"), F.lit(message).alias("message"))
+
+    counted = areas.groupBy("area_id").agg(F.count(F.lit(1)).alias("n"))
+    found = listed(counted.filter("n > 1"), REPEATED_AREA, AREA_TWICE)
+    for rows in inputs:
+        cited = rows.select("area_id").distinct()
+        found = found.unionByName(listed(cited.join(counted, "area_id", "left_anti"), UNKNOWN_AREA, NO_SUCH_AREA))
+    return found.distinct()
 
 
 def attach_frame(features: DataFrame, framed: DataFrame, broadcast: bool | None = None) -> DataFrame:
-    """Give every feature its area's local system; features of unknown areas drop out."""
+    """Give every feature its area's local system; ``input_violations`` lists those of unknown areas."""
     return lookup(features, framed.select("area_id", *FRAME), ["area_id"], "inner", broadcast=broadcast)
 
 
@@ -97,11 +120,22 @@ def pair_areas(features: DataFrame, areas: DataFrame, key: str = "pos", broadcas
 
     ``features`` has ``west, south, east, north`` and a unique ``key``. Both
     sides have a grid level that fits their size, where they cover at most four
-    cells, and a pair meets on the coarser of its two levels. Areas are listed
-    on every level from their own up, features on their own and on the levels
-    that areas have. The pair is kept in one cell: the one that holds the
-    lower-left corner of the overlap.
+    cells, and a pair meets on the coarser of its two levels: areas no coarser
+    than the feature are listed on the feature's level too, and features are
+    listed on the levels of coarser areas, so no joined row has the wrong
+    level. The pair is kept in one cell: the one that holds the lower-left
+    corner of the overlap.
     """
+    joined = level_joins(features, areas, key, broadcast)
+    return joined.filter(
+        "west <= area_east AND east >= area_west AND south <= area_north AND north >= area_south "
+        f"AND cx = {_cell('greatest(west, area_west)', 'level')} "
+        f"AND cy = {_cell('greatest(south, area_south)', 'level')}"
+    ).drop("level", "own_level", "cx", "cy", "area_west", "area_south", "area_east", "area_north")
+
+
+def level_joins(features: DataFrame, areas: DataFrame, key: str = "pos", broadcast: bool | None = None) -> DataFrame:
+    """Features and areas that share a cell of the coarser of their levels."""
     extent = "greatest(east - west, north - south)"
     level = f"least({LEVELS - 1}, greatest(0, cast(ceil(log2(greatest({extent}, 1e-12D) / {FINEST_CELL_DEG}D)) AS INT)))"
 
@@ -110,20 +144,22 @@ def pair_areas(features: DataFrame, areas: DataFrame, key: str = "pos", broadcas
         rows = f"sequence({_cell('south', 'level')}, {_cell('north', 'level')})"
         return df.withColumn("cx", F.explode(F.expr(columns))).withColumn("cy", F.explode(F.expr(rows)))
 
+    def boxes(df: DataFrame) -> DataFrame:
+        return cells(df).select("level", "cx", "cy", "area_id", *[
+            F.col(c).alias(f"area_{c}") for c in ("west", "south", "east", "north")])
+
     sized = areas.withColumn("area_level", F.expr(level))
     # At most LEVELS values, whatever the number of areas.
     used = sorted(r.area_level for r in sized.select("area_level").distinct().collect())
     coarser = f"filter(cast(array({', '.join(map(str, used))}) AS array<int>), l -> l > own_level)"
-    placed = cells(features.withColumn("own_level", F.expr(level)).withColumn(
-        "level", F.explode(F.expr(f"concat(array(own_level), {coarser})"))))
-    listed = cells(sized.withColumn("level", F.explode(F.expr(f"sequence(area_level, {LEVELS - 1})"))))
-    boxes = listed.select(
-        "level", "cx", "cy", "area_id", "area_level",
-        *[F.col(c).alias(f"area_{c}") for c in ("west", "south", "east", "north")])
-    joined = lookup(placed, boxes, ["level", "cx", "cy"], "inner", spread_by=(key,), broadcast=broadcast)
-    return joined.filter(
-        "level = greatest(own_level, area_level) "
-        "AND west <= area_east AND east >= area_west AND south <= area_north AND north >= area_south "
-        f"AND cx = {_cell('greatest(west, area_west)', 'level')} "
-        f"AND cy = {_cell('greatest(south, area_south)', 'level')}"
-    ).drop("level", "own_level", "area_level", "cx", "cy", "area_west", "area_south", "area_east", "area_north")
+    placed = features.withColumn("own_level", F.expr(level))
+    meet = ["level", "cx", "cy"]
+    finer_areas = lookup(
+        cells(placed.withColumn("level", F.col("own_level"))),
+        boxes(sized.withColumn("level", F.explode(F.expr(f"sequence(area_level, {LEVELS - 1})")))),
+        meet, "inner", spread_by=(key,), broadcast=broadcast)
+    coarser_areas = lookup(
+        cells(placed.withColumn("level", F.explode(F.expr(coarser)))),
+        boxes(sized.withColumn("level", F.col("area_level"))),
+        meet, "inner", spread_by=(key,), broadcast=broadcast)
+    return finer_areas.unionByName(coarser_areas)

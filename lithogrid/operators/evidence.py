@@ -18,6 +18,8 @@ DEFAULT_KIND = "structure"
 
 # Order of the fatal checks within one feature.
 FEATURE_STAGE = 5
+REPEATED_POSITION = 0
+POSITION_TWICE = "Position is used by more than one feature"
 UNREGISTERED, UNREADABLE_GEOMETRY, BAD_WIDTH, BAD_ELEVATION, OUT_OF_REACH = 1, 2, 4, 5, 6
 
 
@@ -113,6 +115,14 @@ def feature_violations(checked: DataFrame) -> DataFrame:
         message.alias("message"))
 
 
+def repeated_positions(features: DataFrame) -> DataFrame:
+    """Positions that do not name one feature of their area, in the form of the other gates."""
+    counted = features.groupBy("area_id", "pos").agg(F.count(F.lit(1)).alias("n"))
+    return counted.filter("n > 1").select(
+        "area_id", F.lit(FEATURE_STAGE).alias("stage"), "pos", F.lit(REPEATED_POSITION).alias("code"),
+        F.lit(POSITION_TWICE).alias("message"))
+
+
 def issues_of(checked: DataFrame) -> DataFrame:
     """One row per feature with an error, or with assumptions."""
     is_error = F.col("error").isNotNull()

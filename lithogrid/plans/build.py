@@ -18,6 +18,7 @@ from lithogrid.sources.geojson import parse_geometry
 
 # The budget gate's message.
 VOXELS_OVER_BUDGET = "Voxel budget exceeded; reduce area or increase voxel size"
+NO_BUDGET = "max_voxels must be a number"
 BUDGET_CHECK = 6
 
 _AREAL = "geom_type IN ('Polygon', 'MultiPolygon')"
@@ -40,6 +41,7 @@ class BuildResult:
     violations: DataFrame
     spans: DataFrame
     voxel_counts: DataFrame
+    work: Workspace
 
     @property
     def voxels(self) -> DataFrame:
@@ -69,6 +71,13 @@ class BuildResult:
         return report.list_pieces(self.registry, self.issues, self.skipped)
 
 
+def retain_evidence(inputs: dict[str, DataFrame], path: str) -> None:
+    """Keep input rows as they were read; values that Parquet lacks become JSON text."""
+    for name, rows in inputs.items():
+        plain = [F.to_json(c).alias(c) if kind == "variant" else F.col(c) for c, kind in rows.dtypes]
+        rows.select(plain).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def raise_first(violations: DataFrame) -> None:
     first = violations.orderBy("area_id", "stage", "pos", "code").limit(1).collect()
     if first:
@@ -157,20 +166,29 @@ def build(
     skipped: DataFrame | None = None,
     violations: DataFrame | None = None,
     on_violation: str = "raise",
+    evidence_path: str | None = None,
 ) -> BuildResult:
     """Run all gates and derive everything short of the voxel rows.
 
+    Features without a column ``area_id`` belong to every area that their
+    envelope overlaps.
     The first violation (by area, stage, position) raises :class:`GateError`.
     With ``on_violation="skip"`` the areas concerned are left out instead and
-    listed in the result's ``violations``; the other areas go on.
+    listed in the result's ``violations``; the other areas go on. The inputs are
+    kept under ``evidence_path``, before any gate, so that they outlive a failed run.
     """
     spark = areas.sparkSession
     work = Workspace(spark)
+    if evidence_path:
+        retain_evidence({"areas": areas, "sources": sources, "features": features}, evidence_path)
     skip = on_violation == "skip"
 
     framed = work.save(area_ops.frame_areas(areas), "areas")
     registry = work.save(config_source.registry(sources), "registry")
-    found = area_ops.area_violations(framed).unionByName(area_ops.source_violations(registry))
+    if "area_id" not in features.columns:
+        features = with_areas(features, framed)
+    found = area_ops.input_violations(framed, features, registry).unionByName(
+        area_ops.area_violations(framed)).unionByName(area_ops.source_violations(registry))
     if violations is not None:
         found = found.unionByName(violations)
     found = work.save(found, "area-violations")
@@ -180,7 +198,8 @@ def build(
 
     prepared = work.save(prepare(features, usable, registry), "prepared")
     checked = evidence.with_reach_check(_with_large(prepared, work))
-    broken = work.save(evidence.feature_violations(checked), "feature-violations")
+    broken = work.save(evidence.feature_violations(checked).unionByName(
+        evidence.repeated_positions(prepared)), "feature-violations")
     if not skip:
         raise_first(broken)
     failed = broken.select("area_id").distinct()
@@ -212,18 +231,44 @@ def build(
         violations=all_failed,
         spans=spans,
         voxel_counts=counts,
+        work=work,
     )
 
 
+def with_areas(features: DataFrame, framed: DataFrame) -> DataFrame:
+    """Features of one collection, once for each area whose box their envelope overlaps.
+
+    Features without an envelope (empty or unreadable geometry) lie nowhere;
+    they are reported once, in the area with the smallest id.
+    """
+    parsed = parse_geometry(features)
+
+    def bound(kind: str, axis: str):
+        return F.expr(f"array_{kind}(flatten(transform(rings, g -> g.{axis})))")
+
+    boxed = parsed.select(
+        "*", bound("min", "lon").alias("west"), bound("min", "lat").alias("south"),
+        bound("max", "lon").alias("east"), bound("max", "lat").alias("north"))
+    boxes = framed.filter(area_ops.bbox_is_valid()).select("area_id", "west", "south", "east", "north")
+    nowhere = F.col("malformed") | F.col("west").isNull() | F.col("south").isNull()
+    paired = area_ops.pair_areas(boxed.filter(~nowhere), boxes).select("area_id", *parsed.columns)
+    first = framed.agg(F.min("area_id")).first()[0]
+    return paired.unionByName(boxed.filter(nowhere).select(F.lit(first).alias("area_id"), *parsed.columns))
+
+
 def voxel_counts(spans: DataFrame) -> DataFrame:
     """Voxels per area, counted from the spans before any voxel row exists."""
     return spans.groupBy("area_id").agg(F.sum(raster.span_voxels(spans)).alias("voxel_records"))
 
 
 def budget_violations(framed: DataFrame, counts: DataFrame) -> DataFrame:
-    return framed.join(counts, "area_id").filter("voxel_records > max_voxels").select(
+    """Areas over their voxel budget, and those whose budget is no number."""
+    known = framed.join(counts, "area_id", "left")
+    within = F.coalesce(F.coalesce("voxel_records", F.lit(0)) <= F.col("max_voxels"), F.lit(False))
+    return known.filter(~within).select(
         "area_id", F.lit(BUDGET_CHECK).alias("stage"), F.lit(-1).cast("bigint").alias("pos"),
-        F.lit(0).alias("code"), F.lit(VOXELS_OVER_BUDGET).alias("message"))
+        F.lit(0).alias("code"),
+        F.when(F.col("max_voxels").isNull(), NO_BUDGET).otherwise(VOXELS_OVER_BUDGET).alias("message"))
 
 
 def build_from_osm(areas: DataFrame, sources: DataFrame, extracts: DataFrame, **options) -> BuildResult:
@@ -236,6 +281,6 @@ def build_from_osm(areas: DataFrame, sources: DataFrame, extracts: DataFrame, **
         config_source.with_osm_source(sources, areas),
         osm.osm_features(classified),
         skipped=osm.skipped_elements(classified),
-        violations=osm.incomplete_extracts(extracts),
+        violations=osm.incomplete_extracts(extracts).unionByName(area_ops.input_violations(areas, extracts)),
         **options,
     )

@@ -257,7 +257,8 @@ select concat('sup-', cast(s_suppkey as varchar(20))) as area_id, west, south,
     west + width as east, south + width as north from (
   select s_suppkey, cast(s_suppkey * 53 % 4000 as double) / {num('100')} - 20 as west,
     cast(s_suppkey * 31 % 2000 as double) / {num('100')} - 10 as south,
-    {num('0.03')} + cast(s_suppkey % 4 as double) * {num('0.2')} as width
+    case when s_suppkey = 1 then {num('60')} when s_suppkey % 50 = 2 then {num('5')}
+      else {num('0.03')} + cast(s_suppkey % 4 as double) * {num('0.2')} end as width
   from {{supplier}}) t"""
 
 
@@ -269,6 +270,15 @@ def supplier_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SUPPLIER_BOXES_SQL, **tables(spark, sf_dir, "supplier"))
 
 
+CONFIGURED_SQL = """
+select concat('area-', cast(n_nationkey as varchar(10))) as area_id from {nation} where n_nationkey % 7 <> 3
+union all select concat('area-', cast(n_nationkey as varchar(10))) as area_id from {nation} where n_nationkey % 5 = 2"""
+
+
+def configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(CONFIGURED_SQL, **tables(spark, sf_dir, "nation"))
+
+
 # --- registries and citations -------------------------------------------------------------------
 
 SUPPLIER_SOURCES_SQL = """

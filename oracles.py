@@ -396,9 +396,10 @@ ORACLES = {
     "voxel_counts": f"""select area_id, kind, cast(sum(y1 - y0) as bigint) as voxel_records from (
       select area_id, 'building' as kind, y0, y1 from (with {FOOTPRINTS} select * from layered) as p
       union all select area_id, 'path', y0, y1 from (with {CAPSULES} select * from layered) as l) as u group by area_id, kind""",
-    "voxel_budget": f"""with {FOOTPRINTS} select a.area_id, {build.BUDGET_CHECK} as stage, '{build.VOXELS_OVER_BUDGET}' as message
-    from area a join (select area_id, sum(y1 - y0) as n from layered group by area_id) as c on c.area_id = a.area_id
-    where n > 500 * (a.nation % 10)""",
+    "voxel_budget": f"""with {FOOTPRINTS} select a.area_id, {build.BUDGET_CHECK} as stage,
+      case when a.nation % 10 = 4 then '{build.NO_BUDGET}' else '{build.VOXELS_OVER_BUDGET}' end as message
+    from area a left join (select area_id, sum(y1 - y0) as n from layered group by area_id) as c on c.area_id = a.area_id
+    where coalesce(n, 0) > 500 * (a.nation % 10) or a.nation % 10 = 4""",
     "large_polygon_cells": f"with {STARS} {PER_FEATURE}",
     "project_vertices": f"""with {FOOTPRINTS} select pos, cast(row_number() over (partition by pos order by ring, i) - 1 as integer) as i,
       {tidy('x')} as x, {tidy('z')} as z from vertex""",
@@ -413,6 +414,13 @@ ORACLES = {
     select area_id, stage, case stage when {area_ops.BBOX_CHECK} then '{area_ops.BAD_BBOX}'
       when {area_ops.RESOLUTION_CHECK} then '{area_ops.BAD_RESOLUTION}' else '{area_ops.AREA_OVER_BUDGET}' end as message
     from staged where stage is not null""",
+    "input_gates": f"""with c as ({named(derived.CONFIGURED_SQL)}),
+      cited as (select area_id from ({named(derived.SUPPLIER_SOURCES_SQL)}) as s
+        union select area_id from ({named(derived.CITATIONS_SQL)}) as t)
+    select area_id, {area_ops.INPUT_CHECK} as stage, {area_ops.REPEATED_AREA} as code, '{area_ops.AREA_TWICE}' as message
+      from c group by area_id having count(*) > 1
+    union all select area_id, {area_ops.INPUT_CHECK}, {area_ops.UNKNOWN_AREA}, '{area_ops.NO_SUCH_AREA}'
+      from cited where area_id not in (select area_id from c)""",
     "pair_areas": f"""select o.pos, s.area_id from ({named(derived.ORDER_BOXES_SQL)}) as o join ({named(derived.SUPPLIER_BOXES_SQL)}) as s
       on o.west <= s.east and o.east >= s.west and o.south <= s.north and o.north >= s.south""",
     "line_clip": f"""with {LINES} select pos, cast(n - 1 as integer) as i,

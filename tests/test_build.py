@@ -9,11 +9,12 @@ import pytest
 from lithogrid import GateError, build, build_from_osm, publish
 from lithogrid.sources import config, geojson, osm
 
-SURVEY = {"id": "survey", "url": "https://example.org/survey", "license": "CC0"}
-CONFIG = {"bbox": [0, 0, 0.001, 0.001], "sources": [SURVEY]}
-BUILDING = {
-    "type": "Feature", "id": "building",
-    "properties": {"source_id": "survey", "kind": "building", "height_m": 3, "base_elevation_m": 10},
+PLAN = {"id": "plan", "url": "https://plans.test/city", "license": "CC-BY-4.0"}
+CONFIG = {"bbox": [0, 0, 0.001, 0.001], "sources": [PLAN]}
+# The coordinates and heights of the acceptance case.
+TOWER = {
+    "type": "Feature", "id": "tower",
+    "properties": {"source_id": "plan", "kind": "building", "height_m": 3, "base_elevation_m": 10},
     "geometry": {"type": "Polygon", "coordinates": [
         [[0.0004, 0.0004], [0.0006, 0.0004], [0.0006, 0.0006], [0.0004, 0.0006], [0.0004, 0.0004]]]},
 }
@@ -25,7 +26,7 @@ def square(west, south, east, north):
 
 def feature(geom_type, coordinates, **properties):
     return {"geometry": {"type": geom_type, "coordinates": coordinates},
-            "properties": {"source_id": "survey", "height_m": 1, "base_elevation_m": 0, **properties}}
+            "properties": {"source_id": "plan", "height_m": 1, "base_elevation_m": 0, **properties}}
 
 
 def run(spark, folder, features, configuration=CONFIG, **options):
@@ -37,18 +38,18 @@ def run(spark, folder, features, configuration=CONFIG, **options):
                  geojson.read_collections(spark, str(folder / "features")), **options)
 
 
-def test_metric_height_and_evidence(spark, tmp_path):
-    result = run(spark, tmp_path, [BUILDING])
+def test_tower_fills_its_layers(spark, tmp_path):
+    result = run(spark, tmp_path, [TOWER])
     rows = result.voxels.collect()
     assert len(rows) == 1452
     assert {r.y for r in rows} == {10, 11, 12}
     assert (min(r.x for r in rows), max(r.x for r in rows)) == (-11, 10)
-    assert {(r.kind, r.feature, r.source) for r in rows} == {("building", "building", "survey")}
+    assert {(r.kind, r.feature, r.source) for r in rows} == {("building", "tower", "plan")}
     assert result.issues.count() == 0
 
 
 def test_missing_evidence_is_an_issue(spark, tmp_path):
-    bare = copy.deepcopy(BUILDING)
+    bare = copy.deepcopy(TOWER)
     del bare["properties"]["height_m"]
     result = run(spark, tmp_path, [bare])
     issue = result.issues.collect()[0]
@@ -58,12 +59,12 @@ def test_missing_evidence_is_an_issue(spark, tmp_path):
 
 def test_budget_fails_before_any_voxel(spark, tmp_path):
     with pytest.raises(GateError, match="Voxel budget"):
-        run(spark, tmp_path, [BUILDING], {**CONFIG, "max_voxels": 1})
+        run(spark, tmp_path, [TOWER], {**CONFIG, "max_voxels": 1})
 
 
 def test_unknown_source_fails(spark, tmp_path):
-    with pytest.raises(GateError, match="building has no registered source"):
-        run(spark, tmp_path, [BUILDING], {**CONFIG, "sources": []})
+    with pytest.raises(GateError, match="tower has no registered source"):
+        run(spark, tmp_path, [TOWER], {**CONFIG, "sources": []})
 
 
 @pytest.mark.parametrize("change, message", [
@@ -71,16 +72,16 @@ def test_unknown_source_fails(spark, tmp_path):
     ({"bbox": [0, 0, 0.001, 90]}, "bbox must be"),
     ({"voxel_size_m": 0}, "voxel_size_m"),
     ({"max_area_m2": 100}, "Area exceeds"),
-    ({"sources": [{"id": "survey", "url": "u"}]}, "url and license"),
+    ({"sources": [{"id": "plan", "url": "u"}]}, "url and license"),
 ])
 def test_area_gates(spark, tmp_path, change, message):
     with pytest.raises(GateError, match=message):
-        run(spark, tmp_path, [BUILDING], {**CONFIG, **change})
+        run(spark, tmp_path, [TOWER], {**CONFIG, **change})
 
 
 def test_last_source_entry_wins(spark, tmp_path):
-    result = run(spark, tmp_path, [BUILDING], {**CONFIG, "sources": [{"id": "survey"}, SURVEY]})
-    assert [r.license for r in result.registry.collect()] == ["CC0"]
+    result = run(spark, tmp_path, [TOWER], {**CONFIG, "sources": [{"id": "plan"}, PLAN]})
+    assert [r.license for r in result.registry.collect()] == ["CC-BY-4.0"]
 
 
 def test_mixed_collection(spark, tmp_path):
@@ -147,7 +148,7 @@ def test_first_violation_by_position(spark, tmp_path):
 
 
 def test_publish_and_strict_gate(spark, tmp_path):
-    result = run(spark, tmp_path, [BUILDING], {**CONFIG, "strict": True})
+    result = run(spark, tmp_path, [TOWER], {**CONFIG, "strict": True})
     out = str(tmp_path / "out")
     summary = publish(result, out, rows_per_file=400)
     assert summary["voxel_records"] == 1452
@@ -157,13 +158,13 @@ def test_publish_and_strict_gate(spark, tmp_path):
     assert (header.voxel_records, header.features, header.strict_failed) == (1452, 1, False)
     assert spark.read.json(f"{out}/checksums").filter("length(sha256) = 64").count() == len(written.inputFiles())
     line = json.loads(spark.read.text(f"{out}/features-local").first().value)
-    assert line["id"] == "building" and len(line["geometry"]["coordinates"][0]) == 5
-    other = run(spark, tmp_path, [BUILDING], {**CONFIG, "strict": True})
+    assert line["id"] == "tower" and len(line["geometry"]["coordinates"][0]) == 5
+    other = run(spark, tmp_path, [TOWER], {**CONFIG, "strict": True})
     assert publish(other, str(tmp_path / "again"), voxel_format="json")["digest"] == summary["digest"]
 
 
 def test_strict_gate_fails_after_writing(spark, tmp_path):
-    bare = copy.deepcopy(BUILDING)
+    bare = copy.deepcopy(TOWER)
     del bare["properties"]["base_elevation_m"]
     result = run(spark, tmp_path, [bare], {**CONFIG, "strict": True})
     with pytest.raises(GateError, match="Strict"):
@@ -178,7 +179,7 @@ def test_failing_area_is_left_out_on_request(spark, tmp_path):
     os.makedirs(tmp_path / "features")
     for name, change in (("good", {}), ("small", {"max_voxels": 1}), ("bad", {"voxel_size_m": -1})):
         (tmp_path / "configs" / f"{name}.json").write_text(json.dumps({**CONFIG, **change}))
-        (tmp_path / "features" / f"{name}.json").write_text(json.dumps({"features": [BUILDING]}))
+        (tmp_path / "features" / f"{name}.json").write_text(json.dumps({"features": [TOWER]}))
     configs = config.read_configs(spark, str(tmp_path / "configs"))
     result = build(config.areas_of(configs), config.sources_of(configs),
                    geojson.read_collections(spark, str(tmp_path / "features")), on_violation="skip")
@@ -187,6 +188,98 @@ def test_failing_area_is_left_out_on_request(spark, tmp_path):
     assert result.headers.count() == 1
 
 
+def write_area(folder, stem, configuration, features):
+    for kind, body in (("configs", configuration), ("features", {"features": features})):
+        os.makedirs(folder / kind, exist_ok=True)
+        (folder / kind / f"{stem}.json").write_text(json.dumps(body))
+
+
+def read_areas(spark, folder):
+    configs = config.read_configs(spark, str(folder / "configs"))
+    return config.areas_of(configs), config.sources_of(configs)
+
+
+def test_features_of_unknown_areas_are_violations(spark, tmp_path):
+    write_area(tmp_path, "area", CONFIG, [TOWER])
+    os.rename(tmp_path / "features" / "area.json", tmp_path / "features" / "arae.json")
+    features = geojson.read_collections(spark, str(tmp_path / "features"))
+    with pytest.raises(GateError, match="not configured .area arae"):
+        build(*read_areas(spark, tmp_path), features)
+    result = build(*read_areas(spark, tmp_path), features, on_violation="skip")
+    assert [(r.area_id, r.message) for r in result.violations.collect()] == [
+        ("arae", "Input names an area that is not configured")]
+
+
+def test_areas_and_positions_are_unique(spark, tmp_path):
+    write_area(tmp_path, "area", CONFIG, [TOWER])
+    areas, sources = read_areas(spark, tmp_path)
+    features = geojson.read_collections(spark, str(tmp_path / "features"))
+    with pytest.raises(GateError, match="more than once"):
+        build(areas.unionByName(areas), sources, features)
+    with pytest.raises(GateError, match="more than one feature"):
+        build(areas, sources, features.unionByName(features))
+
+
+@pytest.mark.parametrize("change, message", [
+    ({"max_voxels": "abc"}, "max_voxels must be a number"),
+    ({"sources": [PLAN, {"url": "u", "license": "l"}]}, "needs an id"),
+])
+def test_unreadable_configuration_is_a_violation(spark, tmp_path, change, message):
+    with pytest.raises(GateError, match=message):
+        run(spark, tmp_path, [TOWER], {**CONFIG, **change})
+
+
+def test_one_collection_over_several_areas(spark, tmp_path):
+    for n in range(3):
+        write_area(tmp_path, f"area{n}", {**CONFIG, "bbox": [0.0005 * n, 0, 0.0005 * n + 0.0005, 0.001]}, [])
+    wide = feature("Polygon", [square(0.0002, 0.0004, 0.0008, 0.0005)])
+    point = feature("Point", [0.0012, 0.0001], width_m=2)
+    (tmp_path / "all.json").write_text(json.dumps({"features": [wide, point, feature("Polygon", [])]}))
+    features = geojson.read_collections(spark, str(tmp_path / "all.json")).drop("area_id")
+    result = build(*read_areas(spark, tmp_path), features)
+    assert {(r.area_id, r.pos) for r in result.accepted.collect()} == {("area0", 0), ("area1", 0), ("area2", 1)}
+    assert [(r.area_id, r.pos) for r in result.issues.filter("severity = 'error'").collect()] == [("area0", 2)]
+
+
+def test_failing_publish_leaves_nothing(spark, tmp_path, monkeypatch):
+    from lithogrid.plans import publish as sinks
+
+    def fail(*_):
+        raise RuntimeError("disk full")
+
+    result = run(spark, tmp_path, [TOWER], evidence_path=str(tmp_path / "evidence"))
+    monkeypatch.setattr(sinks, "checksums", fail)
+    with pytest.raises(RuntimeError):
+        publish(result, str(tmp_path / "out"))
+    assert not [p for p in os.listdir(tmp_path) if p.startswith("out")]
+    monkeypatch.undo()
+    publish(result, str(tmp_path / "out"))
+    with pytest.raises(FileExistsError):
+        publish(result, str(tmp_path / "out"))
+    header = spark.read.json(str(tmp_path / "out" / "quality-report")).first()
+    assert len(header.voxels_sha256) == 64 and header.voxel_files == 1
+    assert not os.path.exists(result.work.path.removeprefix("file:"))
+    kept = spark.read.parquet(str(tmp_path / "evidence" / "features"))
+    assert json.loads(kept.first().properties)["source_id"] == "plan"
+    assert spark.read.parquet(str(tmp_path / "evidence" / "sources")).first().license == "CC-BY-4.0"
+
+
+def test_evidence_outlives_a_failed_run(spark, tmp_path):
+    with pytest.raises(GateError):
+        run(spark, tmp_path, [TOWER], {**CONFIG, "max_voxels": 1}, evidence_path=str(tmp_path / "evidence"))
+    assert spark.read.parquet(str(tmp_path / "evidence" / "areas")).first().max_voxels == 1
+
+
+def test_few_files_for_many_areas(spark, tmp_path):
+    for n in range(12):
+        write_area(tmp_path, f"area{n}", CONFIG, [TOWER])
+    result = build(*read_areas(spark, tmp_path), geojson.read_collections(spark, str(tmp_path / "features")))
+    publish(result, str(tmp_path / "out"))
+    for name in ("features-local", "report-lists", "voxels"):
+        files = [f for _, _, fs in os.walk(tmp_path / "out" / name) for f in fs if f.startswith("part-")]
+        assert len(files) == 12, name
+
+
 def test_osm_run(spark, tmp_path):
     def points(coordinates):
         return [{"lon": x, "lat": y} for x, y in coordinates]

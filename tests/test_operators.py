@@ -279,3 +279,18 @@ def test_pairs_match_brute_force(spark):
         rows = [(r.pos, r.area_id) for r in area_ops.pair_areas(f, a, broadcast=broadcast).collect()]
         assert len(rows) == len(set(rows))
         assert set(rows) == expected
+
+
+def test_pairing_makes_no_product_with_a_world_wide_area(spark):
+    features = spark.range(2000).selectExpr(
+        "id AS pos", "cast(id % 50 AS DOUBLE) AS west", "cast(floor(id / 50) AS DOUBLE) AS south").selectExpr(
+        "*", "west + 0.01 AS east", "south + 0.01 AS north")
+    small = spark.range(500).selectExpr(
+        "concat('a', id) AS area_id", "cast(id % 25 AS DOUBLE) + 0.005 AS west", "cast(floor(id / 25) AS DOUBLE) AS south"
+    ).selectExpr("*", "west + 0.02 AS east", "south + 0.02 AS north")
+    world = spark.createDataFrame([("world", -180.0, -89.0, 180.0, 89.0)], small.schema)
+    boxes = small.unionByName(world)
+    pairs = area_ops.pair_areas(features, boxes)
+    found = pairs.count()
+    assert found == 2500 and pairs.distinct().count() == found
+    assert area_ops.level_joins(features, boxes).count() < 2 * found

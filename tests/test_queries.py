@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry_module
 
 DATA = "/root/testdata/sf0.001"
-QUICK = ["area_gates", "classify_kinds", "default_ids", "osm_geometry", "pair_areas", "project_vertices",
+QUICK = ["area_gates", "input_gates", "voxel_budget", "classify_kinds", "default_ids", "osm_geometry", "pair_areas", "project_vertices",
          "registry_last_wins", "resolve_evidence", "skipped_elements", "unregistered", "validity"]
 
 
