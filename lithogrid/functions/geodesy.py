@@ -25,6 +25,7 @@ SEMI_MINOR_M = SEMI_MAJOR_M * (1 - FLATTENING)
 
 _TOLERANCE = 1e-14
 _ROUNDS = 60
+_VERTICES = 1 << 16
 
 
 def _reduced(lat_deg):
@@ -50,13 +51,17 @@ def _arc(lam, sin1, cos1, sin2, cos2):
 
 
 def azimuthal_equidistant(lon, lat, lon0, lat0):
-    """Metres east and north of the centre; NaN where the geodesic is not
-    determined (vertices close to the antipode of the centre)."""
+    """Metres east and north of the centre.
+
+    Close to the antipode of the centre the iteration does not settle. Such
+    vertices take distance and azimuth from the sphere instead: they lie about
+    20,000 km away, outside every area.
+    """
     sin1, cos1 = _reduced(lat0)
     sin2, cos2 = _reduced(lat)
     gap = np.radians((lon - lon0 + 180.0) % 360.0 - 180.0)
     lam = gap
-    for _ in range(_ROUNDS):
+    for _ in range(_ROUNDS):  # settles within a few rounds but near the antipode
         _, _, sin_arc, cos_arc, arc, sin_az, cos_sq, cos_mid = _arc(lam, sin1, cos1, sin2, cos2)
         c = FLATTENING / 16 * cos_sq * (4 + FLATTENING * (4 - 3 * cos_sq))
         last, lam = lam, gap + (1 - c) * FLATTENING * sin_az * (
@@ -72,8 +77,16 @@ def azimuthal_equidistant(lon, lat, lon0, lat0):
         cos_arc * (2 * cos_mid**2 - 1)
         - b / 6 * cos_mid * (4 * sin_arc**2 - 3) * (4 * cos_mid**2 - 3)))
     scale = _divide(SEMI_MINOR_M * a * (arc - correction), sin_arc)
-    scale = np.where(settled | ~np.isfinite(gap), scale, np.nan)
-    return scale * east, scale * north
+    x, z = scale * east, scale * north
+    if not settled.all():
+        east, north, sin_arc, _, arc, *_ = _arc(gap, sin1, cos1, sin2, cos2)
+        determined = sin_arc > 1e-12
+        far = SEMI_MAJOR_M * _divide(arc, sin_arc)
+        x = np.where(settled, x, np.where(determined, far * east, 0.0))
+        z = np.where(settled, z, np.where(determined, far * north, np.pi * SEMI_MINOR_M))
+        unknown = ~np.isfinite(gap + lat)
+        x, z = np.where(unknown, np.nan, x), np.where(unknown, np.nan, z)
+    return x, z
 
 
 def _project_batch(lon: pa.Array, lat: pa.Array, lon0: pa.Array, lat0: pa.Array) -> pa.Array:
@@ -86,8 +99,12 @@ def _project_batch(lon: pa.Array, lat: pa.Array, lon0: pa.Array, lat0: pa.Array)
     def spread(values):
         return np.repeat(values.to_numpy(zero_copy_only=False).astype("float64"), sizes)
 
+    vertices = [flat(lon), flat(lat), spread(lon0), spread(lat0)]
+    x, z = np.empty_like(vertices[0]), np.empty_like(vertices[0])
     with np.errstate(all="ignore"):
-        x, z = azimuthal_equidistant(flat(lon), flat(lat), spread(lon0), spread(lat0))
+        for start in range(0, len(x), _VERTICES):  # bounds the temporaries, and what an unsettled vertex holds up
+            some = slice(start, start + _VERTICES)
+            x[some], z[some] = azimuthal_equidistant(*(v[some] for v in vertices))
     return pa.StructArray.from_arrays(
         [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (x, z)], names=["x", "z"])
 

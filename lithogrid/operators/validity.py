@@ -73,7 +73,10 @@ def _within(p: str, x: str, y: str) -> str:
     return f"{x} BETWEEN {p}.xl AND {p}.xh AND {y} BETWEEN {p}.yl AND {p}.yh"
 
 
-_CROSSING, _RING_TOUCH, _RINGS_MEET = 1, 2, 9
+_CROSSING, _RING_TOUCH, _OUT, _IN_OTHER_HOLE, _IN_OTHER_SHELL, _APART, _RINGS_MEET = 1, 2, 3, 4, 5, 6, 9
+# The reason of the lowest rank is reported, at its smallest point.
+_RANKED = {_CROSSING: SELF_INTERSECTION, _RING_TOUCH: RING_SELF_INTERSECTION, _OUT: HOLE_OUTSIDE,
+           _IN_OTHER_HOLE: NESTED_HOLES, _IN_OTHER_SHELL: NESTED_SHELLS, _APART: DISCONNECTED}
 _HIT = "named_struct('code', {}, 'x', {}, 'y', {}, 'ga', a.g, 'gb', b.g, 'pa', a.part, 'pb', b.part)"
 _ADJACENT = "(abs(a.i - b.i) = 1 OR abs(a.i - b.i) = a.n - 1)"
 
@@ -144,9 +147,15 @@ def _odd(v: str, ring: str) -> str:
     return f"size(filter({ring}, e -> {ray_hits(v)})) % 2 = 1"
 
 
+#: Vertices of a ring that tell on which side of another it lies: rings do not cross here, and more than two
+#: vertices on the other outline make the interior fall apart anyway.
+PROBES = 3
+
+
 def _first_vertex(where: str) -> str:
-    """First vertex ``v`` that meets a condition, as a struct, null when none does."""
-    return f"get(filter(edges, v -> {where}), 0)"
+    """The smallest probe ``v`` that meets a condition, null when none does; both paths name this one."""
+    return (f"array_min(transform(filter(edges, v -> v.i <= {PROBES} AND {where}), "
+            "v -> named_struct('x1', v.x1, 'y1', v.y1)))")
 
 
 _SHELL = "filter(edges, s -> s.part = v.part AND s.ring = 0)"
@@ -161,8 +170,8 @@ _IN_SHELL = _first_vertex(
     f"h -> {_odd('v', _OTHER_PART)} AND NOT ({on_outline('v', _OTHER_PART)}))")
 
 _MEETINGS = f"filter(hits, h -> h.code = {_RINGS_MEET} AND h.pa = h.pb)"
-_TWICE = f"""size(array_distinct(transform({_MEETINGS}, h -> struct(h.ga, h.gb, h.x, h.y))))
-  > size(array_distinct(transform({_MEETINGS}, h -> struct(h.ga, h.gb))))"""
+# Meetings of pairs of rings that meet elsewhere too.
+_TWICE = f"""filter({_MEETINGS}, h -> exists({_MEETINGS}, k -> k.ga = h.ga AND k.gb = h.gb AND (k.x <> h.x OR k.y <> h.y)))"""
 
 
 # All values a verdict needs are bound inside one expression: as columns they
@@ -175,7 +184,7 @@ _RING_VERDICT = let("c", f"array_min(filter(hits, h -> h.code < {_RINGS_MEET}))"
     {let('w', _OUTSIDE, _at(HOLE_OUTSIDE, 'w.x1', 'w.y1'))},
     {let('w', _IN_HOLE, _at(NESTED_HOLES, 'w.x1', 'w.y1'))},
     {let('w', _IN_SHELL, _at(NESTED_SHELLS, 'w.x1', 'w.y1'))},
-    CASE WHEN {_TWICE} THEN {let('w', f'array_min({_MEETINGS})', _at(DISCONNECTED, 'w.x', 'w.y'))} END)
+    {let('w', f"array_min(transform({_TWICE}, h -> named_struct('x', h.x, 'y', h.y)))", _at(DISCONNECTED, 'w.x', 'w.y'))})
   END""")
 _AREAL_VERDICT = let("edges", _EDGES, let("hits", _HITS, _RING_VERDICT))
 
@@ -282,16 +291,15 @@ def check_large(features: DataFrame, save) -> DataFrame:
     hits = save(hits, "validity-hits")
     crossing = hits.filter(f"h.code < {_RINGS_MEET}").groupBy("area_id", "pos").agg(
         F.min("h").alias("h")).select(
-        "area_id", "pos", F.col("h.code").alias("rank"),
-        F.expr(f"CASE WHEN h.code = {_CROSSING} THEN {_at(SELF_INTERSECTION, 'h.x', 'h.y')} "
-               f"ELSE {_at(RING_SELF_INTERSECTION, 'h.x', 'h.y')} END").alias("error"))
+        "area_id", "pos", F.col("h.code").alias("rank"), F.col("h.x").alias("x"), F.col("h.y").alias("y"))
     meetings = hits.filter(f"h.code = {_RINGS_MEET} AND h.pa = h.pb").select("area_id", "pos", "h.*").distinct()
     apart = meetings.groupBy("area_id", "pos", "ga", "gb").agg(
         F.count(F.lit(1)).alias("times"), F.min(F.struct("x", "y")).alias("w")).filter("times > 1").select(
-        "area_id", "pos", F.lit(6).alias("rank"), F.expr(_at(DISCONNECTED, "w.x", "w.y")).alias("error"))
+        "area_id", "pos", F.lit(_APART).alias("rank"), "w.x", "w.y")
     found = crossing.unionByName(apart).unionByName(_misplaced_rings(edges))
-    return found.groupBy("area_id", "pos").agg(F.min(F.struct("rank", "error")).alias("first")).select(
-        "area_id", "pos", "first.error")
+    texts = " ".join(f"WHEN {rank} THEN {_at(text, 'w.x', 'w.y')}" for rank, text in _RANKED.items())
+    return found.groupBy("area_id", "pos").agg(F.min(F.struct("rank", "x", "y")).alias("w")).select(
+        "area_id", "pos", F.expr(f"CASE w.rank {texts} END").alias("error"))
 
 
 def _misplaced_rings(edges: DataFrame) -> DataFrame:
@@ -304,7 +312,7 @@ def _misplaced_rings(edges: DataFrame) -> DataFrame:
     several = edges.filter("e.g > 0").select("area_id", "pos").distinct()
     edges = edges.join(several, ["area_id", "pos"], "left_semi")
     row = "cast(floor(({v} - y0) / depth * side {w}) AS BIGINT)"
-    probes = edges.filter("e.i <= 3").select(
+    probes = edges.filter(f"e.i <= {PROBES}").select(
         "area_id", "pos", F.col("e").alias("v"), F.expr(row.format(v="e.y1", w="")).alias("cy"))
     rows = edges.withColumn("cy", F.explode_outer(F.expr(
         f"sequence({row.format(v='e.yl', w='- 1e-6D')}, {row.format(v='e.yh', w='+ 1e-6D')})"))).select(
@@ -316,8 +324,8 @@ def _misplaced_rings(edges: DataFrame) -> DataFrame:
     placed = met.groupBy("area_id", "pos", "v", "of").agg(
         (F.sum("hit") % 2).alias("odd"), F.bool_or("on").alias("on"))
 
-    def reason(df: DataFrame, rank: int, text: str) -> DataFrame:
-        return df.select("area_id", "pos", F.lit(rank).alias("rank"), F.expr(_at(text, "v.x1", "v.y1")).alias("error"))
+    def reason(df: DataFrame, rank: int) -> DataFrame:
+        return df.select("area_id", "pos", F.lit(rank).alias("rank"), F.col("v.x1").alias("x"), F.col("v.y1").alias("y"))
 
     at_home = placed.filter("v.ring > 0 AND of.ring = 0 AND of.part = v.part AND (odd = 1 OR on)").select(
         "area_id", "pos", "v")
@@ -326,5 +334,4 @@ def _misplaced_rings(edges: DataFrame) -> DataFrame:
     in_shell = placed.filter("v.ring = 0 AND of.part <> v.part").groupBy(
         "area_id", "pos", "v", "of.part").agg(
         (F.sum("odd") % 2).alias("odd"), F.bool_or("on").alias("on")).filter("odd = 1 AND NOT on")
-    return reason(outside, 3, HOLE_OUTSIDE).unionByName(reason(in_hole, 4, NESTED_HOLES)).unionByName(
-        reason(in_shell, 5, NESTED_SHELLS))
+    return reason(outside, _OUT).unionByName(reason(in_hole, _IN_OTHER_HOLE)).unionByName(reason(in_shell, _IN_OTHER_SHELL))

@@ -261,8 +261,14 @@ def report_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vertices of the exported GeoJSON text."""
     rows = _prepared(spark, sf_dir, derived.footprints(spark, sf_dir)).filter("accepted")
-    return export.local_features(local_geometry.edges_in_row(rows))
+    written = export.local_features(local_geometry.edges_in_row(rows))
+    shape = "id STRING, geometry STRUCT<type: STRING, coordinates: ARRAY<ARRAY<ARRAY<DOUBLE>>>>"
+    read = written.select("area_id", "pos", F.from_json("feature_json", shape).alias("f"))
+    rings = read.select("area_id", "pos", F.col("f.id").alias("feature"), F.posexplode("f.geometry.coordinates").alias("ring", "vs"))
+    return rings.select("area_id", "pos", "feature", "ring", F.posexplode("vs").alias("i", "v")).select(
+        "area_id", "pos", "feature", "ring", "i", _tidy(F.col("v")[0]).alias("x"), _tidy(F.col("v")[1]).alias("z"))
 
 
 QUERIES = {

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithogrid.functions.values import as_text
+from lithogrid.operators.lookup import lookup
 
 _FEATURE = "id: VARIANT, properties: VARIANT, geometry: VARIANT"
 
@@ -35,13 +36,26 @@ def read_collections(spark: SparkSession, path: str) -> DataFrame:
         "f.properties", "f.geometry")
 
 
-def read_feature_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One feature per line, with its ``area_id`` member: splits at any size."""
-    lines = spark.read.schema(
-        "area_id STRING, id VARIANT, properties VARIANT, geometry VARIANT"
-    ).option("mode", "FAILFAST").json(path)
-    return lines.select("area_id", F.monotonically_increasing_id().alias("pos"), *_identity("id"),
-                        "properties", "geometry")
+def read_feature_lines(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """One feature per line, with its ``area_id`` member: splits at any size.
+
+    ``pos`` is the line's member of that name if the lines are ``numbered``.
+    Otherwise it counts the lines in order of file path and place, whatever
+    the splits: the lines of each file block are counted first.
+    """
+    schema = "area_id STRING, id VARIANT, properties VARIANT, geometry VARIANT"
+    reader = spark.read.option("mode", "FAILFAST")
+    if numbered:
+        lines = reader.schema(f"pos BIGINT, {schema}").json(path)
+        return lines.select("area_id", "pos", *_identity("id"), "properties", "geometry")
+    lines = reader.schema(schema).json(path).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"))
+    blocks = lines.groupBy("_file", "_block").agg(F.min("_line").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_block")) - F.col("_n")  # one row for each block of a file
+    placed = lookup(lines, blocks.withColumn("_before", before), ["_file", "_block"], "inner", spread_by=("_line",))
+    return placed.select("area_id", (F.col("_before") + F.col("_line") - F.col("_first")).alias("pos"), *_identity("id"),
+                         "properties", "geometry")
 
 
 # Coordinates of every supported type in the nesting of a MultiPolygon:
@@ -59,6 +73,21 @@ CASE geom_type
   WHEN 'MultiPolygon' THEN try_variant_get(geometry, '$.coordinates', 'array<array<array<array<double>>>>')
 END"""
 
+# A collection's polygons are its parts; without any, its vertices are, as points.
+_MEMBERS = "try_variant_get(geometry, '$.geometries', 'array<variant>')"
+_KIND = "try_variant_get(m, '$.type', 'string')"
+
+
+def _coordinates(depth: int) -> str:
+    return f"try_variant_get(m, '$.coordinates', '{'array<' * depth}double{'>' * depth}')"
+
+
+_MEMBER_POLYGONS = f"""flatten(transform(filter(members, m -> {_KIND} IN ('Polygon', 'MultiPolygon')), m ->
+  CASE WHEN {_KIND} = 'Polygon' THEN array({_coordinates(3)}) ELSE {_coordinates(4)} END))"""
+_MEMBER_POINTS = f"""transform(flatten(transform(filter(members, m -> {_KIND} NOT IN ('Polygon', 'MultiPolygon')), m ->
+  CASE {_KIND} WHEN 'Point' THEN array({_coordinates(1)}) WHEN 'MultiLineString' THEN flatten({_coordinates(3)})
+    ELSE {_coordinates(2)} END)), v -> array(array(v)))"""
+
 # A ring is closed when it has just three vertices or ends where it did not begin.
 _RINGS = """
 filter(flatten(transform(parts, (rs, p) -> transform(rs, (vs, k) -> named_struct(
@@ -86,12 +115,19 @@ def parse_geometry(features: DataFrame) -> DataFrame:
     ``rings`` is ``array<struct<part, ring, lon, lat>>``; lines and points are
     parts with a single ring. Malformed covers what cannot be constructed at
     all: unknown types, non-numeric ordinates, lines and rings that are too
-    short. Geometry collections count as malformed.
+    short. A geometry collection stands for its polygons, or without any for its
+    vertices as points, which are accepted and fill no voxels.
     """
     keep = [c for c in features.columns if c != "geometry"]
     typed = features.withColumn(
         "geom_type", F.try_variant_get("geometry", "$.type", "string"))
-    parted = typed.withColumn("parts", F.expr(_PARTS))
+    listed = typed.withColumn("members", F.expr(f"CASE WHEN geom_type = 'GeometryCollection' THEN {_MEMBERS} END"))
+    parted = listed.withColumn("parts", F.expr(
+        f"CASE WHEN geom_type <> 'GeometryCollection' THEN {_PARTS} "
+        f"WHEN exists(members, m -> {_KIND} IN ('Polygon', 'MultiPolygon')) THEN {_MEMBER_POLYGONS} ELSE {_MEMBER_POINTS} END"))
+    parted = parted.withColumn("geom_type", F.expr(
+        "CASE WHEN geom_type <> 'GeometryCollection' THEN geom_type "
+        f"WHEN exists(members, m -> {_KIND} IN ('Polygon', 'MultiPolygon')) THEN 'MultiPolygon' ELSE 'MultiPoint' END"))
     ringed = parted.withColumn("rings", F.expr(_RINGS))
     return ringed.select(
         *keep, "geom_type",

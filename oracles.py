@@ -94,7 +94,7 @@ def frames(areas_sql: str) -> str:
 corner as (select area_id, k, x, z from {project('''(select area_id, lon0, lat0, k,
     case when k in (0, 3) then west else east end as lon, case when k in (0, 1) then south else north end as lat
     from area, (values (0), (1), (2), (3)) as ks(k))''')} as pc),
-side as (select c.area_id, c.x as ax, c.z as az, d.x as bx, d.z as bz
+side as (select c.area_id, c.k, c.x as ax, c.z as az, d.x as bx, d.z as bz
   from corner c join corner d on c.area_id = d.area_id and d.k = (c.k + 1) % 4)"""
 
 
@@ -386,6 +386,28 @@ flat as (select area_id, {', '.join(f"max(case when k = {i} then {c} end) as {c}
   from corner group by area_id),
 sized as (select *, abs(x0 * z1 - x1 * z0 + x1 * z2 - x2 * z1 + x2 * z3 - x3 * z2 + x3 * z0 - x0 * z3) / 2 as m2 from flat)"""
 
+def _clipped_rings() -> str:
+    """Sutherland-Hodgman, one CTE pair for each side of the area; ``closed`` has the rings of the export."""
+    ctes = ["""inner_foot as (select pos from foot f where not exists (select 1 from vertex v join side q on q.area_id = v.area_id
+      where v.pos = f.pos and (q.bx - q.ax) * (v.z - q.az) - (q.bz - q.az) * (v.x - q.ax) < 0))""",
+            """c0 as (select pos, area_id, ring, i, x, z from (select *, max(i) over (partition by pos, ring) as n from vertex) as v
+      where i < n and pos not in (select pos from inner_foot) and pos in (select pos from hit))"""]
+    for k in range(4):
+        value = "(q.bx - q.ax) * ({1} - q.az) - (q.bz - q.az) * ({0} - q.ax)"
+        ctes.append(f"""p{k} as (select t.*, {value.format('x', 'z')} as vp, {value.format('nx', 'nz')} as vq from (
+          select *, coalesce(lead(x) over w, first_value(x) over w) as nx, coalesce(lead(z) over w, first_value(z) over w) as nz
+          from c{k} window w as (partition by pos, ring order by i)) as t join side q on q.area_id = t.area_id and q.k = {k})""")
+        ctes.append(f"""c{k + 1} as (select pos, area_id, ring, row_number() over (partition by pos, ring order by i, sub) - 1 as i, x, z from (
+          select pos, area_id, ring, i, 0 as sub, x + (nx - x) * (vp / (vp - vq)) as x, z + (nz - z) * (vp / (vp - vq)) as z
+            from p{k} where (vp >= 0) <> (vq >= 0)
+          union all select pos, area_id, ring, i, 1, nx, nz from p{k} where vq >= 0) as u)""")
+    ctes.append("""counted as (select *, count(*) over (partition by pos, ring) as n from c4)""")
+    ctes.append("""closed as (select pos, area_id, ring, i, x, z from counted where n > 2
+      union all select pos, area_id, ring, n, x, z from counted where n > 2 and i = 0
+      union all select pos, area_id, ring, i, x, z from vertex where pos in (select pos from inner_foot))""")
+    return ", ".join(ctes)
+
+
 ORACLES = {
     "voxels": f"""with {FOOTPRINTS} select l.area_id, l.cx as x, y, l.cz as z, 'building' as kind,
       concat('b', cast(l.pos as varchar)) as feature, r_name as source
@@ -430,6 +452,11 @@ ORACLES = {
     "in_area": f"""with {FOOTPRINTS}, {_CLIPPED_EDGES}, hit as (select distinct pos from meets where gone = 0 and t0 <= t1)
     select f.area_id, count(hit.pos) as accepted, count(*) - count(hit.pos) as dropped
     from foot f left join hit on hit.pos = f.pos group by f.area_id""",
+    "export_features": f"""with {FOOTPRINTS}, {_CLIPPED_EDGES}, hit as (select distinct pos from meets where gone = 0 and t0 <= t1),
+    {_clipped_rings()}
+    select area_id, pos, concat('b', cast(pos as varchar)) as feature,
+      cast(dense_rank() over (partition by pos order by ring) - 1 as integer) as ring, cast(i as integer) as i,
+      {tidy('x')} as x, {tidy('z')} as z from closed""",
     "validity": VALIDITY,
     "validity_large": VALIDITY_LARGE,
     "resolve_evidence": EVIDENCE,

@@ -188,6 +188,42 @@ def test_failing_area_is_left_out_on_request(spark, tmp_path):
     assert result.headers.count() == 1
 
 
+def test_collections_and_far_vertices(spark, tmp_path):
+    """A collection is its polygons; a vertex opposite the area is outside and not fatal."""
+    shape = {"type": "Polygon", "coordinates": TOWER["geometry"]["coordinates"]}
+    spot = {"type": "Point", "coordinates": [0.0001, 0.0001]}
+    path = {"type": "LineString", "coordinates": [[0.0002, 0.0002], [0.0003, 0.0003]]}
+    plain = feature("Point", [0.0001, 0.0001])
+    features = [
+        {**plain, "geometry": {"type": "GeometryCollection", "geometries": [spot, shape, path]}},
+        {**plain, "geometry": {"type": "GeometryCollection", "geometries": [spot, path]}},
+        {**plain, "geometry": {"type": "GeometryCollection", "geometries": []}},
+        feature("LineString", [[-179.9995, -0.0005], [-179.9994, -0.0004]], width_m=1),
+        feature("LineString", [[0.0005, 0.0005], [-179.9995, -0.0005]], width_m=1),
+    ]
+    result = run(spark, tmp_path, features)
+    assert {r.pos for r in result.accepted.collect()} == {0, 1, 4}
+    assert [r.reasons for r in result.issues.filter("severity = 'error'").collect()] == [["Empty geometry"]]
+    cells = {r.feature: r["count"] for r in result.voxels.groupBy("feature").count().collect()}
+    assert cells["0"] == 22 * 22 and set(cells) == {"0", "2"}
+
+
+def test_lines_keep_their_order_in_any_split(spark, tmp_path):
+    os.makedirs(tmp_path / "lines")
+    for name, numbers in (("a", range(40)), ("b", range(40, 100))):
+        (tmp_path / "lines" / f"{name}.json").write_text("".join(
+            json.dumps({"area_id": "x", "id": n, "pos": 7 * n, **TOWER, "id": n}) + "\n" for n in numbers))
+    for size in ("128m", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = geojson.read_feature_lines(spark, str(tmp_path / "lines")).collect()
+            numbered = geojson.read_feature_lines(spark, str(tmp_path / "lines"), numbered=True).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted((r.pos, r.id) for r in rows) == [(n, str(n)) for n in range(100)]
+        assert sorted((r.pos, r.id) for r in numbered) == [(7 * n, str(n)) for n in range(100)]
+
+
 def write_area(folder, stem, configuration, features):
     for kind, body in (("configs", configuration), ("features", {"features": features})):
         os.makedirs(folder / kind, exist_ok=True)

@@ -161,9 +161,10 @@ def test_flinders_peak_to_buninyong():
     assert math.degrees(math.atan2(x[0], z[0])) % 360 == pytest.approx(306.86816, abs=1e-5)
 
 
-def test_vertices_opposite_the_centre_are_flagged():
-    x, _ = azimuthal_equidistant(np.array([179.4]), np.array([-51.3]), np.array([-0.5]), np.array([51.4]))
-    assert np.isnan(x[0])
+def test_vertices_opposite_the_centre_lie_far_outside():
+    lon, lat = np.array([179.4, 179.5, 0.0, np.nan]), np.array([-51.3, -51.4, 51.0, 1.0])
+    x, z = azimuthal_equidistant(lon, lat, np.full(4, -0.5), np.full(4, 51.4))
+    assert (np.hypot(x, z)[:2] > 19.9e6).all() and np.hypot(x, z)[2] < 1e5 and np.isnan(x[3])
 
 
 def test_validity_paths_agree(spark):
@@ -171,7 +172,15 @@ def test_validity_paths_agree(spark):
     shapes = [(pos, "Polygon", 0.0, [(0, k, [float(u) for u, _ in ring], [float(v) for _, v in ring])
                                      for k, ring in enumerate(rings)]) for pos, rings in derived.SHAPES.items() if pos != 3]
     parts = [(50, [[(0, 0), (2, 0), (2, 2), (0, 2), (0, 0)], [(3, 3), (4, 3), (4, 4), (3, 3)]]),
-             (51, [[(0, 0), (9, 0), (9, 9), (0, 9), (0, 0)], [(3, 3), (4, 3), (4, 4), (3, 3)]])]
+             (51, [[(0, 0), (9, 0), (9, 9), (0, 9), (0, 0)], [(3, 3), (4, 3), (4, 4), (3, 3)]]),
+             (52, [[(8, 8), (7, 9), (7, 7), (8, 8)], [(0, 0), (9, 0), (9, 9), (0, 9), (0, 0)], [(2, 20), (10, 3), (4, 40), (2, 20)]])]
+    ring = [(0.0, 0.0), (20.0, 0.0), (20.0, 20.0), (0.0, 20.0), (0.0, 0.0)]
+    holed = {60: [ring, [(30, 30), (25, 31), (28, 35), (30, 30)]],                                          # outside
+             61: [ring, [(2, 3), (8, 3), (8, 9), (2, 9), (2, 3)], [(5, 5), (3, 4), (4, 6), (5, 5)]],          # nested
+             62: [ring, [(5, 0), (9, 9), (20, 5), (5, 0)]],                                                  # cut off
+             63: [ring, [(10, 5), (12, 7), (10, 9), (8, 7), (10, 5)], [(10, 9), (12, 7), (14, 9), (10, 9)]]}  # cut off
+    shapes += [(pos, "Polygon", 0.0, [(0, k, [float(u) for u, _ in r], [float(v) for _, v in r]) for k, r in enumerate(rings)])
+               for pos, rings in holed.items()]
     multis = [(pos, "MultiPolygon", 0.0, [(k, 0, [float(u) for u, _ in ring], [float(v) for _, v in ring])
                                           for k, ring in enumerate(rings)]) for pos, rings in parts]
     ready = local_geometry.with_outline(spark.createDataFrame(
@@ -180,9 +189,12 @@ def test_validity_paths_agree(spark):
     small = {r.pos: r.error for r in validity.check_in_row(ready, 64).collect() if r.error}
     large = {r.pos: r.error for r in validity.check_large(ready, Workspace(spark).save).collect()}
     assert small == large
+    assert small[60] == "Hole lies outside shell[25 31]" and small[61] == "Holes are nested[3 4]"
     names = {pos: error.split("[")[0] for pos, error in small.items()}
     assert names == {2: "Self-intersection", 4: "Ring Self-intersection", 5: "Hole lies outside shell",
-                     6: "Holes are nested", 7: "Self-intersection", 9: "Interior is disconnected", 51: "Nested shells"}
+                     6: "Holes are nested", 7: "Self-intersection", 9: "Interior is disconnected", 51: "Nested shells",
+                     52: "Self-intersection", 60: "Hole lies outside shell", 61: "Holes are nested",
+                     62: "Interior is disconnected", 63: "Self-intersection"}
     assert small[2] == "Self-intersection[2 2]"
 
 
