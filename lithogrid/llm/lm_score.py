@@ -8,7 +8,7 @@ closer to the target.
 The models match: they share one vocabulary, the hashes of the words and word
 pairs in tables of fixed size, one smoothing, and the background's counts are
 scaled to the target's mass. Every word of every document is counted, in the
-tasks by table slot and then by a sum over slots, so no word list is cut. A
+tasks by table slot and then by sums over slots, so no word list is cut. A
 document's own counts are taken out before it is scored, so target documents
 gain nothing from having been counted.
 
@@ -40,7 +40,8 @@ PAIR_BITS = 21
 ALPHA = 0.1
 MIX = 4.0
 MAX_WORDS = 400_000
-_PART = 1 << 18
+#: Slots whose counts travel together.
+_CHUNK = 1 << 12
 
 _TABLE = bytes((i + 32 if 65 <= i <= 90 else i if chr(i).isalnum() or i >= 128 else 32) for i in range(256))
 _SLOTS = (1 << WORD_BITS) + (1 << PAIR_BITS)
@@ -87,11 +88,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 settle()
                 size = 0
     settle()
-    used = np.flatnonzero(counts[0])
-    for at in range(0, len(used), _PART):
-        some = used[at:at + _PART]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some), pa.array(counts[0, some]), pa.array(counts[1, some])], ["slot", "background", "target"])
+    yield from _chunks(counts, "<u4")
+
+
+def _chunks(counts: np.ndarray, kind: str) -> Iterator[pa.RecordBatch]:
+    """Runs of slots that occur, each a compressed value."""
+    for at in range(0, _SLOTS, _CHUNK):
+        part = counts[:, at:at + _CHUNK]
+        if part[0].any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([at // _CHUNK], pa.int32()), pa.array([zlib.compress(part.astype(kind).tobytes(), 1)], pa.binary())],
+                ["chunk", "data"])
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by chunk, of which there are _SLOTS / _CHUNK; the values stream by."""
+    counts = np.zeros((2, _SLOTS), np.int64)
+    for batch in batches:
+        for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist()):
+            counts[:, chunk * _CHUNK:(chunk + 1) * _CHUNK] += np.frombuffer(zlib.decompress(data), "<u4").reshape(2, -1)
+    yield from _chunks(counts, "<i8")
 
 
 class Models:
@@ -135,20 +151,19 @@ def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # rows without an id are dealt out by their number instead of meeting in one task
     rows = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), 1 + F.monotonically_increasing_id()).otherwise(
         F.lit(0)).alias("deal"))
-    return rows.join(good, (F.col("doc_id") == F.col("good")) & (F.col("deal") == F.col("at")), "left").select(
+    # the same join at every size: labels grow with the documents
+    return rows.join(good.hint("merge"), (F.col("doc_id") == F.col("good")) & (F.col("deal") == F.col("at")), "left").select(
         "doc_id", "text", F.col("good").isNotNull().alias("target"))
 
 
 def models(rows: DataFrame) -> Models:
     """Counts over all rows; the tables have _SLOTS entries however large the corpus is."""
-    summed = rows.select("text", "target").mapInArrow(_count, "slot long, background long, target long").groupBy("slot").agg(
-        F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
-    made = []
-    for name in ("background", "target"):
-        counts = np.zeros(_SLOTS)
-        counts[summed.column("slot").to_numpy()] = summed.column(name).to_numpy()
-        made.append(counts)
-    return Models(*made)
+    chunk = "chunk int, data binary"
+    counted = rows.select("text", "target").mapInArrow(_count, chunk)
+    counts = np.zeros((2, _SLOTS))
+    for row in counted.repartition("chunk").mapInArrow(_sum, chunk).collect():
+        counts[:, row.chunk * _CHUNK:(row.chunk + 1) * _CHUNK] = np.frombuffer(zlib.decompress(row.data), "<i8").reshape(2, -1)
+    return Models(*counts)
 
 
 def lm_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
