@@ -42,6 +42,9 @@ _SEEN = 9                         # bits of the encoder's table of places in the
 _TOP = 32                         # a 48-bit interval sheds its top 16 bits below 2**_TOP
 _MASK = (1 << _TOP) - 1
 _SMALL = 1 << 28                  # an interval cut this short by a word's edge sheds again
+#: Lanes whose bit strings are made together.
+_TOGETHER = 64
+_PLACES = np.arange(16, dtype=np.uint8)
 _HEADER = "<4sIIIQ"
 _HEADER_SIZE = struct.calcsize(_HEADER)
 #: Raw bits by class: places in the list by powers of two, then ids by their number of bits.
@@ -163,13 +166,16 @@ class _Writer(_Interval):
         for shift in (32, 16, 0):
             self.words[np.arange(len(self.used)), self.used] = self.low >> shift & 0xFFFF
             self.used += 1
-        places = np.arange(16, dtype=np.uint16)
         out = []
-        for lane, (row, n) in enumerate(zip(self.words, self.used.tolist())):
-            value, size = self.deep[:, lane, None], self.bits[:, lane, None]
+        for at in range(0, len(self.used), _TOGETHER):
+            size = np.ascontiguousarray(self.bits[:, at:at + _TOGETHER].T)
+            value = np.ascontiguousarray(self.deep[:, at:at + _TOGETHER].T)
             # the bits of each value from its highest on
-            spread = (value >> np.maximum(size.astype(np.int16) - 1 - places.astype(np.int16), 0).astype(np.uint16) & 1)
-            out.append((row[:n].astype("<u2").tobytes(), np.packbits(spread[places < size].astype(np.uint8)).tobytes()))
+            spread = np.unpackbits((value << (16 - size)).astype(">u2").view(np.uint8)).reshape(*size.shape, 16)
+            bits = spread[_PLACES < size[..., None]]
+            ends = np.cumsum(size.sum(1, dtype=np.int64)).tolist()
+            for lane, (start, end) in enumerate(zip([0, *ends], ends), at):
+                out.append((self.words[lane, :self.used[lane]].astype("<u2").tobytes(), np.packbits(bits[start:end]).tobytes()))
         return out
 
 
