@@ -61,8 +61,14 @@ def join_by_size(big: DataFrame, small: DataFrame, key: str, size: str, total: i
 
 
 def per_worker(kind: str, key: object, make: Callable[[], object]) -> object:
-    """One object of a kind for each Python worker, kept from task to task and replaced when its key changes."""
+    """An object that a Python worker keeps from task to task until it needs one of another kind or key.
+
+    A worker serves one operator after the other, so what the last one kept is
+    let go: a worker never holds more than one such object.
+    """
     store = sys.__dict__.setdefault("_llm_per_worker", {})
-    if store.get(kind, (None, None))[0] != key:
-        store[kind] = (key, make())
-    return store[kind][1]
+    if store.get("key") != (kind, key):
+        store.clear()
+        store["object"] = make()
+        store["key"] = (kind, key)
+    return store["object"]
