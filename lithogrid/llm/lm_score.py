@@ -5,16 +5,23 @@ background (all documents), score each document: the mean over its words of
 the loss under the target less the loss under the background. Lower is
 closer to the target.
 
-The models match: they share one vocabulary, the hashes of the words and word
-pairs in tables of fixed size, one smoothing, and the background's counts are
-scaled to the target's mass. Every word of every document is counted, in the
-tasks by table slot and then by sums over slots, so no word list is cut. A
-document's own counts are taken out before it is scored, so target documents
-gain nothing from having been counted.
+The models match: they share one vocabulary, all words of the corpus, one
+smoothing, and the background's counts are scaled to the target's mass. Words
+and word pairs are counted by 64-bit hashes, every one of them, so nothing is
+cut and unrelated pairs do not share counts. A document's own counts are taken
+out before it is scored, so target documents gain nothing from having been counted.
+
+The documents lie in blocks of at most ``BLOCK_BYTES`` of text. Each block's
+distinct n-grams with their counts go to the part that their hash names; a part
+adds the counts of all blocks and sends each block the totals of those of its
+n-grams that occur elsewhere too; a block is scored from its own counts and these
+answers. A common n-gram is one entry for each block, however often it occurs, so
+no part is hot.
 
 The probability of a word after another mixes the pair's share with the word's
-share, and that with a uniform one: p1(w) = (c(w) + A) / (N + A * slots),
-p2(w | v) = (c(v, w) + M * p1(w)) / (c(v) + M).
+share, and that with a uniform one: p1(w) = (c(w) + A) / (N + A * V),
+p2(w | v) = (c(v, w) + M * p1(w)) / (c(v) + M), where V is the number of distinct
+words, 2 ** WORD_BITS at least.
 
 Null and empty texts have no words and the score 0. A document is a target if
 any label row of its id says so; null ids never are. Repeated rows score
@@ -23,99 +30,159 @@ alike. Without a target document, all losses are those of the smoothing alone.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lithogrid.llm.common import Shared, per_worker, table
 
+#: The uniform share counts 2 ** WORD_BITS words at least.
 WORD_BITS = 18
-PAIR_BITS = 21
+#: Bits of the hashes of words and pairs.
+PAIR_BITS = 64
 ALPHA = 0.1
 MIX = 4.0
 MAX_WORDS = 400_000
-#: Slots whose counts travel together.
-_CHUNK = 1 << 12
+#: Text that is counted and scored together.
+BLOCK_BYTES = 16 << 20
+#: Parts that the n-grams are dealt to, more if a part would serve over PART_BYTES of text.
+PARTS = 128
+PART_BYTES = 64 << 20
+#: What a row without text counts for.
+_ROW_BYTES = 64
 
 _TABLE = bytes((i + 32 if 65 <= i <= 90 else i if chr(i).isalnum() or i >= 128 else 32) for i in range(256))
-_SLOTS = (1 << WORD_BITS) + (1 << PAIR_BITS)
+_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _Hashes(dict):
-    """Words to 32-bit hashes; emptied when full."""
+    """Words to 64-bit hashes; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MAX_WORDS:
             self.clear()
-        self[word] = found = zlib.crc32(word)
+        self[word] = found = int.from_bytes(blake2b(word, digest_size=PAIR_BITS // 8).digest(), "little")
         return found
 
 
-def slots_of(text: str | None, hashes: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Table slots of the words, and of the pairs of neighbours."""
+def hashes_of(text: str | None, hashes: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and of the pairs of neighbours."""
     words = (text or "").encode().translate(_TABLE).split()
-    hashed = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
-    pairs = (hashed[:-1] * 0x9E3779B1 ^ hashed[1:] * 0x85EBCA6B) >> 7 & (1 << PAIR_BITS) - 1
-    return hashed & (1 << WORD_BITS) - 1, pairs
+    hashed = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    return hashed, hashed[:-1] * _FIRST + hashed[1:] * _SECOND
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The task's counts by slot: background, and target."""
-    hashes = per_worker("word-hashes", 0, _Hashes)
-    counts = np.zeros((2, _SLOTS), np.int64)
-    held: list[list[np.ndarray]] = [[], []]
-    size = 0
-
-    def settle() -> None:
-        for kind in (0, 1):
-            if held[kind]:
-                counts[kind] += np.bincount(np.concatenate(held[kind]), minlength=_SLOTS)
-                held[kind].clear()
-
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the number of their block."""
+    block, size = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
-        for text, target in zip(batch.column("text"), batch.column("target").to_pylist()):
-            words, pairs = slots_of(text.as_py(), hashes)
-            for kind in (0, 1) if target else (0,):
-                held[kind] += [words, pairs + (1 << WORD_BITS)]
-            size += len(words)
-            if size > 1 << 20:
-                settle()
-                size = 0
-    settle()
-    yield from _chunks(counts, "<u4")
-
-
-def _chunks(counts: np.ndarray, kind: str) -> Iterator[pa.RecordBatch]:
-    """Runs of slots that occur, each a compressed value."""
-    for at in range(0, _SLOTS, _CHUNK):
-        part = counts[:, at:at + _CHUNK]
-        if part[0].any():
+        numbers = []
+        for length in pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist():
+            if size and size + length > BLOCK_BYTES:
+                block, size = block + 1, 0
+            size += length + _ROW_BYTES
+            numbers.append(block)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], [*batch.schema.names, "block"])
+
+
+def counted(found: list[np.ndarray], flags: list[bool]) -> np.ndarray:
+    """Rows of keys in order, background counts and target counts of the texts' n-grams."""
+    if not found:
+        return np.zeros((3, 0), np.uint64)
+    keys, at = np.unique(np.concatenate(found), return_inverse=True)
+    target = np.repeat(np.array(flags, float), [len(f) for f in found])
+    return np.stack([keys, np.bincount(at, minlength=len(keys)).astype(np.uint64),
+                     np.bincount(at, target, len(keys)).astype(np.uint64)])
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    """Byte by byte and the keys as differences, so that zeros lie together for Spark's compression."""
+    keys = np.diff(counts[:1], prepend=np.uint64(0))
+    return np.ascontiguousarray(np.concatenate([keys, counts[1:]]), "<u8").view(np.uint8).reshape(
+        3, -1, 8).transpose(0, 2, 1).tobytes()
+
+
+def _unpack(value: bytes) -> np.ndarray:
+    counts = np.frombuffer(value, np.uint8).reshape(3, 8, -1).transpose(0, 2, 1).copy().view("<u8")[..., 0]
+    counts[0] = np.cumsum(counts[0], dtype=np.uint64)
+    return counts
+
+
+def _cells(parts: int):
+    """A task's n-grams by block and part: the words and the pairs, packed with their counts."""
+    def dealt(counts: np.ndarray) -> dict[int, bytes]:
+        part = ((counts[0] >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)  # parts are ranges of keys
+        own, first = np.unique(part, return_index=True)
+        ends = [*first[1:].tolist(), len(part)]
+        return {p: _pack(counts[:, a:z]) for p, a, z in zip(own.tolist(), first.tolist(), ends)}
+
+    def settle(block: int, words: list, pairs: list, flags: list) -> Iterator[pa.RecordBatch]:
+        one, two = dealt(counted(words, flags)), dealt(counted(pairs, flags))
+        own = sorted(one.keys() | two.keys())
+        if own:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([at // _CHUNK], pa.int32()), pa.array([zlib.compress(part.astype(kind).tobytes(), 1)], pa.binary())],
-                ["chunk", "data"])
-
+                [pa.array(own, pa.int32()), pa.array([block] * len(own), pa.int64()),
+                 pa.array([one.get(p, b"") for p in own], pa.binary()), pa.array([two.get(p, b"") for p in own], pa.binary())],
+                ["part", "block", "words", "pairs"])
 
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by chunk, of which there are _SLOTS / _CHUNK; the values stream by."""
-    counts = np.zeros((2, _SLOTS), np.int64)
-    for batch in batches:
-        for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist()):
-            counts[:, chunk * _CHUNK:(chunk + 1) * _CHUNK] += np.frombuffer(zlib.decompress(data), "<u4").reshape(2, -1)
-    yield from _chunks(counts, "<i8")
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = per_worker("word-hashes", 0, _Hashes)
+        at, words, pairs, flags = None, [], [], []
+        for batch in batches:
+            for block, text, target in zip(batch.column("block").to_pylist(), batch.column("text"),
+                                           batch.column("target").to_pylist()):
+                if block != at:
+                    yield from settle(at, words, pairs, flags)
+                    at, words, pairs, flags = block, [], [], []
+                one, two = hashes_of(text.as_py(), hashes)
+                words.append(one)
+                pairs.append(two)
+                flags.append(bool(target))
+        yield from settle(at, words, pairs, flags)
+
+    return cells
+
+
+def _answer(cells: pa.Table) -> pa.Table:
+    """For the blocks of a part, the n-grams that they do not have alone with their counts in all blocks.
+
+    The first row has the part's sums over words.
+    """
+    columns, sums = {"block": cells["block"]}, (0, 0, 0)
+    for name in ("words", "pairs"):
+        own = [_unpack(v) for v in cells[name].to_pylist()]
+        keys, *counts = np.concatenate(own, 1)
+        distinct, at = np.unique(keys, return_inverse=True)
+        whole = np.stack([distinct, *(np.bincount(at, n, len(distinct)).astype(np.uint64) for n in counts)])
+        if name == "words":
+            sums = int(whole[1].sum()), int(whole[2].sum()), len(distinct)
+        ends, sent = np.cumsum([c.shape[1] for c in own]).tolist(), []
+        for mine, a, z in zip(own, [0, *ends], ends):
+            places = at[a:z]
+            sent.append(_pack(whole[:, places[whole[1, places] != mine[1]]]))
+        columns[name] = pa.array(sent, pa.binary())
+    for name, n in zip(("total", "target_total", "distinct"), sums):
+        columns[name] = pa.array([n] + [0] * (cells.num_rows - 1), pa.int64())
+    return pa.table(columns)
 
 
 class Models:
-    """Counts of both models in arrays of fixed size."""
-
-    def __init__(self, background: np.ndarray, target: np.ndarray):
-        self.counts = (background, target)
-        self.totals = totals = [float(c[:1 << WORD_BITS].sum()) for c in self.counts]
+    """Counts of both models for the n-grams of a block."""
+
+    def __init__(self, own: list[np.ndarray], answers: list[list[bytes]], totals: tuple[int, int], distinct: int):
+        self.counts = []
+        for counts, values in zip(own, answers):
+            for keys, *found in map(_unpack, values):
+                counts[1:, np.searchsorted(counts[0], keys)] = found
+            self.counts.append((counts[0], *counts[1:].astype(np.int64)))
+        self.totals = totals
+        self.vocabulary = max(distinct, 1 << WORD_BITS)
         #: Scale of the counts; the background has the target's mass.
         self.scale = (totals[1] / totals[0] if totals[0] and totals[1] else 1.0, 1.0)
 
@@ -127,23 +194,21 @@ class Models:
         mine = np.bincount(at)
         distinct_pairs, at_pair = np.unique(pairs, return_inverse=True)
         mine_pairs = np.bincount(at_pair, minlength=len(distinct_pairs))
+        (known, *singles), (known_pairs, *doubles) = self.counts
+        place, place_pair = np.searchsorted(known, distinct), np.searchsorted(known_pairs, distinct_pairs)
         found = []
         for kind in (1, 0):
-            counts, scale = self.counts[kind], self.scale[kind]
+            scale = self.scale[kind]
             counted = own or kind == 0
-            single = np.maximum(counts[distinct] - mine * counted, 0) * scale
-            pair = np.maximum(counts[distinct_pairs + (1 << WORD_BITS)] - mine_pairs * counted, 0) * scale
+            single = np.maximum(singles[kind][place] - mine * counted, 0) * scale
+            pair = np.maximum(doubles[kind][place_pair] - mine_pairs * counted, 0) * scale
             total = max(self.totals[kind] - len(words) * counted, 0) * scale
-            p1 = ((single + ALPHA) / (total + ALPHA * (1 << WORD_BITS)))[at]
+            p1 = ((single + ALPHA) / (total + ALPHA * self.vocabulary))[at]
             p2 = (pair[at_pair] + MIX * p1[1:]) / (np.maximum(single[at[:-1]], pair[at_pair]) + MIX)
             found.append(float(-(np.log(p1[0]) + np.log(p2).sum()) / len(words)))
         return found[0], found[1]
 
 
-_SCORED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("target_loss", T.DoubleType()),
-                        T.StructField("background_loss", T.DoubleType())])
-
-
 def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, target): whether a label of the document's id is good."""
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(
@@ -156,36 +221,33 @@ def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "doc_id", "text", F.col("good").isNotNull().alias("target"))
 
 
-def models(rows: DataFrame) -> Models:
-    """Counts over all rows; the tables have _SLOTS entries however large the corpus is."""
-    chunk = "chunk int, data binary"
-    counted = rows.select("text", "target").mapInArrow(_count, chunk)
-    counts = np.zeros((2, _SLOTS))
-    for row in counted.repartition("chunk").mapInArrow(_sum, chunk).collect():
-        counts[:, row.chunk * _CHUNK:(row.chunk + 1) * _CHUNK] = np.frombuffer(zlib.decompress(row.data), "<i8").reshape(2, -1)
-    return Models(*counts)
-
-
 def lm_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, target, n_words, target_loss, background_loss, score."""
-    spark = docs.sparkSession
+    shared = Shared(docs.sparkSession)
     # the flags are joined once, and both passes over the texts read the result
-    rows = Shared(spark).save(with_target(docs, labels), "texts")
-    found = models(rows)
-    sent = spark.sparkContext.broadcast(found)
-
-    @F.pandas_udf(_SCORED)
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    rows = shared.save(with_target(docs, labels).mapInArrow(
+        _in_blocks, "doc_id long, text string, target boolean, block long"), "texts")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = rows.select("text", "target", "block").mapInArrow(
+        _cells(max(PARTS, -(-size // PART_BYTES))), "part int, block long, words binary, pairs binary")
+    answers = shared.save(cells.groupBy("part").applyInArrow(
+        _answer, "block long, words binary, pairs binary, total long, target_total long, distinct long"), "answers")
+    *totals, distinct = (n or 0 for n in answers.agg(F.sum("total"), F.sum("target_total"), F.sum("distinct")).first())
+
+    def score(texts: pa.Table, seen: pa.Table) -> pa.Table:
         hashes = per_worker("word-hashes", 0, _Hashes)
-        for texts, targets in batches:
-            out = []
-            for text, target in zip(texts, targets):
-                words, pairs = slots_of(text, hashes)
-                out.append((len(words), *sent.value.losses(words, pairs, bool(target))))
-            yield pd.DataFrame(out, columns=_SCORED.names)
-
-    scored = rows.select("doc_id", "target", score("text", "target").alias("s"))
-    return scored.select("doc_id", "target", "s.*").withColumn("score", F.col("target_loss") - F.col("background_loss"))
+        hashed = [hashes_of(t.as_py(), hashes) for t in texts["text"]]
+        targets = texts["target"].to_pylist()
+        own = [counted([h[k] for h in hashed], targets) for k in (0, 1)]
+        found = Models(own, [seen["words"].to_pylist(), seen["pairs"].to_pylist()], totals, distinct)
+        out = [(len(words), *found.losses(words, pairs, target)) for (words, pairs), target in zip(hashed, targets)]
+        n, *losses = zip(*out) if out else ((), (), ())
+        return pa.table({"doc_id": texts["doc_id"], "target": texts["target"], "n_words": pa.array(n, pa.int64()),
+                         "target_loss": pa.array(losses[0], pa.float64()), "background_loss": pa.array(losses[1], pa.float64())})
+
+    scored = rows.groupBy("block").cogroup(answers.select("block", "words", "pairs").groupBy("block")).applyInArrow(
+        score, "doc_id long, target boolean, n_words long, target_loss double, background_loss double")
+    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 from lithogrid.llm import lm_score as X
 
@@ -63,3 +64,36 @@ def test_target_like_texts_score_lower(spark, docs_of):
     labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(100)], "doc_id long, quality int, toxic int")
     scores = {r.doc_id: r.score for r in X.lm_score(docs_of(rows), labels).collect()}
     assert max(scores[i] for i in range(100, 200, 2)) < min(scores[i] for i in range(101, 200, 2))
+
+
+def exact(rows, good):
+    """Both losses from dictionaries of the words and pairs themselves."""
+    texts = [(i, (t or "").split()) for i, t in rows]
+    counts = {kind: Counter(g for i, w in texts if not kind or i in good for g in [*w, *zip(w, w[1:])]) for kind in (True, False)}
+    totals = {kind: sum(len(w) for i, w in texts if not kind or i in good) for kind in (True, False)}
+    size = max(len({x for _, w in texts for x in w}), 1 << X.WORD_BITS)
+    out = {}
+    for i, words in texts:
+        mine, losses = Counter([*words, *zip(words, words[1:])]), []
+        for kind in (True, False):
+            own, scale = not kind or i in good, 1.0 if kind else totals[True] / totals[False]
+            c = {g: (counts[kind][g] - own * n) * scale for g, n in mine.items()}
+            n = (totals[kind] - own * len(words)) * scale
+            p1 = {w: (c[w] + X.ALPHA) / (n + X.ALPHA * size) for w in words}
+            logs = [math.log(p1[words[0]])] + [
+                math.log((c[v, w] + X.MIX * p1[w]) / (max(c[v], c[v, w]) + X.MIX)) for v, w in zip(words, words[1:])]
+            losses.append(-sum(logs) / len(words))
+        out[i] = losses
+    return out
+
+
+def test_more_words_than_a_table_would_have_slots(spark, docs_of, monkeypatch):
+    """300,000 words and 600,000 pairs over several blocks: no two share counts."""
+    monkeypatch.setattr(X, "BLOCK_BYTES", 200_000)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{i * 1500 + k if k % 2 else rng.randrange(300_000)}" for k in range(3000))) for i in range(200)]
+    good = set(range(0, 200, 4))
+    labels = spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int")
+    want = exact(rows, good)
+    for r in X.lm_score(docs_of(rows), labels).collect():
+        assert abs(r.target_loss - want[r.doc_id][0]) < 1e-6 and abs(r.background_loss - want[r.doc_id][1]) < 1e-6
