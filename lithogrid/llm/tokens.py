@@ -62,29 +62,40 @@ def packer_of(kind: np.dtype):
 
 
 class Encoder(dict):
-    """Pieces to the bytes of their ids, little-endian unsigned numbers of type ``kind``."""
+    """Pieces to the bytes of their ids, little-endian unsigned numbers of type ``kind``.
 
-    def __init__(self, path: str):
+    ``literal``: added tokens' content in a text is encoded like other text. Otherwise, as the
+    library does by default, it becomes their ids; such texts are encoded whole.
+    """
+
+    def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        added = [] if literal else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # a normalizer may make an added token of other letters
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.pack = packer_of(self.kind)
         self.cut = unspaced_pieces if self.tokenizer.normalizer is not None else spaced_pieces
 
     def _together(self, texts: list[str], end: bytes) -> Iterator[bytes]:
-        cut = [self.cut(t) for t in texts]
+        whole = [self.added is not None and self.added.search(t) is not None for t in texts]
+        cut = [[] if w else self.cut(t) for t, w in zip(texts, whole)]
         new = list(set().union(*cut).difference(self))
         if len(self) + len(new) > MAX_PIECES:
             self.clear()
             new = list(set().union(*cut))
         for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             self[piece] = self.pack(found.ids)
-        for pieces in cut:
-            yield b"".join(map(self.__getitem__, pieces)) + end
+        for text, pieces, w in zip(texts, cut, whole):
+            if w:
+                yield self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids) + end
+            else:
+                yield b"".join(map(self.__getitem__, pieces)) + end
 
     def encode(self, texts: Iterable[str | None], end: int) -> Iterator[bytes]:
         """Each text's ids and then the id ``end``; a null text counts as empty."""
@@ -99,7 +110,7 @@ class Encoder(dict):
 
 
 def encoder(path: str) -> Encoder:
-    return per_worker("encoder", path, lambda: Encoder(path))
+    return per_worker("encoder", path, lambda: Encoder(path, literal=False))
 
 
 def tokenizer_path(name: str) -> str:

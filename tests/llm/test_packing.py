@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lithogrid.llm.packing import first_fit_decreasing, pack_documents, with_digest
-from lithogrid.llm.tokens import Encoder, tokenizer_path
+from lithogrid.llm.tokens import Encoder, encoder, tokenizer_path
 
 ODD = ["", None, " ", "a", "it's  a\n\n test\t of   spaces ", "don't we'll I'M", "Ünïcode çà et là, été.", "日本語 テスト",
        "a b  c", "x\x1cy z\x85w", "naïve é ́a", "<|endoftext|> <|startoftext|>", "½ ² ³ªº µ", "a\0b c",
@@ -80,3 +80,13 @@ def test_little_padding(spark):
     pieces = pack_documents(table(spark, "/root/testdata/sf0.01", "documents"), tokenizer_path("byte_bpe_50k.json"))
     by = pieces.groupBy("sequence_id").agg({"length": "sum", "padded_length": "max"}).toPandas()
     assert 1 - by["sum(length)"].sum() / by["max(padded_length)"].sum() < 0.01
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_queries_encode_like_an_unmodified_tokenizer(name):
+    whole = Tokenizer.from_file(tokenizer_path(name))
+    texts = [*ODD, "a <|endoftext|> b", "a<|endoftext|><|startoftext|>b", "<|ENDOFTEXT|> x", "<|endoftext|", " <|endoftext|>"]
+    made = encoder(tokenizer_path(name))
+    for text, got in zip(texts, made.encode(texts, 7)):
+        assert np.frombuffer(got, made.kind).tolist() == [
+            *whole.encode(text or "", add_special_tokens=False).ids, 7], repr(text)
