@@ -5,7 +5,7 @@ its leaf. By path, the text length per node and the punctuation per node are
 summed over the page; both ratios are smoothed over the page's sequence of
 nodes with a Gaussian window, fused by their product, and the paths whose fused
 ratio exceeds the threshold (mean less a share of the deviation, text by text) are content paths.
-The content container is the deepest element that holds most of the content
+The content container is the deepest element that holds all of the content
 paths' text; the article is every block in it, headings too, that is no
 boilerplate.
 
@@ -73,8 +73,6 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Share of the paths' deviation below the mean at which a path still counts.
 SLACK = 0.5
 WINDOW = 2
-#: Share of the content text that a container holds.
-HOLDS = 0.75
 
 
 class Element:
@@ -217,15 +215,15 @@ def main_text(page: str | None) -> str:
         return ""
     texts = [t for _, t in kept]
     content = content_nodes([elements[e].path for e, _ in kept], texts)
-    weight: dict[int, float] = {}
-    whole = 0.0
+    weight: dict[int, int] = {}
+    whole = 0
     for (e, text), chosen in zip(kept, content):
         if chosen:
             whole += len(text)
             while e >= 0:
                 weight[e] = weight.get(e, 0) + len(text)
                 e = elements[e].parent
-    holds = [e for e, w in weight.items() if w >= HOLDS * whole]
+    holds = [e for e, w in weight.items() if w == whole]
     marked = [e for e in holds if elements[e].tag in ("article", "main")]
     inside = max(marked or holds, key=lambda e: (elements[e].depth, -e))
     if elements[inside].tag == "p" or elements[inside].tag in INLINE:

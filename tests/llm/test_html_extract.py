@@ -53,3 +53,15 @@ def test_query_rows(spark):
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == sorted(
         [(1, WANT, len(WANT)), (2, "", 0), (2, "", 0), (0, "é😀", 2)])
     assert html_extract(pages.limit(0)).count() == 0
+
+
+def test_content_in_several_containers_is_whole():
+    def words(start, count):
+        return " ".join(f"word{k}, and more" for k in range(start, start + count)) + "."
+
+    long, short = words(0, 60), words(100, 14)
+    split = f"<div><section><p>{long}</p></section><section><p>{short}</p></section></div>"
+    assert main_text(split) == f"{long} {short}"
+    assert main_text(f"<body><nav>Menu</nav><main><article><p>{long}</p></article><h2>Part two</h2>"
+                     f"<article><p>{short}</p></article></main><footer>c</footer></body>") == f"{long} Part two {short}"
+    assert main_text(f"<div><p>{short}</p><ul>{''.join(f'<li>{words(9 * k, 9)}</li>' for k in range(9))}</ul></div>").startswith(short)
