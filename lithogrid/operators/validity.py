@@ -147,14 +147,12 @@ def _odd(v: str, ring: str) -> str:
     return f"size(filter({ring}, e -> {ray_hits(v)})) % 2 = 1"
 
 
-#: Vertices of a ring that tell on which side of another it lies: rings do not cross here, and more than two
-#: vertices on the other outline make the interior fall apart anyway.
-PROBES = 3
-
-
 def _first_vertex(where: str) -> str:
-    """The smallest probe ``v`` that meets a condition, null when none does; both paths name this one."""
-    return (f"array_min(transform(filter(edges, v -> v.i <= {PROBES} AND {where}), "
+    """The smallest vertex ``v`` that meets a condition, null when none does; both paths name this one.
+
+    Every vertex is tested: those of rings of different parts may touch any number of times.
+    """
+    return (f"array_min(transform(filter(edges, v -> {where}), "
             "v -> named_struct('x1', v.x1, 'y1', v.y1)))")
 
 
@@ -305,14 +303,13 @@ def check_large(features: DataFrame, save) -> DataFrame:
 def _misplaced_rings(edges: DataFrame) -> DataFrame:
     """Holes outside their shell, holes in holes and shells in shells.
 
-    Rings that do not cross lie wholly on one side, so three vertices tell: more
-    than two on the other outline make the interior fall apart anyway. Vertices
-    and edges meet in rows of the feature's grid.
+    Any number of a ring's vertices may lie on another outline, so each is tested.
+    Vertices and edges meet in rows of the feature's grid.
     """
     several = edges.filter("e.g > 0").select("area_id", "pos").distinct()
     edges = edges.join(several, ["area_id", "pos"], "left_semi")
     row = "cast(floor(({v} - y0) / depth * side {w}) AS BIGINT)"
-    probes = edges.filter(f"e.i <= {PROBES}").select(
+    probes = edges.select(
         "area_id", "pos", F.col("e").alias("v"), F.expr(row.format(v="e.y1", w="")).alias("cy"))
     rows = edges.withColumn("cy", F.explode_outer(F.expr(
         f"sequence({row.format(v='e.yl', w='- 1e-6D')}, {row.format(v='e.yh', w='+ 1e-6D')})"))).select(

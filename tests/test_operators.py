@@ -198,6 +198,18 @@ def test_validity_paths_agree(spark):
     assert small[2] == "Self-intersection[2 2]"
 
 
+def test_nested_shells_that_touch_at_their_first_vertices(spark):
+    """Only the fourth vertex of the inner shell lies off the outer outline."""
+    shells = [[(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)], [(5, 0), (10, 5), (5, 10), (2, 5), (5, 0)]]
+    ready = local_geometry.with_outline(spark.createDataFrame(
+        [(0, "MultiPolygon", 0.0, [(k, 0, [float(u) for u, _ in r], [float(v) for _, v in r]) for k, r in enumerate(shells)])],
+        f"pos BIGINT, geom_type STRING, width DOUBLE, rings ARRAY<STRUCT<{RING}>>").withColumn(
+        "area_id", F.lit("a")).withColumn("malformed", F.lit(False)))
+    small = [r.error for r in validity.check_in_row(ready, 64).collect()]
+    large = [r.error for r in validity.check_large(ready, Workspace(spark).save).collect()]
+    assert small == large == ["Nested shells[2 5]"]
+
+
 def test_crowded_cells_are_divided(spark, monkeypatch):
     monkeypatch.setattr(validity, "MAX_EDGES_IN_CELL", 4)
     angles = [2 * math.pi * i / 200 for i in range(200)]
