@@ -10,11 +10,13 @@ block maxima of the query's terms and skips every block that cannot reach
 ``THRESHOLD``; in the others WAND moves its cursors from pivot to pivot and
 returns every unit that scores ``THRESHOLD`` or more. A unit's item is then verified on the words around the passage: of the item's
 question and of its answer (its last sentences), at least ``OVERLAP`` of the
-word ``SHINGLE``-grams must occur there (shorter parts: the part as a whole).
+word ``SHINGLE``-grams must occur there (shorter parts: the part as a whole). Of answers of
+fewer than ``SHORT`` words the pairs of words count, and one is enough when at
+least ``HIGH`` of the ``SHINGLE``-grams of a question that is no shorter occur.
 
 The index goes to the executors in shards of at most ``SHARD_BYTES`` of item
-text, one pass over the texts for each, so its size is bounded for benchmarks
-of any size. Words are runs of letters and digits, A-Z lower-cased.
+text, one pass over the texts for each, and the matches of a shard are written
+before the next one is built, so its size is bounded for benchmarks of any size. Words are runs of letters and digits, A-Z lower-cased.
 
 Null and empty texts and items match nothing. Repeated items are reported one
 by one, repeated rows have equal results, ids may be null. Texts of any length
@@ -27,11 +29,12 @@ import math
 import re
 import uuid
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +45,10 @@ UNIT = 64
 THRESHOLD = 0.5
 OVERLAP = 0.5
 SHINGLE = 5
+#: Answers of fewer words are judged by their pairs of words.
+SHORT = 2 * SHINGLE
+#: Overlap of a question that one pair of words of a short answer confirms.
+HIGH = 0.8
 BLOCK = 4
 K1, B = 1.2, 0.75
 SHARD_BYTES = 16 << 20
@@ -69,8 +76,8 @@ def question_and_answer(text: str | None) -> tuple[list[bytes], list[bytes]]:
     return question or answer, answer
 
 
-def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
-    n = min(SHINGLE, len(words))
+def shingles(words: list[bytes], size: int = SHINGLE) -> set[tuple[bytes, ...]]:
+    n = min(size, len(words))
     return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
@@ -84,7 +91,9 @@ class Index:
         for number, (item, text) in enumerate(items):
             words = words_of(text)
             question, answer = question_and_answer(text)
-            self.parts.append((item, len(words), shingles(question), shingles(answer)))
+            short = len(answer) < SHORT
+            self.parts.append((item, len(words), shingles(question), shingles(answer, 2 if short else SHINGLE),
+                               short and len(question) >= max(SHINGLE, len(answer))))
             pieces = max(1, -(-len(words) // UNIT))
             for k in range(pieces):
                 unit = words[len(words) * k // pieces:len(words) * (k + 1) // pieces]
@@ -185,7 +194,7 @@ class Index:
             around = None
             for unit, score in chain.from_iterable(self.retrieve(query, b) for b in blocks):
                 number = self.units[unit]
-                item, length, question, answer = self.parts[number]
+                item, length, question, answer, alone = self.parts[number]
                 if number in best and best[number][0] >= score:
                     continue
                 if around is None or around[0] < length:
@@ -199,7 +208,7 @@ class Index:
                         near = around[1]
                         seen[n] = set(zip(*(near[i:] for i in range(n))))
                     shares.append(len(part & seen[n]) / len(part) if n else 0.0)
-                if min(shares) >= OVERLAP:
+                if min(shares) >= OVERLAP or alone and shares[0] >= HIGH and shares[1] > 0:
                     best[number] = (score, k * UNIT, *shares)
         return [(self.parts[n][0], at, score, q, a) for n, (score, at, q, a) in sorted(best.items())]
 
@@ -219,8 +228,8 @@ def _count_words(texts: pd.Series) -> pd.Series:
     return pd.Series([len(words_of(t)) for t in texts], dtype="int64")
 
 
-def _searcher(spark: SparkSession, parts: tuple) -> Column:
-    sent, key = spark.sparkContext.broadcast(parts), uuid.uuid4().hex
+def _searcher(sent: Broadcast) -> Callable[[str], Column]:
+    key = uuid.uuid4().hex
 
     @F.pandas_udf(_MATCH)
     def search(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -232,9 +241,13 @@ def _searcher(spark: SparkSession, parts: tuple) -> Column:
     return search
 
 
-def matches(spark: SparkSession, benchmark: DataFrame) -> list:
-    """A UDF for each shard of the benchmark, from text to its verified items."""
-    shared = Shared(spark)
+def matches(shared: Shared, benchmark: DataFrame, found: Callable[[Callable], DataFrame],
+            single: Callable[[Callable], DataFrame] | None = None) -> DataFrame:
+    """The union over the shards of the benchmark of what ``found`` makes of a UDF from text to verified items.
+
+    With several shards each result is written, and its broadcast let go, before the next shard is built;
+    with one it is what ``single`` makes, if that is given.
+    """
     items = shared.save(benchmark.select(
         "item_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row")), "items")
     total, size, words = items.agg(
@@ -243,28 +256,46 @@ def matches(spark: SparkSession, benchmark: DataFrame) -> list:
     per_word = shared.save(items.select("row", F.explode(_distinct_words("text")).alias("word")), "item-words")
     frequency = per_word.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     shard = F.pmod(F.xxhash64("row"), F.lit(shards))
-    made = []
+    made = None
     for k in range(shards):
         own = items.filter(shard == k)
         used = per_word.filter(shard == k).select("word").distinct()
         counts = {bytes(r.word): r.n for r in frequency.join(used, "word", "left_semi").collect()}
         rows = [(r.item_id, r.text) for r in own.orderBy("row").collect()]
         units = max(1.0, (words or 0) / max(1, total))
-        made.append(_searcher(spark, (rows, counts, total, min(units, float(UNIT)))))
+        sent = shared.spark.sparkContext.broadcast((rows, counts, total, min(units, float(UNIT))))
+        if shards == 1:
+            return (single or found)(_searcher(sent))
+        some = found(_searcher(sent))
+        some = shared.save(some, f"found-{k}")
+        sent.destroy()
+        made = some if made is None else made.unionAll(some)
     return made
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and verified item: doc_id, item_id, passage, score, question_overlap, answer_overlap."""
-    found = F.concat(*[search("text") for search in matches(docs.sparkSession, benchmark)])
-    return docs.select("doc_id", found.alias("found")).select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.*")
+    return matches(Shared(docs.sparkSession), benchmark, lambda search: docs.select(
+        "doc_id", search("text").alias("found")).select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.*"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a verified item, with all their columns."""
-    found = F.concat(*[search("text") for search in matches(docs.sparkSession, benchmark)])
-    packed = docs.select(F.struct("*").alias("row"), found.alias("found"))
-    return packed.filter(F.size("found") == 0).select("row.*")
+    shared, numbered = Shared(docs.sparkSession), []
+
+    def hits(search: Callable) -> DataFrame:
+        """Numbers of the rows with a verified item; the rows are written once, so that every pass has the same numbers."""
+        if not numbered:
+            numbered.append(shared.save(docs.select(
+                F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "numbered"))
+        return numbered[0].select("number", search("row.text").alias("found")).filter(F.size("found") > 0).select("number")
+
+    def clean(search: Callable) -> DataFrame:
+        packed = docs.select(F.struct("*").alias("row"), search("text").alias("found"))
+        return packed.filter(F.size("found") == 0).select("row.*")
+
+    kept = matches(shared, benchmark, hits, clean)
+    return numbered[0].join(kept, "number", "left_anti").select("row.*") if numbered else kept
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

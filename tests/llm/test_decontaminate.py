@@ -92,3 +92,14 @@ def test_planted_items_are_found_and_clean_texts_left_alone(spark, docs_of, monk
     assert kept.columns[-1] == "found"
     assert X.contaminated(docs_of(docs), benchmark.limit(0)).count() == 0
     assert X.contaminated(docs_of([]), benchmark).count() == 0
+
+
+def test_short_answers_that_differ():
+    rng = random.Random(9)
+    question, answer = made_up(rng, 30)[:-1], "one two three four five"
+    index = index_of([(1, f"{question}. {answer}.")] + [(i, made_up(rng, 30)) for i in range(2, 30)])
+    before, after = made_up(rng, 50), made_up(rng, 50)
+    for tail in (answer, "one two other four five", "one two three", "one two", "three four and no more"):
+        assert [m[0] for m in index.search(f"{before} {question}. {tail}. {after}")] == [1], tail
+    assert index.search(f"{before} {question}. {after}") == []
+    assert index.search(f"{before} {' '.join(question.split()[:12])}. {after}") == []
