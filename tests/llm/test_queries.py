@@ -9,7 +9,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_one_query_for_each_operator():
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(ORACLES) <= set(QUERIES) and all(isinstance(sql, str) for sql in ORACLES.values())
 
 
