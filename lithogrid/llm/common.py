@@ -34,8 +34,9 @@ class Shared:
         self.spark = spark
         self.path = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
+    def save(self, df: DataFrame, name: str, *folders: str) -> DataFrame:
+        """Write and read back; one folder for each value of the columns ``folders``."""
+        df.write.partitionBy(*folders).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
 

@@ -10,7 +10,7 @@ hashed by many tasks, and a rebuilt sequence takes its key from two prefixes.
 Rollup: every node goes only to its ancestors within its band of ``BAND``
 depths, itself included; then bands are completed from the deepest up, where
 the totals of a band's roots go to the ancestors of their parents. A node makes
-at most ``BAND`` rows, a round is one band. Conversation ids that end at a node
+at most ``BAND`` rows, a round is one band and reads that band's folder. Conversation ids that end at a node
 are sorted over many tasks into pieces of text, which one task streams into the hash.
 
 Null roles and texts are empty; null turns come first; rows of equal turn are
@@ -36,7 +36,7 @@ from lithogrid.llm.common import Shared, join_by_size, table
 #: Turns taken over from the conversation that opens each hundred.
 SHARED_TURNS = 6
 #: Depths in one band of the rollup.
-BAND = 8
+BAND = 32
 #: Conversation ids in one piece of text.
 PIECE = 1 << 14
 
@@ -187,13 +187,13 @@ def _nodes(rows: DataFrame, shared: Shared, band: int) -> DataFrame:
 def _rollup(nodes: DataFrame, shared: Shared, band: int, deepest: int) -> DataFrame:
     """(k1, k2, n_leaves, saved_tokens) of every node's subtree, band by band from the deepest."""
     totals, above = [], None
-    own = nodes.select("k1", "k2", "p1", "p2", "depth", "path", F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long").alias("leaves"),
+    own = nodes.select("k1", "k2", "p1", "p2", "depth", "level", "path", F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long").alias("leaves"),
                        ((F.col("n_convs") - 1) * F.col("chars")).alias("saved"))
     for level in range(deepest // band, -1, -1):
-        here = own.filter(F.floor(F.col("depth") / band) == level)
+        here = own.filter(F.col("level") == level)
         values = here.select("path", "leaves", "saved")
         if above is not None:
-            roots = own.filter(F.col("depth") == (level + 1) * band).drop("leaves", "saved").join(above, ["k1", "k2"])
+            roots = own.filter((F.col("level") == level + 1) & (F.col("depth") == (level + 1) * band)).drop("leaves", "saved").join(above, ["k1", "k2"])
             passed = roots.groupBy(F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(
                 F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
             values = values.unionByName(here.select("k1", "k2", "path").join(passed, ["k1", "k2"]).select("path", "leaves", "saved"))
@@ -274,7 +274,7 @@ def prefix_trie(conversations: DataFrame, band: int = BAND, piece: int = PIECE)
     children = nodes.filter("depth > 0").groupBy(F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(
         F.count(F.lit(1)).alias("n_children"))
     nodes = shared.save(nodes.join(children, ["k1", "k2"], "left").withColumn(
-        "n_children", F.coalesce("n_children", F.lit(0))), "family")
+        "n_children", F.coalesce("n_children", F.lit(0))).withColumn("level", F.floor(F.col("depth") / band)), "family", "level")
     deepest, total = nodes.agg(F.coalesce(F.max("depth"), F.lit(0)), F.count(F.lit(1))).first()
     totals = _rollup(nodes, shared, band, deepest)
     ends = _ends(rows, shared, piece)
