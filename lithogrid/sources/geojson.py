@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lithogrid.functions.values import as_text
 from lithogrid.operators.lookup import lookup
+from lithogrid.plans.workspace import Workspace
+from lithogrid.sources.split_json import area_of, read_array
 
 _FEATURE = "id: VARIANT, properties: VARIANT, geometry: VARIANT"
 
@@ -29,13 +31,21 @@ def read_collections(spark: SparkSession, path: str) -> DataFrame:
     documents = (
         spark.read.schema(f"features ARRAY<STRUCT<{_FEATURE}>>")
         .option("multiLine", True).option("mode", "FAILFAST").json(path)
-        .withColumn("area_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1))
+        .withColumn("area_id", area_of("_metadata.file_name"))
     )
     return documents.select("area_id", F.posexplode("features").alias("pos", "f")).select(
         "area_id", F.col("pos").cast("bigint").alias("pos"), *_identity("f.id"),
         "f.properties", "f.geometry")
 
 
+def read_large_collections(spark: SparkSession, path: str) -> DataFrame:
+    """Like :func:`read_collections`, with each document read by as many tasks as it has blocks."""
+    found, _ = read_array(spark, path, "features", Workspace(spark).save)
+    feature = F.from_json("json", f"STRUCT<{_FEATURE}>", {"mode": "FAILFAST"})
+    return found.select(area_of("name"), "pos", feature.alias("f")).select(
+        "area_id", "pos", *_identity("f.id"), "f.properties", "f.geometry")
+
+
 def read_feature_lines(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
     """One feature per line, with its ``area_id`` member: splits at any size.
 

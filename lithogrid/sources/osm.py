@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithogrid.functions.values import is_truthy
+from lithogrid.plans.workspace import Workspace
+from lithogrid.sources.split_json import area_of, read_array
 
 ELEMENT = (
     "type: STRING, id: BIGINT, tags: MAP<STRING, STRING>, "
@@ -24,14 +26,26 @@ def read_extracts(spark: SparkSession, path: str) -> DataFrame:
     return (
         spark.read.schema(f"remark STRING, elements ARRAY<STRUCT<{ELEMENT}>>")
         .option("multiLine", True).option("mode", "FAILFAST").json(path)
-        .withColumn("area_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1))
+        .withColumn("area_id", area_of("_metadata.file_name"))
     )
 
 
+def _tagged(elements: DataFrame) -> DataFrame:
+    return elements.select("area_id", F.col("pos").cast("bigint").alias("pos"), "e.*").withColumn(
+        "tags", F.coalesce("tags", F.expr("map()").cast("map<string, string>")))
+
+
 def elements_of(extracts: DataFrame) -> DataFrame:
-    return extracts.select("area_id", F.posexplode("elements").alias("pos", "e")).select(
-        "area_id", F.col("pos").cast("bigint").alias("pos"), "e.*"
-    ).withColumn("tags", F.coalesce("tags", F.expr("map()").cast("map<string, string>")))
+    return _tagged(extracts.select("area_id", F.posexplode("elements").alias("pos", "e")))
+
+
+def read_large_extracts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Extract documents that many tasks read each: (area_id, remark) and the elements, as :func:`elements_of` gives them."""
+    found, values = read_array(spark, path, "elements", Workspace(spark).save, also=("remark",))
+    element = F.from_json("json", f"STRUCT<{ELEMENT}>", {"mode": "FAILFAST"})
+    remark = F.from_json(F.concat(F.lit('{"remark":'), "json", F.lit("}")), "remark STRING")["remark"]
+    return (values.select(area_of("name"), remark.alias("remark")),
+            _tagged(found.select(area_of("name"), "pos", element.alias("e"))))
 
 
 def incomplete_extracts(extracts: DataFrame) -> DataFrame:
