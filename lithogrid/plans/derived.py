@@ -143,6 +143,23 @@ def patchy_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(balances, "pos").withColumn("properties", F.parse_json(F.to_json(kept))).drop("poor")
 
 
+# --- footprints as one document per area --------------------------------------------------------
+
+def write_documents(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The footprints of each area as one FeatureCollection under ``path``, streamed in order of ``pos``."""
+    rows = footprints(spark, sf_dir)
+    rings = F.expr("transform(rings, g -> transform(arrays_zip(g.lon, g.lat), v -> array(v.lon, v.lat)))")
+    written = F.to_json(F.struct(
+        F.lit("Feature").alias("type"), "id", "properties",
+        F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates")).alias("geometry")))
+    ends = rows.groupBy("area_id").agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
+    lines = rows.join(ends, "area_id").select("area_id", "pos", F.concat(
+        F.when(F.col("pos") == F.col("_first"), '{"type": "FeatureCollection", "features": [').otherwise(","), written,
+        F.when(F.col("pos") == F.col("_last"), "]}").otherwise("")).alias("value"))
+    lines.repartition("area_id").sortWithinPartitions("area_id", "pos").select(
+        "area_id", "value").write.partitionBy("area_id").text(path)
+
+
 # --- large outlines -----------------------------------------------------------------------------
 
 STAR_VERTICES = 512

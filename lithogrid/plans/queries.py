@@ -12,7 +12,8 @@ from lithogrid.operators.lookup import lookup
 from lithogrid.plans import derived
 from lithogrid.plans.build import budget_violations, large_spans, prepare, small_spans, voxel_counts
 from lithogrid.plans.workspace import Workspace
-from lithogrid.sources import config, osm
+from lithogrid.sources import config, geojson, osm
+from lithogrid.sources.split_json import read_array
 
 
 def spread(features: DataFrame) -> DataFrame:
@@ -239,6 +240,21 @@ def select_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return osm.select_elements(elements).groupBy("area_id", "type").agg(F.count(F.lit(1)).alias("elements"))
 
 
+# --- documents ---------------------------------------------------------------------------------
+
+def split_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of collections, one document per area, that many tasks read each."""
+    work = Workspace(spark)
+    derived.write_documents(spark, sf_dir, f"{work.path}/documents")
+    members, _ = read_array(spark, f"{work.path}/documents/*", "features", work.save)
+    area = F.regexp_extract("file", "area_id=([^/]*)", 1)
+    rows = geojson.parse_geometry(geojson.features_of(members.withColumn("area_id", area)))
+    return rows.select(
+        "area_id", "pos", "id", F.try_variant_get("properties", "$.kind", "string").alias("kind"),
+        F.expr("aggregate(rings, 0L, (n, g) -> n + size(g.lon))").alias("vertices"),
+        F.round(F.expr("rings[0].lon[0]"), 6).alias("west"), F.round(F.expr("rings[0].lat[0]"), 6).alias("south"))
+
+
 # --- outputs ------------------------------------------------------------------------------------
 
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,6 +313,7 @@ QUERIES = {
     "skipped_elements": skipped_elements,
     "osm_geometry": osm_geometry,
     "select_elements": select_elements,
+    "split_collections": split_collections,
     "quality_report": quality_report,
     "report_lists": report_lists,
     "export_features": export_features,

@@ -41,8 +41,13 @@ def read_collections(spark: SparkSession, path: str) -> DataFrame:
 def read_large_collections(spark: SparkSession, path: str) -> DataFrame:
     """Like :func:`read_collections`, with each document read by as many tasks as it has blocks."""
     found, _ = read_array(spark, path, "features", Workspace(spark).save)
+    return features_of(found.withColumn("area_id", area_of("name")))
+
+
+def features_of(members: DataFrame) -> DataFrame:
+    """Features from (area_id, pos, json) of the members of a collection."""
     feature = F.from_json("json", f"STRUCT<{_FEATURE}>", {"mode": "FAILFAST"})
-    return found.select(area_of("name"), "pos", feature.alias("f")).select(
+    return members.select("area_id", "pos", feature.alias("f")).select(
         "area_id", "pos", *_identity("f.id"), "f.properties", "f.geometry")
 
 

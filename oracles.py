@@ -422,6 +422,9 @@ ORACLES = {
       case when a.nation % 10 = 4 then '{build.NO_BUDGET}' else '{build.VOXELS_OVER_BUDGET}' end as message
     from area a left join (select area_id, sum(y1 - y0) as n from layered group by area_id) as c on c.area_id = a.area_id
     where coalesce(n, 0) > 500 * (a.nation % 10) or a.nation % 10 = 4""",
+    "split_collections": f"""select area_id, row_number() over (partition by area_id order by pos) - 1 as pos,
+      concat('b', cast(pos as varchar)) as id, 'building' as kind, cast(case shape when 0 then 4 when 1 then 5 else 10 end as bigint) as vertices,
+      round(w, 6) as west, round(s, 6) as south from ({named(derived.FOOTPRINTS_SQL)}) as f""",
     "large_polygon_cells": f"with {STARS} {PER_FEATURE}",
     "project_vertices": f"""with {FOOTPRINTS} select pos, cast(row_number() over (partition by pos order by ring, i) - 1 as integer) as i,
       {tidy('x')} as x, {tidy('z')} as z from vertex""",
