@@ -2,15 +2,21 @@
 
 Small features are judged inside their row. For large ones the edges are laid
 over a grid fitted to the feature and only edges that share a cell are
-compared.
+compared; a sweep tells how its rings lie in each other.
 """
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithogrid.functions.planar import let
+from lithogrid.operators import ring_nesting
 
 # Reason texts.
 EMPTY = "Empty geometry"
@@ -168,8 +174,13 @@ _IN_SHELL = _first_vertex(
     f"h -> {_odd('v', _OTHER_PART)} AND NOT ({on_outline('v', _OTHER_PART)}))")
 
 _MEETINGS = f"filter(hits, h -> h.code = {_RINGS_MEET} AND h.pa = h.pb)"
-# Meetings of pairs of rings that meet elsewhere too.
-_TWICE = f"""filter({_MEETINGS}, h -> exists({_MEETINGS}, k -> k.ga = h.ga AND k.gb = h.gb AND (k.x <> h.x OR k.y <> h.y)))"""
+# Rings and the points where they meet, as links of a graph. Links whose ring or
+# point has no other link are taken away again and again: what is left are cycles.
+_LINKS = f"""array_distinct(flatten(transform({_MEETINGS}, h -> array(
+  named_struct('p', h.pa, 'g', h.ga, 'x', h.x, 'y', h.y), named_struct('p', h.pa, 'g', h.gb, 'x', h.x, 'y', h.y)))))"""
+_ON_CYCLES = let("links", _LINKS, """aggregate(sequence(1, greatest(1, size(links))), links, (s, i) -> CASE
+  WHEN size(s) < 4 THEN slice(s, 1, 0) ELSE filter(s, l ->
+    exists(s, k -> k.g = l.g AND (k.x <> l.x OR k.y <> l.y)) AND exists(s, k -> k.x = l.x AND k.y = l.y AND k.p = l.p AND k.g <> l.g)) END)""")
 
 
 # All values a verdict needs are bound inside one expression: as columns they
@@ -182,7 +193,7 @@ _RING_VERDICT = let("c", f"array_min(filter(hits, h -> h.code < {_RINGS_MEET}))"
     {let('w', _OUTSIDE, _at(HOLE_OUTSIDE, 'w.x1', 'w.y1'))},
     {let('w', _IN_HOLE, _at(NESTED_HOLES, 'w.x1', 'w.y1'))},
     {let('w', _IN_SHELL, _at(NESTED_SHELLS, 'w.x1', 'w.y1'))},
-    {let('w', f"array_min(transform({_TWICE}, h -> named_struct('x', h.x, 'y', h.y)))", _at(DISCONNECTED, 'w.x', 'w.y'))})
+    {let('w', f"array_min(transform({_ON_CYCLES}, h -> named_struct('x', h.x, 'y', h.y)))", _at(DISCONNECTED, 'w.x', 'w.y'))})
   END""")
 _AREAL_VERDICT = let("edges", _EDGES, let("hits", _HITS, _RING_VERDICT))
 
@@ -207,10 +218,14 @@ def check_in_row(features: DataFrame, max_edges: int) -> DataFrame:
 # A grid cell may hold this many edges before it is divided again.
 MAX_EDGES_IN_CELL = 48
 SUBDIVISION = 16
-MAX_DIVISIONS = 6
+MAX_DIVISIONS = 12
+#: A vertex where more edges end is a hub: they are compared by their bearings, not in pairs.
+HUB = 16
 
-_CELL = ["area_id", "pos", "level", "cx", "cy"]
-_COMPARE = ["g", "part", "ring", "i", "n", "x1", "y1", "x2", "y2", "px", "py", "xl", "xh", "yl", "yh"]
+#: Columns and rows of the grid that a cell belongs to, and its place there.
+_CELL = ["area_id", "pos", "sx", "sy", "cx", "cy"]
+_FAULTS = {ring_nesting.OUT: _OUT, ring_nesting.IN_HOLE: _IN_OTHER_HOLE, ring_nesting.IN_SHELL: _IN_OTHER_SHELL,
+           ring_nesting.APART: _APART}
 
 
 def large_ring_edges(features: DataFrame) -> DataFrame:
@@ -222,113 +237,184 @@ def large_ring_edges(features: DataFrame) -> DataFrame:
         F.expr("array_max(flatten(rings.lon))").alias("xe"), F.expr("array_max(flatten(rings.lat))").alias("ye"))
     sized = boxed.select(
         "area_id", "pos", "edges", "x0", "y0",
-        F.expr("greatest(1, cast(ceil(sqrt(size(edges))) AS BIGINT))").alias("side"),
+        *[F.expr("greatest(1, cast(ceil(sqrt(size(edges))) AS BIGINT))").alias(c) for c in ("sx", "sy")],
         F.expr("greatest((xe - x0), 1e-12D)").alias("width"),
         F.expr("greatest((ye - y0), 1e-12D)").alias("depth"))
-    return sized.select("area_id", "pos", "x0", "y0", "side", "width", "depth",
+    return sized.select("area_id", "pos", "x0", "y0", "sx", "sy", "width", "depth",
                         F.explode_outer("edges").alias("e")).filter("e IS NOT NULL")
 
 
-def _over_grid(edges: DataFrame) -> DataFrame:
-    """Cells of the feature's grid that an edge passes, a little widened."""
-    column = "cast(floor(({v} - x0) / width * side) AS BIGINT)"
-    columns = edges.withColumn("cx", F.explode_outer(F.expr(
-        f"sequence({column.format(v='e.xl')}, {column.format(v='e.xh')})")))
-    left, right = "(x0 + cx * width / side)", "(x0 + (cx + 1) * width / side)"
+def hub_arms(edges: DataFrame) -> DataFrame:
+    """(area_id, pos, x, y, e) for each edge that ends at a hub."""
+    ends = edges.select("area_id", "pos", "e", F.explode(F.expr("array(struct(e.x1 AS x, e.y1 AS y), struct(e.x2 AS x, e.y2 AS y))")).alias("p"))
+    hubs = ends.groupBy("area_id", "pos", "p").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HUB).drop("n")
+    # hubs are at most one in HUB / 2 vertices
+    return ends.join(hubs, ["area_id", "pos", "p"]).select("area_id", "pos", "p.x", "p.y", "e")
+
+
+def _with_hubs(edges: DataFrame, arms: DataFrame) -> DataFrame:
+    """Edges with ``hub``, a hub that they end at: two edges of one hub meet nowhere else."""
+    marked = arms.groupBy("area_id", "pos", F.col("e.g").alias("g"), F.col("e.i").alias("i")).agg(
+        F.min(F.struct("x", "y")).alias("hub"))
+    keyed = edges.withColumn("g", F.col("e.g")).withColumn("i", F.col("e.i"))
+    return keyed.join(marked, ["area_id", "pos", "g", "i"], "left").drop("g", "i")
+
+
+def _over_grid(edges: DataFrame, within: bool = False) -> DataFrame:
+    """Cells of the feature's grid that an edge passes, a little widened: by a share of a cell and by some last places.
+
+    ``within``: only the ``fx`` by ``fy`` cells inside the coarser cell (ox, oy),
+    so that a long edge is not laid over the whole finer grid.
+    """
+    wider = "least(0.5D, 1e-6D + 1e-14D * sx * (abs(x0) + width) / width)"
+    higher = "least(0.5D, 1e-6D + 1e-14D * sy * (abs(y0) + depth) / depth)"
+
+    def cells(first: str, last: str, coarse: str, fine: str):
+        if within:
+            first, last = f"greatest({first}, {coarse} * {fine})", f"least({last}, {coarse} * {fine} + {fine} - 1)"
+        return F.explode_outer(F.expr(let("s", f"named_struct('a', {first}, 'b', {last})", "CASE WHEN s.a <= s.b THEN sequence(s.a, s.b) END")))
+
+    def column(value: str, by: str) -> str:
+        return f"cast(floor(({value} - x0) / width * sx {by}) AS BIGINT)"
+
+    def row(value: str, by: str) -> str:
+        return f"cast(floor(({value} - y0) / depth * sy {by}) AS BIGINT)"
+
+    columns = edges.withColumn("cx", cells(
+        column("e.xl", f"- {wider}"), column("e.xh", f"+ {wider}"), "ox", "fx")).filter("cx IS NOT NULL")
+    left, right = "(x0 + cx * width / sx)", "(x0 + (cx + 1) * width / sx)"
     at = "e.y1 + (e.y2 - e.y1) * (({v} - e.x1) / (e.x2 - e.x1))"
     steep = "e.x1 = e.x2"
+    west, east = f"least(e.xh, greatest(e.xl, {left}))", f"greatest(e.xl, least(e.xh, {right}))"
     cut = columns.select(
         "*",
-        F.expr(f"CASE WHEN {steep} THEN e.y1 ELSE {at.format(v=f'greatest(e.xl, {left})')} END").alias("ya"),
-        F.expr(f"CASE WHEN {steep} THEN e.y2 ELSE {at.format(v=f'least(e.xh, {right})')} END").alias("yb"))
-    row = "cast(floor(({v} - y0) / depth * side {w}) AS BIGINT)"
-    return cut.withColumn("cy", F.explode_outer(F.expr(
-        f"sequence({row.format(v='least(ya, yb)', w='- 1e-6D')}, {row.format(v='greatest(ya, yb)', w='+ 1e-6D')})"
-    ))).drop("ya", "yb")
+        F.expr(f"CASE WHEN {steep} THEN e.y1 ELSE {at.format(v=west)} END").alias("ya"),
+        F.expr(f"CASE WHEN {steep} THEN e.y2 ELSE {at.format(v=east)} END").alias("yb"))
+    return cut.withColumn("cy", cells(
+        row("least(ya, yb)", f"- {higher}"), row("greatest(ya, yb)", f"+ {higher}"), "oy", "fy")).filter(
+        "cy IS NOT NULL")
 
 
 def _divide(cells: DataFrame, save) -> DataFrame:
-    """Lay crowded cells over finer grids until none is crowded."""
+    """Divide crowded cells until none is: along the axis on which their edges are shorter, so few edges repeat.
+
+    Edges that end at one hub do not crowd each other.
+    """
     settled = []
+    # how much of a cell's height and width the edge's way through it takes
+    tall = ("greatest(0D, least(greatest(ya, yb), y0 + (cy + 1) * depth / sy) - greatest(least(ya, yb), y0 + cy * depth / sy))")
+    wide = (f"CASE WHEN e.y1 = e.y2 THEN least(e.xh, x0 + (cx + 1) * width / sx) - greatest(e.xl, x0 + cx * width / sx) "
+            f"ELSE {tall} * abs((e.x2 - e.x1) / (e.y2 - e.y1)) END")
     for division in range(MAX_DIVISIONS):
         cells = save(cells, f"validity-cells-{division}")
-        crowded = cells.groupBy(*_CELL).count().filter(F.col("count") > MAX_EDGES_IN_CELL).select(*_CELL)
+        crowded = cells.groupBy(*_CELL).agg(
+            F.count_if(F.col("hub").isNull()).alias("free"), F.count(F.lit(1)).alias("all"), F.min("hub").alias("a"), F.max("hub").alias("b"),
+            (F.sum(F.expr(f"{wide} / (width / sx)")) <= F.sum(F.expr(f"{tall} / (depth / sy)"))).alias("across")).filter(
+            (F.col("free") > MAX_EDGES_IN_CELL) | ((F.col("a") != F.col("b")) & (F.col("all") > MAX_EDGES_IN_CELL))).select(*_CELL, "across")
         crowded = save(crowded, f"validity-crowded-{division}")
         if crowded.isEmpty() or division == MAX_DIVISIONS - 1:
             settled.append(cells)
             break
         settled.append(cells.join(crowded, _CELL, "left_anti"))
-        dense = cells.join(crowded, _CELL, "left_semi")
-        finer = dense.withColumnsRenamed({"cx": "ox", "cy": "oy"}).withColumn(
-            "side", F.col("side") * SUBDIVISION).withColumn("level", F.col("level") + 1)
-        cells = _over_grid(finer).filter(
-            f"floor(cx / {SUBDIVISION}) = ox AND floor(cy / {SUBDIVISION}) = oy").drop("ox", "oy")
+        finer = cells.drop("ya", "yb").join(crowded, _CELL).withColumnsRenamed({"cx": "ox", "cy": "oy"}).withColumn(
+            "fx", F.when(F.col("across"), SUBDIVISION).otherwise(1).cast("long")).withColumn(
+            "fy", F.when(F.col("across"), 1).otherwise(SUBDIVISION).cast("long")).withColumn(
+            "sx", F.col("sx") * F.col("fx")).withColumn("sy", F.col("sy") * F.col("fy"))
+        cells = _over_grid(finer, within=True).select(*cells.columns)
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
     return out
 
 
+def edge_pairs(cells: DataFrame) -> DataFrame:
+    """(area_id, pos, a, b) of the edges that share a cell and whose boxes meet, but for those at one hub."""
+    def side(name: str, which: str) -> DataFrame:
+        return cells.filter(which).select(*_CELL, F.col("e").alias(name), F.col("hub").alias(f"hub_{name}"))
+
+    free, bound, several = "hub IS NULL", "hub IS NOT NULL", "several"
+    loose = side("a", free).join(side("b", free), _CELL).filter("a.g < b.g OR (a.g = b.g AND a.i < b.i)")
+    mixed = side("a", free).join(side("b", bound), _CELL)
+    apart = cells.filter(bound).groupBy(*_CELL).agg((F.min("hub") != F.max("hub")).alias(several)).filter(several).drop(several)
+    two = side("a", bound).join(apart, _CELL).join(side("b", bound), _CELL).filter(
+        "hub_a <> hub_b AND (a.g < b.g OR (a.g = b.g AND a.i < b.i))")
+    pairs = loose.unionByName(mixed).unionByName(two).filter(BOXES_MEET)
+    first = "a.g < b.g OR (a.g = b.g AND a.i < b.i)"
+    return pairs.select("area_id", "pos", F.expr(f"CASE WHEN {first} THEN a ELSE b END").alias("a"),
+                        F.expr(f"CASE WHEN {first} THEN b ELSE a END").alias("b"))
+
+
+def _judge_hub(arms: pd.DataFrame) -> pd.DataFrame:
+    """What the edges at one hub do there: rings that pass it twice, edges along each other, rings that cross; else its rings."""
+    area_id, pos, x, y = arms.iloc[0][["area_id", "pos", "x", "y"]]
+    out = []
+    dx = np.where((arms.x1 == x) & (arms.y1 == y), arms.x2, arms.x1) - x
+    dy = np.where((arms.x1 == x) & (arms.y1 == y), arms.y2, arms.y1) - y
+    turn = np.lexsort((arms.g, np.arctan2(dy, dx)))
+    g, dx, dy = arms.g.to_numpy()[turn], dx[turn], dy[turn]
+    low, left = arms.yl.to_numpy()[turn], arms.xl.to_numpy()[turn]
+    along = np.flatnonzero((dx * np.roll(dy, -1) == dy * np.roll(dx, -1)) & (dx * np.roll(dx, -1) + dy * np.roll(dy, -1) > 0))
+    for k in along:
+        n = (k + 1) % len(g)
+        out.append((_CROSSING, max(left[k], left[n]), max(low[k], low[n])))
+    rings, times = np.unique(g, return_counts=True)
+    if (times > 2).any():
+        out.append((_RING_TOUCH, x, y))
+    waiting: list[int] = []
+    for ring in g:
+        if waiting and waiting[-1] == ring:
+            waiting.pop()
+        else:
+            waiting.append(ring)
+    if waiting and not out:
+        out.append((_CROSSING, x, y))
+    rows = [(code, px, py, -1) for code, px, py in out] or [(_RINGS_MEET, x, y, r) for r in rings]
+    return pd.DataFrame([(area_id, pos, *r) for r in rows], columns=["area_id", "pos", "code", "x", "y", "g"])
+
+
+def _nesting_faults(edges: pd.DataFrame, touches: pd.DataFrame) -> pd.DataFrame:
+    """Faults of one feature's rings; its edges fit in a task, as they come from one row."""
+    columns = ["area_id", "pos", "rank", "x", "y"]
+    if edges.empty:
+        return pd.DataFrame([], columns=columns)
+    found = ring_nesting.faults({c: edges[c].to_numpy() for c in ("g", "part", "ring", "x1", "y1", "x2", "y2")},
+                                list(zip(touches.g.tolist(), touches.x.tolist(), touches.y.tolist())))
+    return pd.DataFrame([(edges.area_id.iloc[0], edges.pos.iloc[0], _FAULTS[kind], x, y) for kind, x, y in found], columns=columns)
+
+
+for _module in (sys.modules[__name__], ring_nesting):  # they travel inside the closures: executors need no copy
+    cloudpickle.register_pickle_by_value(_module)
+
+
 def check_large(features: DataFrame, save) -> DataFrame:
     """(area_id, pos, error) of the invalid ones among large polygons.
 
-    Edges meet only in grid cells, and cells with many edges are divided again,
-    so no group is compared all against all. ``save(df, name)`` stores an
-    intermediate result and returns it.
+    Edges meet only in grid cells, and cells with many edges are divided again;
+    edges that end at one vertex are ordered by their bearings, so no group is
+    compared all against all. Rings of features without a crossing are nested by
+    a sweep. ``save(df, name)`` stores an intermediate result and returns it.
     """
     edges = save(large_ring_edges(features), "validity-edges")
-    cells = _divide(_over_grid(edges.withColumn("level", F.lit(0))), save)
-
-    def as_side(name: str) -> DataFrame:
-        return cells.select(*_CELL, F.col("e").alias(name))
-
-    pairs = as_side("a").join(as_side("b"), _CELL).filter(
-        f"(a.g < b.g OR (a.g = b.g AND a.i < b.i)) AND {BOXES_MEET}")
-    hits = pairs.withColumn("o", F.expr(SIDES)).select("area_id", "pos", F.expr(HIT).alias("h")).filter(
+    arms = save(hub_arms(edges), "validity-hubs")
+    cells = _divide(_over_grid(_with_hubs(edges, arms)), save)
+    hits = edge_pairs(cells).withColumn("o", F.expr(SIDES)).select("area_id", "pos", F.expr(HIT).alias("h")).filter(
         "h IS NOT NULL")
     hits = save(hits, "validity-hits")
-    crossing = hits.filter(f"h.code < {_RINGS_MEET}").groupBy("area_id", "pos").agg(
-        F.min("h").alias("h")).select(
+    hubs = save(arms.select("area_id", "pos", "x", "y", "e.g", "e.x1", "e.y1", "e.x2", "e.y2", "e.xl", "e.yl").groupBy(
+        "area_id", "pos", "x", "y").applyInPandas(
+        _judge_hub, features.select("area_id", "pos").schema.add("code", "integer").add("x", "double").add("y", "double").add("g", "integer")), "validity-hub-hits")
+    coded = hits.select("area_id", "pos", "h.code", "h.x", "h.y").unionByName(hubs.select("area_id", "pos", "code", "x", "y"))
+    crossing = coded.filter(f"code < {_RINGS_MEET}").groupBy("area_id", "pos").agg(F.min(F.struct("code", "x", "y")).alias("h")).select(
         "area_id", "pos", F.col("h.code").alias("rank"), F.col("h.x").alias("x"), F.col("h.y").alias("y"))
-    meetings = hits.filter(f"h.code = {_RINGS_MEET} AND h.pa = h.pb").select("area_id", "pos", "h.*").distinct()
-    apart = meetings.groupBy("area_id", "pos", "ga", "gb").agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.struct("x", "y")).alias("w")).filter("times > 1").select(
-        "area_id", "pos", F.lit(_APART).alias("rank"), "w.x", "w.y")
-    found = crossing.unionByName(apart).unionByName(_misplaced_rings(edges))
+    crossing = save(crossing, "validity-crossing")
+    touches = hits.filter(f"h.code = {_RINGS_MEET}").select("area_id", "pos", "h.x", "h.y", F.explode(F.array("h.ga", "h.gb")).alias("g"))
+    touches = touches.unionByName(hubs.filter(f"code = {_RINGS_MEET}").select("area_id", "pos", "x", "y", "g")).distinct()
+    several = edges.filter("e.g > 0").select("area_id", "pos").distinct().join(crossing, ["area_id", "pos"], "left_anti")
+    flat = edges.join(several, ["area_id", "pos"], "left_semi").select(
+        "area_id", "pos", *[f"e.{c}" for c in ("g", "part", "ring", "x1", "y1", "x2", "y2")])
+    misplaced = flat.groupBy("area_id", "pos").cogroup(touches.groupBy("area_id", "pos")).applyInPandas(
+        _nesting_faults, crossing.schema)
+    found = crossing.unionByName(misplaced)
     texts = " ".join(f"WHEN {rank} THEN {_at(text, 'w.x', 'w.y')}" for rank, text in _RANKED.items())
     return found.groupBy("area_id", "pos").agg(F.min(F.struct("rank", "x", "y")).alias("w")).select(
         "area_id", "pos", F.expr(f"CASE w.rank {texts} END").alias("error"))
-
-
-def _misplaced_rings(edges: DataFrame) -> DataFrame:
-    """Holes outside their shell, holes in holes and shells in shells.
-
-    Any number of a ring's vertices may lie on another outline, so each is tested.
-    Vertices and edges meet in rows of the feature's grid.
-    """
-    several = edges.filter("e.g > 0").select("area_id", "pos").distinct()
-    edges = edges.join(several, ["area_id", "pos"], "left_semi")
-    row = "cast(floor(({v} - y0) / depth * side {w}) AS BIGINT)"
-    probes = edges.select(
-        "area_id", "pos", F.col("e").alias("v"), F.expr(row.format(v="e.y1", w="")).alias("cy"))
-    rows = edges.withColumn("cy", F.explode_outer(F.expr(
-        f"sequence({row.format(v='e.yl', w='- 1e-6D')}, {row.format(v='e.yh', w='+ 1e-6D')})"))).select(
-        "area_id", "pos", "cy", "e")
-    met = probes.join(rows, ["area_id", "pos", "cy"]).filter("v.g <> e.g").select(
-        "area_id", "pos", "v", F.struct("e.part", "e.ring", "e.g").alias("of"),
-        F.expr(f"CASE WHEN {ray_hits('v')} THEN 1 ELSE 0 END").alias("hit"),
-        F.expr(f"{_side('e', 'v.x1', 'v.y1')} = 0 AND {_within('e', 'v.x1', 'v.y1')}").alias("on"))
-    placed = met.groupBy("area_id", "pos", "v", "of").agg(
-        (F.sum("hit") % 2).alias("odd"), F.bool_or("on").alias("on"))
-
-    def reason(df: DataFrame, rank: int) -> DataFrame:
-        return df.select("area_id", "pos", F.lit(rank).alias("rank"), F.col("v.x1").alias("x"), F.col("v.y1").alias("y"))
-
-    at_home = placed.filter("v.ring > 0 AND of.ring = 0 AND of.part = v.part AND (odd = 1 OR on)").select(
-        "area_id", "pos", "v")
-    outside = probes.filter("v.ring > 0").join(at_home, ["area_id", "pos", "v"], "left_anti")
-    in_hole = placed.filter("v.ring > 0 AND of.ring > 0 AND of.part = v.part AND odd = 1 AND NOT on")
-    in_shell = placed.filter("v.ring = 0 AND of.part <> v.part").groupBy(
-        "area_id", "pos", "v", "of.part").agg(
-        (F.sum("odd") % 2).alias("odd"), F.bool_or("on").alias("on")).filter("odd = 1 AND NOT on")
-    return reason(outside, _OUT).unionByName(reason(in_hole, _IN_OTHER_HOLE)).unionByName(reason(in_shell, _IN_OTHER_SHELL))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lithogrid.functions.geodesy import azimuthal_equidistant
 from lithogrid.operators import areas as area_ops
-from lithogrid.operators import evidence, local_geometry, numbering, raster, report, validity
+from lithogrid.operators import evidence, local_geometry, numbering, raster, report, ring_nesting, validity
 from lithogrid.operators.lookup import lookup
 from lithogrid.plans import derived
 from lithogrid.plans.build import large_spans, small_spans
@@ -210,6 +210,98 @@ def test_nested_shells_that_touch_at_their_first_vertices(spark):
     assert small == large == ["Nested shells[2 5]"]
 
 
+def polygons(spark, shapes):
+    """Features of (pos, rings of one part)."""
+    rows = [(pos, "Polygon", 0.0, [(0, k, [float(u) for u, _ in r], [float(v) for _, v in r]) for k, r in enumerate(rings)])
+            for pos, rings in shapes]
+    return local_geometry.with_outline(spark.createDataFrame(
+        rows, f"pos BIGINT, geom_type STRING, width DOUBLE, rings ARRAY<STRUCT<{RING}>>").withColumn(
+        "area_id", F.lit("a")).withColumn("malformed", F.lit(False)))
+
+
+def closed(*points):
+    return [*points, points[0]]
+
+
+def test_interiors_cut_off_by_a_cycle_of_rings(spark):
+    """Holes that touch one after the other: a chain is sound, a ring of them cuts the interior."""
+    shell = closed((0, 0), (20, 0), (20, 20), (0, 20))
+    three = [closed((6, 6), (10, 5), (14, 6), (10, 7)), closed((14, 6), (15, 10), (10, 14), (13, 10)), closed((10, 14), (6, 10), (6, 6), (7, 10))]
+    four = [closed((5, 5), (10, 4), (15, 5), (10, 6)), closed((15, 5), (16, 10), (15, 15), (14, 10)),
+            closed((15, 15), (10, 16), (5, 15), (10, 14)), closed((5, 15), (4, 10), (5, 5), (6, 10))]
+    through_shell = [closed((0, 8), (5, 6), (5, 10)), closed((5, 8), (10, 6), (10, 10)), closed((10, 8), (15, 0), (14, 9))]
+    tail = closed((2, 2), (5, 5), (3, 4))  # hangs on the cycle at its smallest point
+    star = [closed((10, 10), (12, 16), (10, 17), (9, 16)), closed((10, 10), (16, 11), (17, 10), (16, 9)), closed((10, 10), (4, 9), (3, 10), (4, 11))]
+    shapes = [(0, [shell, *three]), (1, [shell, *three[:2]]), (2, [shell, *four]), (3, [shell, *four[:3]]), (4, [shell, *through_shell]),
+              (5, [shell, *through_shell[:2]]), (6, [shell, *four, tail]), (7, [shell, *star])]
+    ready = polygons(spark, shapes)
+    small = {r.pos: r.error for r in validity.check_in_row(ready, 64).collect() if r.error}
+    large = {r.pos: r.error for r in validity.check_large(ready, Workspace(spark).save).collect()}
+    assert small == large == {0: "Interior is disconnected[6 6]", 2: "Interior is disconnected[5 5]",
+                              4: "Interior is disconnected[0 8]", 6: "Interior is disconnected[5 5]"}
+
+
+def fan(count, far=0.0):
+    """A shell with thin holes that all end at one vertex, a little apart from each other."""
+    shell = closed((-50, -50), (50 + far, -50), (50, 50), (-50, 50))
+    holes = []
+    for k in range(count):
+        a, b = 2 * math.pi * k / count, 2 * math.pi * (k + 0.4) / count
+        holes.append(closed((0, 0), (40 * math.cos(a), 40 * math.sin(a)), (40 * math.cos(b), 40 * math.sin(b))))
+    return [shell, *holes]
+
+
+def squares(count, far):
+    """Small holes in a row, and a vertex of the shell far away."""
+    shell = closed((-1, -1), (far, -1), (count + 1, 2), (-1, 2))
+    return [shell, *(closed((k, 0), (k + 0.5, 0), (k + 0.5, 0.5), (k, 0.5)) for k in range(count))]
+
+
+def pairs_of(spark, shape):
+    edges = validity.large_ring_edges(polygons(spark, [(0, shape)]))
+    save = Workspace(spark).save
+    arms = save(validity.hub_arms(edges), "arms")
+    cells = validity._divide(validity._over_grid(validity._with_hubs(edges, arms)), save)
+    return validity.edge_pairs(cells).count()
+
+
+def test_crowded_places_make_few_pairs(spark):
+    """Edges at one vertex and holes under one far vertex: pairs grow about as the edges do."""
+    for shape in (fan, lambda n: squares(n, 1e6)):
+        few, many = pairs_of(spark, shape(100)), pairs_of(spark, shape(400))
+        assert many <= 8 * max(few, 400)
+    shapes = [(0, fan(400)), (1, squares(600, 1e6)), (2, fan(400) + [closed((60, 0), (61, 0), (61, 1))]),
+              (3, squares(600, 1e6) + [closed((5.1, 0.1), (5.2, 0.1), (5.2, 0.2))]),
+              (4, fan(40) + [closed((0, 0), (30, 1), (30, 9))]), (5, fan(40) + [closed((0, 0), (30, 0), (31, 0.5))]),
+              (6, fan(40)[:1] + [closed((0, 0), (9, 0), (9, 1), (0, 0), (-9, 0), (-9, 1))] + fan(40)[2:])]
+    found = {r.pos: r.error for r in validity.check_large(polygons(spark, shapes), Workspace(spark).save).collect()}
+    assert {p: e.split("[")[0] for p, e in found.items()} == {
+        2: "Hole lies outside shell", 3: "Holes are nested", 4: "Self-intersection", 5: "Self-intersection", 6: "Self-intersection"}
+    assert found[3] == "Holes are nested[5.1 0.1]"
+
+
+def test_sweep_nests_rings_as_brute_force_does():
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        # squares in squares, in any direction and order
+        boxes, waiting = [], [(0.0, 0.0, 100.0, None)]
+        while waiting and len(boxes) < 25:
+            x, y, side, up = waiting.pop(0)
+            n = len(boxes)
+            boxes.append((x, y, side, up))
+            for cx in range(2):
+                for cy in range(2):
+                    if rng.random() < 0.6:
+                        waiting.append((x + side * (0.1 + 0.45 * cx), y + side * (0.1 + 0.45 * cy), side * 0.3, n))
+        rows = []
+        for n, (x, y, side, _) in enumerate(boxes):
+            ring = [(x, y), (x + side, y + side / 9), (x + side, y + side), (x + side / 9, y + side)][:: rng.choice([-1, 1])]
+            rows += [(n, *a, *b) for a, b in zip(ring, ring[1:] + ring[:1])]
+        columns = [np.array(c, float) for c in zip(*rows)]
+        found = ring_nesting.parents(columns[0].astype(int), *columns[1:], set())
+        assert found == {n: up for n, (_, _, _, up) in enumerate(boxes)}
+
+
 def test_crowded_cells_are_divided(spark, monkeypatch):
     monkeypatch.setattr(validity, "MAX_EDGES_IN_CELL", 4)
     angles = [2 * math.pi * i / 200 for i in range(200)]
