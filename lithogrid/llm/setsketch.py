@@ -49,6 +49,8 @@ BASE, RATE = 1.2, 20.0
 ODDS = 1e9
 #: Classes at a key that are compared there.
 LIMIT = 512
+#: Classes of a run whose pairs are all judged at once.
+FEW_PAIRS = 48
 #: Classes and shingles that one verifying task holds at once.
 BLOCK, WEIGHT = 1024, 1 << 22
 #: Ids of clustered classes that are broadcast to fetch their texts (8 bytes each).
@@ -140,15 +142,16 @@ def possible(more: np.ndarray, less: np.ndarray, a: np.ndarray, b: np.ndarray) -
     """Whether sets of sizes a and b with these register counts may reach the threshold."""
     fits = 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
     at = np.flatnonzero(fits)
+    limit = np.minimum(a[at], b[at]) / np.maximum(a[at], b[at])
+    here = _fit(more[at], less[at], a[at], b[at], np.minimum(PERCENT / 100, limit))
+    above = _fit(more[at], less[at], a[at], b[at], np.minimum(PERCENT / 100 + 0.005, limit))
+    open_ = above < here  # the others are likelier above the threshold
+    at, here, limit = at[open_], here[open_], limit[open_]
     if len(at):
-        more, less, a, b = more[at], less[at], a[at], b[at]
-        limit = np.minimum(a, b) / np.maximum(a, b)
-        here = _fit(more, less, a, b, np.minimum(np.full(len(at), PERCENT / 100), limit))
-        best = here
-        for s in _GRID:
-            best = np.maximum(best, _fit(more, less, a, b, np.minimum(np.full(len(at), s), limit)))
-        above = _fit(more, less, a, b, np.minimum(PERCENT / 100 + 0.005, limit))
-        fits[at] = (best - here <= math.log(ODDS)) | (above >= here)  # likelier above the threshold, or not ruled out
+        more, less, a, b, best = more[at], less[at], a[at], b[at], here
+        for s in _GRID[_GRID < PERCENT / 100 + 0.03]:
+            best = np.maximum(best, _fit(more, less, a, b, np.minimum(s, limit)))
+        fits[at] = best - here <= math.log(ODDS)
     return fits
 
 
@@ -233,16 +236,56 @@ def _matched(rows: np.ndarray, at: int, others: np.ndarray, sizes: np.ndarray) -
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A forest of the possible pairs of every key's classes."""
-    for _, (digests, sizes, drawn) in _runs(batches, ["key"], ["digest", "n", "sketch"]):
-        rows, sizes = np.array([np.frombuffer(s, np.uint8) for s in drawn]), np.array(sizes)
-        forest = _Forest(len(digests))
-        for i in range(len(digests) - 1):
+    """A forest of the possible pairs of every key's classes; the pairs of small runs are judged many runs at a time."""
+    digests: list[list[bytes]] = []
+    rows: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+    held = first = 0
+
+    def judged() -> list[tuple[bytes, bytes]]:
+        drawn, n, a, b = np.concatenate(rows), np.concatenate(sizes), np.concatenate(left), np.concatenate(right)
+        names = [d for run in digests for d in run]
+        apart = drawn[b].astype(np.int16) - drawn[a]
+        kept = np.flatnonzero(possible((apart < 0).sum(1), (apart > 0).sum(1), n[a], n[b]))
+        root = list(range(len(names)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        links = []
+        for x, y in zip(a[kept].tolist(), b[kept].tolist()):
+            rx, ry = find(x), find(y)
+            if rx != ry:
+                root[max(rx, ry)] = min(rx, ry)
+                links.append((names[x], names[y]))
+        return links
+
+    for _, (own, n, drawn) in _runs(batches, ["key"], ["digest", "n", "sketch"]):
+        matrix, n = np.array([np.frombuffer(s, np.uint8) for s in drawn]), np.array(n)
+        if len(own) <= FEW_PAIRS:
+            x, y = np.triu_indices(len(own), 1)
+            for to, what in ((digests, own), (rows, matrix), (sizes, n), (left, x + first), (right, y + first)):
+                to.append(what)
+            held, first = held + len(x), first + len(own)
+            if held >= 1 << 14:
+                if links := judged():
+                    yield _linked(links)
+                digests, rows, sizes, left, right, held, first = [], [], [], [], [], 0, 0
+            continue
+        forest = _Forest(len(own))
+        for i in range(len(own) - 1):
             others = np.flatnonzero(forest.root[i + 1:] != forest.root[i]) + i + 1
-            for j in _matched(rows, i, others, sizes) if len(others) else ():
+            for j in _matched(matrix, i, others, n) if len(others) else ():
                 forest.join(i, int(j))
         if forest.links:
-            yield _linked([(digests[i], digests[j]) for i, j in forest.links])
+            yield _linked([(own[i], own[j]) for i, j in forest.links])
+    if held and (links := judged()):
+        yield _linked(links)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
