@@ -70,6 +70,17 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
     return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names}
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Plain rows of keys and numbers, dealt out before anything is made of them.
+
+    Each turns into many times its size in geometry and cells, so the splits of
+    a small file say little about the work in it.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, *keys)
+
+
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(AREAS_SQL, **tables(spark, sf_dir, "nation"))
 
@@ -92,7 +103,7 @@ def _rings(vertices: dict[int, list]) -> str:
 
 def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polygon features of the customers, in the form the readers deliver."""
-    rows = spark.sql(FOOTPRINTS_SQL, **tables(spark, sf_dir, "customer"))
+    rows = dealt(spark.sql(FOOTPRINTS_SQL, **tables(spark, sf_dir, "customer")), "pos")
     nations = tables(spark, sf_dir, "nation", "region")
     regions = spark.sql("select n_nationkey as nation, r_name from {nation} join {region} on n_regionkey = r_regionkey",
                         **nations)
@@ -107,7 +118,7 @@ def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line and point features of the orders."""
-    vertices = spark.sql(LINE_VERTICES_SQL, **tables(spark, sf_dir, "customer", "orders", "lineitem"))
+    vertices = dealt(spark.sql(LINE_VERTICES_SQL, **tables(spark, sf_dir, "customer", "orders", "lineitem")), "pos")
     # An order has at most seven items, so the group is bounded.
     lines = vertices.groupBy("area_id", "nation", "pos").agg(
         F.first("width").alias("width"), F.first("base").alias("base"), F.first("height").alias("height"),
@@ -227,17 +238,21 @@ SHAPES = {
     7: [[(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(2, 2), (2, 5), (3, 5), (3, 2), (2, 2)]],
     8: [[(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(0, 2), (2, 3), (2, 1), (0, 2)]],
     9: [[(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(0, 2), (2, 4), (2, 2), (0, 2)]],
+    10: [[(0, 0), (5, 0), (5, 5), (0, 5), (0, 0)], [(1.5, 1.5), (2.5, 1.25), (3.5, 1.5), (2.5, 1.75), (1.5, 1.5)],
+         [(3.5, 1.5), (3.75, 2.5), (2.5, 3.5), (3.25, 2.5), (3.5, 1.5)], [(2.5, 3.5), (1.5, 2.5), (1.5, 1.5), (1.75, 2.5), (2.5, 3.5)]],
+    11: [[(0, 0), (5, 0), (5, 5), (0, 5), (0, 0)], [(1.5, 1.5), (2.5, 1.25), (3.5, 1.5), (2.5, 1.75), (1.5, 1.5)],
+         [(3.5, 1.5), (3.75, 2.5), (2.5, 3.5), (3.25, 2.5), (3.5, 1.5)], [(2.5, 3.5), (1.5, 2.5), (1.25, 2.25), (1.75, 2.5), (2.5, 3.5)]],
 }
 
 SHAPES_SQL = """
-select p_partkey as pos, p_partkey % 10 as shape, cast(p_size as double) / cast(4 as double) as dx,
+select p_partkey as pos, p_partkey % 12 as shape, cast(p_size as double) / cast(4 as double) as dx,
   cast(p_size as double) / cast(4 as double) as dy, cast(p_partkey % 100 as double) as w,
   cast(p_partkey % 50 as double) as s
 from {part}"""
 
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(SHAPES_SQL, **tables(spark, sf_dir, "part"))
+    rows = dealt(spark.sql(SHAPES_SQL, **tables(spark, sf_dir, "part")), "pos")
     return rows.select(
         F.lit("shapes").alias("area_id"), "pos", F.lit("Polygon").alias("geom_type"),
         F.expr(_rings(SHAPES)).alias("rings"), F.lit(False).alias("malformed"))
@@ -345,7 +360,7 @@ KINDS = [None, '"path"', '"bridge"']
 
 def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of the orders, their properties picked from the spellings by key."""
-    orders = tables(spark, sf_dir, "orders")["orders"].select(F.col("o_orderkey").cast("bigint").alias("pos"))
+    orders = dealt(tables(spark, sf_dir, "orders")["orders"].select(F.col("o_orderkey").cast("bigint").alias("pos")), "pos")
 
     def pick(name: str, values: list, divisor: int):
         options = F.array(*[F.lit(None if v is None else f'"{name}": {v}') for v in values])

@@ -16,19 +16,6 @@ from lithogrid.sources import config, geojson, osm
 from lithogrid.sources.split_json import read_array
 
 
-def spread(features: DataFrame) -> DataFrame:
-    """Give an input of fewer splits than cores enough tasks; others keep their splits.
-
-    Features turn into many times their size in voxels, so the size of a file
-    says little about the work in it.
-    """
-    wanted = features.sparkSession.sparkContext.defaultParallelism
-    if features.rdd.getNumPartitions() >= wanted:
-        return features
-    keys = [c for c in ("area_id", "pos") if c in features.columns]
-    return features.repartition(wanted, *keys)
-
-
 def _tidy(metres: Column) -> Column:
     """Four decimals without a negative zero."""
     short = F.round(metres, 4)
@@ -38,7 +25,7 @@ def _tidy(metres: Column) -> Column:
 def _prepared(spark: SparkSession, sf_dir: str, features: DataFrame) -> DataFrame:
     framed = area_ops.frame_areas(derived.areas(spark, sf_dir))
     registry = config.registry(derived.sources(spark, sf_dir))
-    return prepare(spread(features), framed, registry).withColumn("feature", F.col("id"))
+    return prepare(features, framed, registry).withColumn("feature", F.col("id"))
 
 
 def _stored(spark: SparkSession, sf_dir: str, features: DataFrame) -> DataFrame:
@@ -110,7 +97,7 @@ def large_polygon_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def project_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     framed = area_ops.frame_areas(derived.areas(spark, sf_dir))
-    rows = area_ops.attach_frame(spread(derived.footprints(spark, sf_dir)), framed)
+    rows = area_ops.attach_frame(derived.footprints(spark, sf_dir), framed)
     outlined = local_geometry.with_outline(rows).withColumn("usable", F.lit(True))
     local = local_geometry.project_in_row(outlined)
     return local.select(
@@ -159,7 +146,7 @@ def in_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validity_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shapes = spread(derived.shapes(spark, sf_dir))
+    shapes = derived.shapes(spark, sf_dir)
     judged = validity.check_in_row(local_geometry.with_outline(shapes), local_geometry.MAX_EDGES_IN_ROW)
     return judged.select("pos", F.regexp_extract(F.coalesce("error", F.lit("")), r"^[^\[]*", 0).alias("reason"))
 
@@ -174,7 +161,7 @@ def validity_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- evidence -----------------------------------------------------------------------------------
 
 def resolve_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = evidence.resolve_evidence(spread(derived.evidence_rows(spark, sf_dir)))
+    read = evidence.resolve_evidence(derived.evidence_rows(spark, sf_dir))
     return read.select(
         "pos", "kind",
         F.coalesce("width", F.lit(-1.0)).alias("width"), F.coalesce("base", F.lit(-999.0)).alias("base"),
@@ -279,12 +266,15 @@ def report_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def export_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vertices of the exported GeoJSON text."""
     rows = _prepared(spark, sf_dir, derived.footprints(spark, sf_dir)).filter("accepted")
-    written = export.local_features(local_geometry.edges_in_row(rows))
+    # the text is stored first: generators over a computed text would clip once for each use of it
+    written = Workspace(spark).save(export.local_features(local_geometry.edges_in_row(rows)), "exported")
     shape = "id STRING, geometry STRUCT<type: STRING, coordinates: ARRAY<ARRAY<ARRAY<DOUBLE>>>>"
     read = written.select("area_id", "pos", F.from_json("feature_json", shape).alias("f"))
-    rings = read.select("area_id", "pos", F.col("f.id").alias("feature"), F.posexplode("f.geometry.coordinates").alias("ring", "vs"))
-    return rings.select("area_id", "pos", "feature", "ring", F.posexplode("vs").alias("i", "v")).select(
-        "area_id", "pos", "feature", "ring", "i", _tidy(F.col("v")[0]).alias("x"), _tidy(F.col("v")[1]).alias("z"))
+    vertices = read.select("area_id", "pos", F.col("f.id").alias("feature"), F.inline_outer(F.flatten(F.transform(
+        "f.geometry.coordinates", lambda ring, k: F.transform(ring, lambda v, i: F.struct(
+            k.alias("ring"), i.alias("i"), v[0].alias("vx"), v[1].alias("vz")))))))
+    return vertices.filter("ring IS NOT NULL").select(
+        "area_id", "pos", "feature", "ring", "i", _tidy(F.col("vx")).alias("x"), _tidy(F.col("vz")).alias("z"))
 
 
 QUERIES = {

@@ -229,7 +229,7 @@ crossed as (select distinct pos from pair where (sign(b1) * sign(b2) < 0 and sig
     or least(greatest(ay1, ay2), greatest(by1, by2)) > greatest(least(ay1, ay2), least(by1, by2))))),
 touched as (select distinct pos from pair where touch and ra = rb and nb - na <> 1 and nb - na <> m - 1)"""
 
-VALIDITY = f"""with foot as ({named(derived.SHAPES_SQL)}),
+VALIDITY = f"""with recursive foot as ({named(derived.SHAPES_SQL)}),
 corner0 as (select f.pos, offs.ring, offs.i, f.w + f.dx * offs.u as x, f.s + f.dy * offs.v as y
   from foot f join {_offsets(derived.SHAPES)} on f.shape = offs.shape),
 kept as (select * from (select *, lag(x) over (partition by pos, ring order by i) as lx,
@@ -246,10 +246,17 @@ placed as (select v.pos, v.ring, v.n, e.ring as other,
   from ring_edge v join ring_edge e on e.pos = v.pos and e.ring <> v.ring where v.ring > 0 group by v.pos, v.ring, v.n, e.ring),
 outside as (select distinct pos from placed where other = 0 and odd = 0 and not edge_on),
 nested as (select distinct pos from placed where other > 0 and odd = 1 and not edge_on),
-apart as (select pos from (select distinct pos, ra, rb, case when {_on('a', 'bx1', 'by1')} then bx1 else ax1 end as tx,
+meet as (select distinct pos, ra, rb, case when {_on('a', 'bx1', 'by1')} then bx1 else ax1 end as tx,
       case when {_on('a', 'bx1', 'by1')} then by1 else ay1 end as ty
     from (select *, ax1 as x1, ay1 as y1, ax2 as x2, ay2 as y2 from pair) as a where ra <> rb
-      and ({_on('a', 'bx1', 'by1')} or (ax1 = bx1 and ay1 = by1))) as t group by pos, ra, rb having count(*) > 1)
+      and ({_on('a', 'bx1', 'by1')} or (ax1 = bx1 and ay1 = by1))),
+link as (select pos, ra as ring, tx, ty from meet union select pos, rb, tx, ty from meet),
+reach as (select pos, ring, ring as other from link union
+  select r.pos, r.ring, b.ring from reach r join link a on a.pos = r.pos and a.ring = r.other
+    join link b on b.pos = a.pos and b.tx = a.tx and b.ty = a.ty),
+tree as (select pos, count(distinct least) as trees from (select pos, ring, min(other) as least from reach group by pos, ring) as t group by pos),
+apart as (select l.pos from (select pos, count(*) as links, count(distinct ring) + count(distinct (tx, ty)) as nodes
+    from link group by pos) as l join tree on tree.pos = l.pos where links > nodes - trees)
 select f.pos, case when few.pos is not null then '{validity.TOO_FEW_POINTS}'
     when crossed.pos is not null then '{validity.SELF_INTERSECTION}'
     when touched.pos is not null then '{validity.RING_SELF_INTERSECTION}'
