@@ -191,23 +191,19 @@ class Index:
         best: dict[int, tuple[float, int, float, float]] = {}
         for k, query, blocks in self.live_blocks(terms, -(-len(words) // UNIT)):
             query = query.tolist()
-            around = None
+            seen: dict[tuple[int, int], set] = {}  # n-grams around the passage, by the item's length
             for unit, score in chain.from_iterable(self.retrieve(query, b) for b in blocks):
                 number = self.units[unit]
                 item, length, question, answer, alone = self.parts[number]
                 if number in best and best[number][0] >= score:
                     continue
-                if around is None or around[0] < length:
-                    start = max(0, k * UNIT - length)
-                    around = (length, words[start:(k + 2) * UNIT + length], {})
-                seen = around[2]
                 shares = []
                 for part in (question, answer):
                     n = len(next(iter(part), ()))
-                    if n and n not in seen:
-                        near = around[1]
-                        seen[n] = set(zip(*(near[i:] for i in range(n))))
-                    shares.append(len(part & seen[n]) / len(part) if n else 0.0)
+                    if n and (length, n) not in seen:
+                        near = words[max(0, k * UNIT - length):(k + 2) * UNIT + length]
+                        seen[length, n] = set(zip(*(near[i:] for i in range(n))))
+                    shares.append(len(part & seen[length, n]) / len(part) if n else 0.0)
                 if min(shares) >= OVERLAP or alone and shares[0] >= HIGH and shares[1] > 0:
                     best[number] = (score, k * UNIT, *shares)
         return [(self.parts[n][0], at, score, q, a) for n, (score, at, q, a) in sorted(best.items())]

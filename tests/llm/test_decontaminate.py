@@ -103,3 +103,18 @@ def test_short_answers_that_differ():
         assert [m[0] for m in index.search(f"{before} {question}. {tail}. {after}")] == [1], tail
     assert index.search(f"{before} {question}. {after}") == []
     assert index.search(f"{before} {' '.join(question.split()[:12])}. {after}") == []
+
+
+def test_a_match_does_not_depend_on_other_items():
+    """A window is as wide as its own item: a long item that is looked at before does not widen it."""
+    rng = random.Random(11)
+    question, answer = made_up(rng, 40)[:-1], made_up(rng, 20)[:-1]
+    long_item = made_up(rng, 600)
+    short = (2, f"{question}. {answer}.")
+    text = f"{long_item[:200]} {question}. {made_up(rng, 350)} {answer}. {long_item[200:400]}"
+    near = f"{question}. {answer}."
+    others = [(i, made_up(rng, 30)) for i in range(10, 30)]
+    for items in ([short, *others], [(1, long_item), short, *others], [short, *others, (99, long_item)]):
+        index = index_of(items)
+        assert 2 not in [m[0] for m in index.search(text)]
+        assert 2 in [m[0] for m in index.search(near)]
