@@ -288,16 +288,22 @@ def held_out() -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The bounded sample: labelled rows outside the held-out fifth, with the smallest hashes of their ids."""
+    """The bounded sample: labelled rows outside the held-out fifth, with the smallest hashes of their ids.
+
+    Rows are chosen by their ids and sizes before any text moves: texts over a
+    hundredth of MAX_BYTES are left out, the others are taken until MAX_ROWS or
+    MAX_BYTES are reached. Rows with the same id and text count once.
+    """
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "toxic").filter(~held_out())
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "toxic").limit(MAX_ROWS).dropDuplicates(["doc_id"])
-    sizes = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
     order = F.xxhash64("doc_id", F.lit(11))
-    rows = sizes.select("doc_id", "lang", "text", "toxic", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
-    # at most MAX_ROWS ids; an id on many rows counts with its first MAX_ROWS
-    found = rows.orderBy(order, "size", "text").limit(MAX_ROWS)
-    total = F.sum("size").over(Window.orderBy(order, "size", "text"))
-    return found.withColumn("total", total).filter(F.col("total") <= MAX_BYTES).drop("total", "size")
+    chosen = known.orderBy(order, "toxic").limit(MAX_ROWS).dropDuplicates(["doc_id"])
+    keyed = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("digest"))
+    sizes = keyed.select("doc_id", "digest", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(
+        F.broadcast(chosen), "doc_id").filter(F.col("size") <= MAX_BYTES // 100).dropDuplicates(["doc_id", "digest"])
+    first = sizes.orderBy(order, "size", "digest").limit(MAX_ROWS)
+    total = F.sum("size").over(Window.orderBy(order, "size", "digest"))  # at most MAX_ROWS rows without their texts
+    picked = first.withColumn("total", total).filter(F.col("total") <= MAX_BYTES).select("doc_id", "digest", "toxic")
+    return keyed.join(F.broadcast(picked), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).drop("digest")
 
 
 def _fit_in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -316,21 +322,26 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def scorer(spark: SparkSession, model: Model):
     """A UDF from text to score."""
-    sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    # plain values, not the class: executors need no copy of this package
+    sent, key = spark.sparkContext.broadcast(model.state()), uuid.uuid4().hex
+
+    def made() -> tuple:
+        own = Model.of(sent.value)
+        return own, own.words()
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = per_worker("toxicity-words", key, sent.value.words)
+        own, words = per_worker("toxicity", key, made)
         for some in texts:
             rows, held, size, found = some.tolist(), [], 0, []
             for text in rows:
                 held.append(text)
                 size += len(text or "")
                 if size > 1 << 20:
-                    found.append(sent.value.scores(held, words))
+                    found.append(own.scores(held, words))
                     held, size = [], 0
             if held:
-                found.append(sent.value.scores(held, words))
+                found.append(own.scores(held, words))
             yield pd.Series(np.concatenate(found) if found else np.empty(0))
 
     return score

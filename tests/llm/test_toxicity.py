@@ -66,3 +66,26 @@ def test_query_rows(spark, docs_of):
     assert kept.columns[-1] == "score" and kept.count() == sum(r.predicted == 0 for r in got)
     none = X.toxicity(docs_of([]), labels.limit(0))
     assert none.count() == 0
+
+
+def test_a_huge_text_does_not_empty_the_sample(spark, docs_of, monkeypatch):
+    """The bound counts what is taken; a text over a hundredth of it is left out, and repeated rows count once."""
+    monkeypatch.setattr(X, "MAX_BYTES", 100_000)
+    rows = [(i, f"text {i}") for i in range(60)]
+    first = min((i for i, _ in rows if zlib.crc32(str(i).encode()) % 5), key=lambda i: i)
+    docs = docs_of([(i, "x" * 200_000 if i == first else t) for i, t in rows] + [(7, "text 7")] * 5 + [(9, None), (9, None)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = sorted(map(repr, ((r.doc_id, r.text) for r in X.training_rows(docs, labels).collect())))
+    want = {(i, t) for i, t in rows if i != first} | {(9, None)}
+    assert got == sorted(map(repr, (w for w in want if zlib.crc32(str(w[0]).encode()) % 5)))
+    monkeypatch.setattr(X, "MAX_BYTES", 40 * 100)
+    assert X.training_rows(docs_of([(i, "y" * 40) for i in range(300)]), spark.createDataFrame(
+        [(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")).count() == 100
+
+
+def test_workers_need_no_copy_of_the_package(spark, docs_of):
+    model = X.fit(["a b", "c"], ["en", None], np.array([True, False]))
+    from pyspark import cloudpickle
+
+    assert b"lithogrid" not in cloudpickle.dumps(model.state())
+    assert docs_of([(1, "a b")]).select(X.scorer(spark, model)("text")).first()[0] == pytest.approx(float(model.scores(["a b"], model.words())[0]))
