@@ -271,16 +271,25 @@ def budget_violations(framed: DataFrame, counts: DataFrame) -> DataFrame:
         F.when(F.col("max_voxels").isNull(), NO_BUDGET).otherwise(VOXELS_OVER_BUDGET).alias("message"))
 
 
-def build_from_osm(areas: DataFrame, sources: DataFrame, extracts: DataFrame, **options) -> BuildResult:
-    """Like :func:`build`, with features classified from OpenStreetMap extracts."""
+def build_from_osm(areas: DataFrame, sources: DataFrame, extracts: DataFrame, elements: DataFrame | None = None,
+                   evidence_path: str | None = None, **options) -> BuildResult:
+    """Like :func:`build`, with features classified from OpenStreetMap extracts.
+
+    ``elements`` are given apart where many tasks read each extract; ``extracts``
+    then has the remarks. Both are kept under ``evidence_path`` as they were
+    read, before any gate, beside the features derived from them.
+    """
+    if evidence_path:
+        retain_evidence({"extracts": extracts, **({} if elements is None else {"elements": elements})}, evidence_path)
     boxes = areas.select("area_id", "west", "south", "east", "north")
-    elements = lookup(osm.elements_of(extracts), boxes, ["area_id"], "inner")
-    classified = osm.classify(osm.select_elements(elements))
+    placed = lookup(osm.elements_of(extracts) if elements is None else elements, boxes, ["area_id"], "inner")
+    classified = osm.classify(osm.select_elements(placed))
     return build(
         areas,
         config_source.with_osm_source(sources, areas),
         osm.osm_features(classified),
         skipped=osm.skipped_elements(classified),
         violations=osm.incomplete_extracts(extracts).unionByName(area_ops.input_violations(areas, extracts)),
+        evidence_path=evidence_path,
         **options,
     )

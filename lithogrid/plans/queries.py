@@ -255,6 +255,21 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         "strict_failed")
 
 
+def report_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The constants of each area's report: version, local system, axes and limitations."""
+    framed = area_ops.frame_areas(derived.areas(spark, sf_dir))
+    rows = derived.footprints(spark, sf_dir)
+    skipped = osm.skipped_elements(_classified(spark, sf_dir))
+    counts = rows.groupBy("area_id").agg(F.sum("pos").alias("voxel_records"))
+    errors = rows.filter("pos % 7 = 0").select("area_id", F.lit("error").alias("severity"))
+    found = report.headers(framed, counts, rows, errors, skipped)
+    number = lambda key: F.round(F.regexp_extract("crs", rf"\+{key}=([-+.0-9Ee]+)", 1).cast("double"), 9)
+    return found.select(
+        "area_id", "version", number("lat_0").alias("lat_0"), number("lon_0").alias("lon_0"),
+        F.regexp_replace("crs", r"=[-+.0-9][-+.0-9Ee]*", "=").alias("crs"), F.concat_ws(",", "axis.x", "axis.y", "axis.z").alias("axis"),
+        F.array_join("limitations", "|").alias("limitations"), "voxel_records", "features", "errors", "skipped_osm", "strict_failed")
+
+
 def report_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stored(spark, sf_dir, derived.patchy_footprints(spark, sf_dir))
     skipped = osm.skipped_elements(_classified(spark, sf_dir))
@@ -305,6 +320,7 @@ QUERIES = {
     "select_elements": select_elements,
     "split_collections": split_collections,
     "quality_report": quality_report,
+    "report_header": report_header,
     "report_lists": report_lists,
     "export_features": export_features,
 }

@@ -289,8 +289,11 @@ def read_array(spark: SparkSession, path: str, member: str, save, also: tuple[st
     whole = pieces.filter("piece = 'whole'").select("file", "block", "kind", "section", "n", F.col("text").cast("string").alias("json"))
     items = whole.unionByName(joined).join(F.broadcast(starts), ["file", "block"])
     section = F.when(F.col("kind").isNull(), F.col("from")).otherwise(F.struct("block", "section"))
-    found = items.filter(F.col("kind").isNull() | (F.col("kind") == member)).filter(section == F.col("latest")).select(
-        "file", "name", F.when(F.col("kind").isNull(), F.col("carry") + F.col("n")).otherwise(F.col("n")).alias("pos"), F.trim("json").alias("json"))
+    # the condition stands in the value too: filters on a parsed member are moved below it and would parse other pieces
+    wanted = F.coalesce((F.col("kind").isNull() | (F.col("kind") == member)) & (section == F.col("latest")), F.lit(False))
+    found = items.filter(wanted).select(
+        "file", "name", F.when(F.col("kind").isNull(), F.col("carry") + F.col("n")).otherwise(F.col("n")).alias("pos"),
+        F.when(wanted, F.trim("json")).alias("json"))
     values = items.filter(F.col("kind").isin(*also)) if also else items.filter("false")
     last = Window.partitionBy("file", "kind").orderBy(F.col("block").desc(), F.col("at").desc())
     values = values.withColumn("at", F.monotonically_increasing_id()).withColumn("r", F.row_number().over(last)).filter("r = 1")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from lithogrid.operators import areas as area_ops
-from lithogrid.operators import evidence
+from lithogrid.operators import evidence, report
 from lithogrid.operators import validity
 from lithogrid.plans import build, derived
 from lithogrid.sources import config, osm
@@ -381,6 +381,19 @@ select a.area_id, a.voxel_size_m, coalesce(c.voxel_records, 0) as voxel_records,
 from area a left join counts c on c.area_id = a.area_id left join accepted n on n.area_id = a.area_id
   left join gaps g on g.area_id = a.area_id left join skips s on s.area_id = a.area_id"""
 
+_LIMITATIONS = "|".join(report.LIMITATIONS)
+HEADER = f"""with {CLASSIFIED}, area as ({named(derived.AREAS_SQL)}),
+foot as ({named(derived.FOOTPRINTS_SQL)}),
+tally as (select area_id, count(*) as features, cast(sum(pos) as bigint) as voxel_records, count(*) filter (pos % 7 = 0) as errors
+  from foot group by area_id),
+skips as (select area_id, count(*) as skipped_osm from kept where reason is not null group by area_id)
+select a.area_id, '{report.VERSION}' as version, round((south + north) / 2, 9) as lat_0, round((west + east) / 2, 9) as lon_0,
+  '+proj=aeqd +lat_0= +lon_0= +datum=WGS84 +units=m' as crs, 'east,up,north' as axis, '{_LIMITATIONS}' as limitations,
+  coalesce(voxel_records, 0) as voxel_records, coalesce(features, 0) as features, coalesce(errors, 0) as errors,
+  coalesce(skipped_osm, 0) as skipped_osm,
+  a.strict and (coalesce(errors, 0) + coalesce(skipped_osm, 0) > 0 or coalesce(features, 0) = 0) as strict_failed
+from area a left join tally t on t.area_id = a.area_id left join skips s on s.area_id = a.area_id"""
+
 LISTS = f"""with {CLASSIFIED}, listed as ({REGISTRY.replace('with listed as', 'with listed0 as').replace('from listed)', 'from listed0)')})
 select area_id, list, cast(floor(pos / 4096) as bigint) as piece, cast(count(*) as integer) as entries from (
   select area_id, 'sources' as list, pos from listed
@@ -429,6 +442,7 @@ ORACLES = {
       case when a.nation % 10 = 4 then '{build.NO_BUDGET}' else '{build.VOXELS_OVER_BUDGET}' end as message
     from area a left join (select area_id, sum(y1 - y0) as n from layered group by area_id) as c on c.area_id = a.area_id
     where coalesce(n, 0) > 500 * (a.nation % 10) or a.nation % 10 = 4""",
+    "report_header": HEADER,
     "split_collections": f"""select area_id, row_number() over (partition by area_id order by pos) - 1 as pos,
       concat('b', cast(pos as varchar)) as id, 'building' as kind, cast(case shape when 0 then 4 when 1 then 5 else 10 end as bigint) as vertices,
       round(w, 6) as west, round(s, 6) as south from ({named(derived.FOOTPRINTS_SQL)}) as f""",

@@ -376,3 +376,38 @@ def test_large_features_in_a_run(spark, tmp_path):
     publish(result, str(tmp_path / "out"))
     lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out" / "features-local")).collect()]
     assert {len(f["geometry"]["coordinates"]) for f in lines if f["geometry"]["type"] == "Polygon"} == {2}
+
+
+def test_files_in_order_over_several_tasks(spark, tmp_path):
+    """By name, the files of an area are in order of feature, x, z and y."""
+    features = [{**feature("Polygon", [square(0.0001 * k, 0.0001, 0.0001 * k + 0.0002, 0.0003)], height_m=3), "id": f"f{k}"} for k in range(5)]
+    result = run(spark, tmp_path, features)
+    place = {f"f{k}": k for k in range(5)}
+    publish(result, str(tmp_path / "out"), "json", rows_per_file=300, ordered=True)
+    files = sorted((tmp_path / "out" / "voxels").glob("area_id=*/part-*.json"))
+    assert len({f.name.split("-")[1] for f in files}) > 3
+    rows = [json.loads(line) for f in files for line in f.read_text().splitlines()]
+    keys = [(place[r["feature"]], r["x"], r["z"], r["y"]) for r in rows]
+    assert len(keys) > 1000 and keys == sorted(keys)
+
+
+def test_extracts_are_kept_as_read(spark, tmp_path):
+    """Also when a gate fails, and with the elements read by many tasks."""
+    extract = {"remark": "cut short", "elements": [
+        {"type": "way", "id": 1, "tags": {"building": "yes"}, "geometry": [{"lon": 0.0004, "lat": 0.0004}, {"lon": 0.0006, "lat": 0.0004}]},
+        {"type": "node", "id": 2}]}
+    (tmp_path / "osm").mkdir()
+    (tmp_path / "osm" / "area.json").write_text(json.dumps(extract))
+    (tmp_path / "area.json").write_text(json.dumps(CONFIG))
+    configs = config.read_configs(spark, str(tmp_path / "area.json"))
+    inputs = config.areas_of(configs), config.sources_of(configs)
+    whole = osm.read_extracts(spark, str(tmp_path / "osm"))
+    with pytest.raises(GateError, match="incomplete data"):
+        build_from_osm(*inputs, whole, evidence_path=str(tmp_path / "kept"))
+    kept = spark.read.parquet(str(tmp_path / "kept" / "extracts"))
+    assert kept.collect() == whole.collect()
+    remarks, elements = osm.read_large_extracts(spark, str(tmp_path / "osm"))
+    with pytest.raises(GateError, match="incomplete data"):
+        build_from_osm(*inputs, remarks, elements=elements, evidence_path=str(tmp_path / "parts"))
+    assert spark.read.parquet(str(tmp_path / "parts" / "elements")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "parts" / "extracts")).first().remark == "cut short"
