@@ -17,9 +17,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lithogrid.functions import planar
+from lithogrid.operators import columns
 
 _XC = planar.centre("c")
-_NO_RANGES = "cast(array() AS array<struct<z0: bigint, z1: bigint>>)"
 
 
 def _cells(low: str, high: str) -> str:
@@ -47,52 +47,20 @@ def _explode_columns(df: DataFrame, columns: str, keep: list[str]) -> DataFrame:
     return lined.select("*", F.expr(_BOTTOM_CELL).alias("bottom_cell"), F.expr(_TOP_CELL).alias("top_cell"))
 
 
-def _finish(df: DataFrame, ranges: str, keep: list[str]) -> DataFrame:
-    """Ranges of one column to disjoint spans."""
-    sorted_ranges = df.withColumn(
-        "ranges", F.expr(f"sort_array(filter({ranges}, v -> v.z0 <= v.z1))"))
-    return sorted_ranges.select(*keep, F.col("c").alias("x"), F.expr(
-        f"CASE WHEN size(ranges) < 2 THEN ranges ELSE {planar.disjoint('ranges')} END").alias("ranges")
-    ).select(*keep, "x", F.inline_outer("ranges")).filter("z0 IS NOT NULL")
-
-
 # --- small features: everything inside the row --------------------------------------------------
 
-_PAIRS = """CASE WHEN size(zs) < 2 THEN {none} ELSE transform(sequence(0, cast(size(zs) / 2 AS INT) - 1),
-    j -> {cells}) END""".format(none=_NO_RANGES, cells=_cells("zs[2 * j]", "zs[2 * j + 1]"))
-_RESTING = """CASE WHEN on_centre THEN transform(transform(filter(edges, e -> {rests}), e -> {span}),
-    w -> {cells}) ELSE {none} END""".format(
-    rests=planar.rests_on("xc"), span=planar.resting_range("xc"), cells=_cells("w.lo", "w.hi"),
-    none=_NO_RANGES)
-
-
 def polygon_spans(features: DataFrame, keep: list[str]) -> DataFrame:
     """Spans of polygons from ``edges`` (even-odd, so holes and parts come free).
 
-    Boundaries count as inside. Edges that rest on a centre line without
-    crossing it matter only where some vertex lies exactly on one.
+    Boundaries count as inside: edges that rest on a centre line without
+    crossing it add their own cells.
     """
-    sized = features.withColumnRenamed("voxel_size_m", "r").select(
-        *keep, "r", "quad", "first_column", "last_column", "x", "edges",
-        F.expr("exists(x, v -> v / r - 0.5D = floor(v / r - 0.5D))").alias("on_centre"))
-    lined = _explode_columns(sized, _columns("array_min(x)", "array_max(x)"),
-                             [*keep, "r", "quad", "edges", "on_centre"])
-    crossed = lined.withColumn("zs", F.expr(
-        f"sort_array(transform(filter(edges, e -> {planar.crosses('xc')}), e -> {planar.crossing_z('xc')}))"))
-    return _finish(crossed, f"concat({_PAIRS}, {_RESTING})", keep)
+    return columns.spans(features, keep, thick=False)
 
 
 def thick_spans(features: DataFrame, keep: list[str]) -> DataFrame:
     """Spans of lines and points: cells within half the width of the clipped geometry."""
-    clipped = features.withColumnRenamed("voxel_size_m", "r").select(
-        *keep, "r", "quad", "first_column", "last_column", (F.col("width") / 2).alias("radius"),
-        F.expr(f"filter(transform(edges, e -> {planar.CLIPPED_SEGMENT}), s -> s IS NOT NULL)").alias("segments"),
-    ).withColumn("capsules", F.expr(f"transform(segments, s -> {planar.CAPSULE})"))
-    columns = _columns("array_min(capsules.west)", "array_max(capsules.east)")
-    lined = _explode_columns(clipped, f"CASE WHEN size(capsules) > 0 THEN {columns} END",
-                             [*keep, "r", "quad", "capsules"])
-    near = "filter(capsules, s -> xc >= s.west AND xc <= s.east)"
-    return _finish(lined, f"transform({near}, s -> {_CAPSULE_CELLS})", keep)
+    return columns.spans(features, keep, thick=True)
 
 
 # --- large features: edges on the cluster -------------------------------------------------------

@@ -9,7 +9,7 @@ import __spark_entry__ as entry_module
 
 DATA = "/root/testdata/sf0.001"
 QUICK = ["area_gates", "input_gates", "voxel_budget", "classify_kinds", "default_ids", "osm_geometry", "pair_areas", "project_vertices",
-         "registry_last_wins", "resolve_evidence", "skipped_elements", "unregistered", "validity"]
+         "registry_last_wins", "resolve_evidence", "skipped_elements", "unregistered", "validity", "report_header", "split_collections"]
 
 
 def test_every_oracle_has_a_query():
