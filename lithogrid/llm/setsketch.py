@@ -224,6 +224,24 @@ class _Forest:
             self.links.append((a, b))
 
 
+def _stars(names: list[bytes], links: list[tuple[int, int]]) -> list[tuple[bytes, bytes]]:
+    """The trees of some links as stars: each end with the smallest name of its tree, so that few rounds join them up."""
+    root = {x: x for link in links for x in link}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        if names[a] < names[b]:
+            a, b = b, a
+        root[a] = b
+    return [(names[x], names[find(x)]) for x in root if find(x) != x]
+
+
 def _linked(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
 
@@ -249,21 +267,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [d for run in digests for d in run]
         apart = drawn[b].astype(np.int16) - drawn[a]
         kept = np.flatnonzero(possible((apart < 0).sum(1), (apart > 0).sum(1), n[a], n[b]))
-        root = list(range(len(names)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        links = []
-        for x, y in zip(a[kept].tolist(), b[kept].tolist()):
-            rx, ry = find(x), find(y)
-            if rx != ry:
-                root[max(rx, ry)] = min(rx, ry)
-                links.append((names[x], names[y]))
-        return links
+        return _stars(names, list(zip(a[kept].tolist(), b[kept].tolist())))
 
     for _, (own, n, drawn) in _runs(batches, ["key"], ["digest", "n", "sketch"]):
         matrix, n = np.array([np.frombuffer(s, np.uint8) for s in drawn]), np.array(n)
@@ -283,7 +287,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for j in _matched(matrix, i, others, n) if len(others) else ():
                 forest.join(i, int(j))
         if forest.links:
-            yield _linked([(own[i], own[j]) for i, j in forest.links])
+            yield _linked(_stars(own, forest.links))
     if held and (links := judged()):
         yield _linked(links)
 
@@ -331,7 +335,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if forest.root[i] != forest.root[j] and similar(sets[i], sets[j]):
                     forest.join(int(i), int(j))
         if forest.links:
-            yield _linked([(digests[i], digests[j]) for i, j in forest.links])
+            yield _linked(_stars(digests, forest.links))
 
 
 PAIRS = "a binary, b binary"
