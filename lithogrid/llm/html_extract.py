@@ -7,7 +7,8 @@ nodes with a Gaussian window, fused by their product, and the paths whose fused
 ratio exceeds the threshold (mean less a share of the deviation, text by text) are content paths.
 The content container is the deepest element that holds all of the content
 paths' text; the article is every block in it, headings too, that is no
-boilerplate.
+boilerplate and lies in no list of links: an element off the content paths, of
+at least two links that are most of its text.
 
 Scripts, styles, forms, menus, headers and footers of the page, sidebars,
 dialogs, and elements whose class, id or role names a notice, advert, comment
@@ -73,15 +74,27 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Share of the paths' deviation below the mean at which a path still counts.
 SLACK = 0.5
 WINDOW = 2
+#: Links that make a list of links.
+LINKS = 2
 
 
 class Element:
-    """An open or closed element: tag, number of its parent, whether it is boilerplate, its path."""
+    """An open or closed element: tag, number of its parent, whether it is boilerplate, number of its path."""
 
-    __slots__ = ("tag", "parent", "junk", "path", "depth")
+    __slots__ = ("tag", "parent", "junk", "path", "depth", "in_article", "linked")
 
-    def __init__(self, tag: str, parent: int, junk: bool, path: str, depth: int):
+    def __init__(self, tag: str, parent: int, junk: bool, path: int, depth: int, in_article: bool, linked: bool):
         self.tag, self.parent, self.junk, self.path, self.depth = tag, parent, junk, path, depth
+        self.in_article, self.linked = in_article, linked
+
+
+class Block:
+    """A block of text: number of its element, text, characters and number of its links."""
+
+    __slots__ = ("element", "text", "linked", "links")
+
+    def __init__(self, element: int, text: str, linked: int, links: int):
+        self.element, self.text, self.linked, self.links = element, text, linked, links
 
 
 def _named_junk(tag: str, attributes: str) -> bool:
@@ -99,13 +112,16 @@ def _named_junk(tag: str, attributes: str) -> bool:
     return False
 
 
-def blocks_of(page: str) -> tuple[list[Element], list[tuple[int, str]]]:
-    """(elements, blocks as (number of the element, text))."""
-    elements = [Element("", -1, False, "", 0)]
+def blocks_of(page: str) -> tuple[list[Element], list[Block]]:
+    """Elements and blocks of a page; paths are numbers, each known by the path above it and a tag."""
+    elements = [Element("", -1, False, 0, 0, False, False)]
     stack, blocks, held = [0], [], []
+    linked = links = 0
+    paths: dict[tuple[int, str], int] = {}
     endless: set[str] = set()  # elements that nothing closes from here on
 
     def close_block() -> None:
+        nonlocal linked, links
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
@@ -113,7 +129,14 @@ def blocks_of(page: str) -> tuple[list[Element], list[tuple[int, str]]]:
                 at = stack[-1]
                 while elements[at].tag in INLINE:
                     at = elements[at].parent
-                blocks.append((at, text))
+                blocks.append(Block(at, text, min(linked, len(text)), links))
+        linked = links = 0
+
+    def hold(text: str) -> None:
+        nonlocal linked
+        held.append(text)
+        if elements[stack[-1]].linked:
+            linked += len(_SPACE.sub(" ", html.unescape(text)))
 
     def pop_to(depth: int) -> None:
         if any(elements[x].tag not in INLINE for x in stack[depth:]):
@@ -124,10 +147,10 @@ def blocks_of(page: str) -> tuple[list[Element], list[tuple[int, str]]]:
     while at < end:
         found = _TOKEN.search(page, at)
         if not found:
-            held.append(page[at:])
+            hold(page[at:])
             break
         if found.start() > at:
-            held.append(page[at:found.start()])
+            hold(page[at:found.start()])
         at = found.end()
         tag = (found[2] or "").lower()
         if not tag:
@@ -174,9 +197,11 @@ def blocks_of(page: str) -> tuple[list[Element], list[tuple[int, str]]]:
             close_block()
         parent = stack[-1]
         above = elements[parent]
-        in_article = above.path.find("/article") >= 0
-        junk = above.junk or tag in FURNITURE or tag == "header" and not in_article or _named_junk(tag, found[3])
-        elements.append(Element(tag, parent, junk, above.path if tag in INLINE else f"{above.path}/{tag}", above.depth + 1))
+        junk = above.junk or tag in FURNITURE or tag == "header" and not above.in_article or _named_junk(tag, found[3])
+        path = above.path if tag in INLINE else paths.setdefault((above.path, tag), len(paths) + 1)
+        elements.append(Element(tag, parent, junk, path, above.depth + 1, above.in_article or tag == "article",
+                                above.linked or tag == "a"))
+        links += tag == "a"
         stack.append(len(elements) - 1)
         if len(stack) > 2000:  # deeper than any page that is read: the innermost element stands for the rest
             stack.pop()
@@ -191,7 +216,7 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return np.convolve(padded, weights / weights.sum(), "valid")
 
 
-def content_nodes(paths: list[str], texts: list[str]) -> np.ndarray:
+def content_nodes(paths: list[int], texts: list[str]) -> np.ndarray:
     """Which blocks lie on content paths, by their smoothed and fused ratios."""
     number = {p: n for n, p in enumerate(dict.fromkeys(paths))}
     at = np.array([number[p] for p in paths])
@@ -208,20 +233,46 @@ def content_nodes(paths: list[str], texts: list[str]) -> np.ndarray:
     return each >= mean - SLACK * deviation - 1e-9
 
 
+def _link_lists(elements: list[Element], kept: list[Block], content: np.ndarray, inside: int) -> set[int]:
+    """Outermost elements below ``inside`` without a block on a content path that are lists of links."""
+    live = {inside}
+    for block, chosen in zip(kept, content):
+        e = block.element
+        while chosen and e >= 0 and e not in live:
+            live.add(e)
+            e = elements[e].parent
+    top: dict[int, int] = {}  # element: outermost element above it that has no content
+    size: dict[int, list[int]] = {}
+    for block in kept:
+        e, way = block.element, []
+        while e >= 0 and e not in live and e not in top:
+            way.append(e)
+            e = elements[e].parent
+        found = top[e] if e in top else way[-1] if way else -1
+        for each in way:
+            top[each] = found
+        if found >= 0:
+            sums = size.setdefault(found, [0, 0, 0])
+            for n, value in enumerate((len(block.text), block.linked, block.links)):
+                sums[n] += value
+    lists = {e for e, (length, linked, links) in size.items() if links >= LINKS and 2 * linked > length}
+    return {e for e, above in top.items() if above in lists}
+
+
 def main_text(page: str | None) -> str:
     elements, blocks = blocks_of(page or "")
-    kept = [(e, t) for e, t in blocks if not elements[e].junk]
+    kept = [b for b in blocks if not elements[b.element].junk]
     if not kept:
         return ""
-    texts = [t for _, t in kept]
-    content = content_nodes([elements[e].path for e, _ in kept], texts)
+    content = content_nodes([elements[b.element].path for b in kept], [b.text for b in kept])
     weight: dict[int, int] = {}
     whole = 0
-    for (e, text), chosen in zip(kept, content):
+    for block, chosen in zip(kept, content):
         if chosen:
-            whole += len(text)
+            whole += len(block.text)
+            e = block.element
             while e >= 0:
-                weight[e] = weight.get(e, 0) + len(text)
+                weight[e] = weight.get(e, 0) + len(block.text)
                 e = elements[e].parent
     holds = [e for e, w in weight.items() if w == whole]
     marked = [e for e in holds if elements[e].tag in ("article", "main")]
@@ -237,12 +288,14 @@ def main_text(page: str | None) -> str:
         return False
 
     known: dict[int, bool] = {}
+    lists = _link_lists(elements, kept, content, inside)
     chosen = []
-    for e, text in kept:
+    for block in kept:
+        e = block.element
         if e not in known:
-            known[e] = within(e)
+            known[e] = e not in lists and within(e)
         if known[e]:
-            chosen.append(text)
+            chosen.append(block.text)
     return " ".join(chosen)
 
 

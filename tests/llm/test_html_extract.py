@@ -1,8 +1,11 @@
+import math
+import random
 import time
+import tracemalloc
 
 import pytest
 
-from lithogrid.llm.html_extract import html_extract, main_text
+from lithogrid.llm.html_extract import content_nodes, html_extract, main_text
 
 FIRST = "First paragraph, with some text in it, and more words. It goes on, and on."
 SECOND = "Second paragraph; also with text, and a link, and so on. End."
@@ -65,3 +68,46 @@ def test_content_in_several_containers_is_whole():
     assert main_text(f"<body><nav>Menu</nav><main><article><p>{long}</p></article><h2>Part two</h2>"
                      f"<article><p>{short}</p></article></main><footer>c</footer></body>") == f"{long} Part two {short}"
     assert main_text(f"<div><p>{short}</p><ul>{''.join(f'<li>{words(9 * k, 9)}</li>' for k in range(9))}</ul></div>").startswith(short)
+
+
+def test_unnamed_lists_of_links_are_no_article():
+    links = "<ul><li><a href=1>Link one</a><li><a href=2>Link two</a><li>Buy</ul>"
+    for around in ("<div>BODYLINKS</div>", "<div>LINKSBODY</div>", "<article>BODY<div>LINKS</div></article>"):
+        assert main_text(page(around).replace("LINKS", links)) == WANT
+    items = "<ul><li>Salt<li>Two eggs<li>Flour, <a href=3>sifted</a></ul>"
+    assert main_text(page(f"<article>BODY{items}</article>")) == f"{WANT} Salt Two eggs Flour, sifted"
+    assert main_text(f"<div><h1><a href=4>Linked title</a></h1><p>{FIRST}</p></div>") == f"Linked title {FIRST}"
+
+
+def test_deep_pages_take_little_memory():
+    tracemalloc.start()
+    assert main_text("<div>" * 200_000 + "deep") == "deep"
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+
+
+def slow_content(paths, texts):
+    """Content paths by plain loops: sums per path, a Gaussian over the two nodes on each side, their product."""
+    marks = [sum(c in ".,;:!?…。、，！？；：" for c in t) for t in texts]
+    weights = [math.exp(-k * k / 2) for k in range(-2, 3)]
+
+    def smoothed(values):
+        mean = {p: sum(v for v, q in zip(values, paths) if q == p) / paths.count(p) for p in paths}
+        return [sum(w * mean[paths[min(max(i + k, 0), len(paths) - 1)]] for k, w in zip(range(-2, 3), weights)) / sum(weights)
+                for i in range(len(paths))]
+
+    node = [a * (b + .1) for a, b in zip(smoothed([len(t) for t in texts]), smoothed(marks))]
+    fused = [sum(v for v, q in zip(node, paths) if q == p) / paths.count(p) for p in paths]
+    total = sum(map(len, texts))
+    mean = sum(f * len(t) for f, t in zip(fused, texts)) / total
+    spread = math.sqrt(sum((f - mean) ** 2 * len(t) for f, t in zip(fused, texts)) / total)
+    return [f >= mean - .5 * spread - 1e-9 for f in fused]
+
+
+def test_ratios_match_plain_loops():
+    draw = random.Random(5)
+    for _ in range(50):
+        n = draw.randrange(1, 40)
+        paths = [draw.randrange(5) for _ in range(n)]
+        texts = ["a, b. c" * draw.randrange(1, 30) if p < 2 else "menu" * draw.randrange(1, 4) for p in paths]
+        assert content_nodes(paths, texts).tolist() == slow_content(paths, texts)
