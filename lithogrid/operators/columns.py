@@ -195,6 +195,31 @@ def _blocks(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tu
         start = stop
 
 
+def _counts(cuts: Callable, keep: list[str], wanted: int):
+    """Cells in every so-manieth column of each feature; all of them where it reaches no more than ``wanted``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = Rows(batch), len(batch)
+            row, first, last, heights = cuts(rows)
+            live = first <= last
+            low, high = np.full(size, np.iinfo(np.int64).max), np.full(size, np.iinfo(np.int64).min)
+            np.minimum.at(low, row[live], first[live])
+            np.maximum.at(high, row[live], last[live])
+            stride = np.ones(size, np.int64)
+            met = low <= high
+            stride[met] = (high[met] - low[met]) // wanted + 1
+            own = stride[row]
+            cells = np.zeros(size)
+            for some, begin, end in _blocks(row, -(-first // own), last // own):
+                at, c = _over(begin, end)
+                owner, _, z0, z1 = _finish(rows, *heights(some[at], c * own[some[at]]))
+                cells += np.bincount(owner, z1 - z0 + 1.0, size)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in keep), pa.array(cells), pa.array(stride == 1)], [*keep, "cells", "exact"])
+
+    return run
+
+
 def _spans(cuts: Callable, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,13 +240,25 @@ def _spans(cuts: Callable, keep: list[str]):
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def spans(features: DataFrame, keep: list[str], thick: bool) -> DataFrame:
-    """Spans of features with ``edges``; ``keep`` names the columns to carry along."""
+def _ready(features: DataFrame, keep: list[str], thick: bool) -> DataFrame:
     radius = (F.col("width") / 2) if thick else F.lit(0.0)
     edges = F.transform("edges", lambda e: F.struct(*[e[c].alias(c) for c in ("x1", "z1", "x2", "z2")]))
-    ready = features.select(*keep, F.col("voxel_size_m").alias("r"), "quad", F.col("first_column").cast("long"),
-                            F.col("last_column").cast("long"), radius.cast("double").alias("radius"), edges.alias("edges"))
+    return features.select(*keep, F.col("voxel_size_m").alias("r"), "quad", F.col("first_column").cast("long"),
+                           F.col("last_column").cast("long"), radius.cast("double").alias("radius"), edges.alias("edges"))
+
+
+def spans(features: DataFrame, keep: list[str], thick: bool) -> DataFrame:
+    """Spans of features with ``edges``; ``keep`` names the columns to carry along."""
     schema = features.select(*keep).schema
     for name in ("x", "z0", "z1"):
         schema = schema.add(name, "long")
-    return ready.mapInArrow(_spans(capsule_cuts if thick else polygon_cuts, keep), schema)
+    return _ready(features, keep, thick).mapInArrow(_spans(capsule_cuts if thick else polygon_cuts, keep), schema)
+
+
+def counted(features: DataFrame, keep: list[str], thick: bool, wanted: int) -> DataFrame:
+    """``cells`` of each feature in at most ``wanted`` of its columns, evenly spaced; ``exact`` if those are all.
+
+    The count over some columns is never more than the count over all.
+    """
+    schema = features.select(*keep).schema.add("cells", "double").add("exact", "boolean")
+    return _ready(features, keep, thick).mapInArrow(_counts(capsule_cuts if thick else polygon_cuts, keep, wanted), schema)

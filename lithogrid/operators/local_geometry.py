@@ -78,7 +78,7 @@ def chunk_edges(framed: DataFrame, chunk: int = CHUNK_VERTICES) -> DataFrame:
     over the ring, and the chunks of one feature go to different tasks.
     """
     carried = ["area_id", "pos", "geom_type", "width", "voxel_size_m", "lon0", "lat0",
-               "quad", "qx", "qz", "first_column", "last_column"]
+               "quad", "qx", "qz", "first_column", "last_column", *[c for c in framed.columns if c == "stride"]]
     step = max(1, chunk)
     pieces = f"""flatten(transform(rings, (g, k) ->
       transform(sequence(1, greatest(1, size(g.lon) - 1), {step}), start -> named_struct(

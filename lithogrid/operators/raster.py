@@ -20,6 +20,8 @@ from lithogrid.functions import planar
 from lithogrid.operators import columns
 
 _XC = planar.centre("c")
+#: Columns of an edge that are made at once.
+COLUMN_BLOCK = 1 << 16
 
 
 def _cells(low: str, high: str) -> str:
@@ -33,16 +35,21 @@ _BOTTOM_CELL = planar.first_cell(f"({planar.quad_bottom('xc')})")
 _TOP_CELL = planar.last_cell(f"({planar.quad_top('xc')})")
 
 
-def _columns(low: str, high: str) -> str:
-    """Grid columns with centres between two x positions, cut to the area."""
+def _explode_columns(df: DataFrame, low: str, high: str, keep: list[str]) -> DataFrame:
+    """One row per grid column with its centre between two x positions, with its centre line and the area's cells.
+
+    Columns come in blocks, so that no array grows with the grid. With a column
+    ``stride`` only the columns that it divides are made.
+    """
+    stride = "stride" if "stride" in df.columns else "1L"
     first = f"greatest({planar.first_cell(low)}, first_column)"
+    first = f"({first} + pmod(-{first}, {stride}))"
     last = f"least({planar.last_cell(high)}, last_column)"
-    return f"CASE WHEN {first} <= {last} THEN sequence({first}, {last}) ELSE cast(array() AS array<bigint>) END"
-
-
-def _explode_columns(df: DataFrame, columns: str, keep: list[str]) -> DataFrame:
-    """One row per grid column with its centre line and the area's cells on it."""
-    at = df.select(*keep, F.explode_outer(F.expr(columns)).alias("c")).filter("c IS NOT NULL")
+    blocks = f"CASE WHEN {first} <= {last} THEN sequence({first}, {last}, {stride} * {COLUMN_BLOCK}) END"
+    kept = [*keep, *(["stride"] if stride == "stride" else [])]
+    begun = df.select(*kept, F.expr(last).alias("_last"), F.explode_outer(F.expr(blocks)).alias("_b")).filter("_b IS NOT NULL")
+    block = f"sequence(_b, least(_b + {stride} * {COLUMN_BLOCK - 1}, _last), {stride})"
+    at = begun.select(*keep, F.explode_outer(F.expr(block)).alias("c")).filter("c IS NOT NULL")
     lined = at.withColumn("xc", F.expr(_XC))
     return lined.select("*", F.expr(_BOTTOM_CELL).alias("bottom_cell"), F.expr(_TOP_CELL).alias("top_cell"))
 
@@ -73,8 +80,7 @@ def large_polygon_spans(edges: DataFrame) -> DataFrame:
     closes that cell, as does an edge resting on the centre line.
     """
     sized = edges.withColumnRenamed("voxel_size_m", "r")
-    lined = _explode_columns(sized, _columns("least(e.x1, e.x2)", "greatest(e.x1, e.x2)"),
-                             ["area_id", "pos", "r", "quad", "e"])
+    lined = _explode_columns(sized, "least(e.x1, e.x2)", "greatest(e.x1, e.x2)", ["area_id", "pos", "r", "quad", "e"])
     met = lined.select(
         "area_id", "pos", "c", "r", "bottom_cell", "top_cell",
         F.expr(f"CASE WHEN {planar.crosses('xc')} THEN {planar.crossing_z('xc')} END").alias("z"),
@@ -94,10 +100,10 @@ def large_polygon_spans(edges: DataFrame) -> DataFrame:
 def large_thick_spans(edges: DataFrame) -> DataFrame:
     """Spans of large lines from exploded edges; ranges that begin in one cell merge first."""
     clipped = edges.withColumnRenamed("voxel_size_m", "r").select(
-        "area_id", "pos", "r", "quad", "first_column", "last_column",
+        "area_id", "pos", "r", "quad", "first_column", "last_column", *[c for c in edges.columns if c == "stride"],
         (F.col("width") / 2).alias("radius"), F.expr(planar.CLIPPED_SEGMENT).alias("s"),
     ).filter("s IS NOT NULL").withColumn("s", F.expr(planar.CAPSULE))
-    lined = _explode_columns(clipped, _columns("s.west", "s.east"), ["area_id", "pos", "r", "quad", "s"])
+    lined = _explode_columns(clipped, "s.west", "s.east", ["area_id", "pos", "r", "quad", "s"])
     cells = lined.select("area_id", "pos", "c", F.expr(_CAPSULE_CELLS).alias("v"))
     marks = cells.filter("v.z0 <= v.z1").select(
         "area_id", "pos", "c", F.col("v.z0").alias("cell"), F.col("v.z1").alias("reach"), F.lit(0).alias("turn"))

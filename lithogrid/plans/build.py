@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithogrid.operators import areas as area_ops
-from lithogrid.operators import evidence, export, local_geometry, numbering, raster, report, validity
+from lithogrid.operators import columns, evidence, export, local_geometry, numbering, raster, report, validity
 from lithogrid.operators.local_geometry import MAX_EDGES_IN_ROW
 from lithogrid.operators.lookup import lookup
 from lithogrid.plans.workspace import Workspace
@@ -20,6 +21,10 @@ from lithogrid.sources.geojson import parse_geometry
 VOXELS_OVER_BUDGET = "Voxel budget exceeded; reduce area or increase voxel size"
 NO_BUDGET = "max_voxels must be a number"
 BUDGET_CHECK = 6
+#: Areas of more columns are held against their budget before their spans are made.
+WIDE = 1 << 16
+#: Columns of a feature that are counted first, and how many times more in each further round.
+FEW_COLUMNS, MORE = 1 << 10, 16
 
 _AREAL = "geom_type IN ('Polygon', 'MultiPolygon')"
 ATTRIBUTES = ["kind", "feature", "source", "y0", "y1"]
@@ -127,6 +132,52 @@ def large_spans(features: DataFrame, keep: list[str]) -> DataFrame:
     return lookup(areal.unionByName(thick), attributes, ["area_id", "pos"], "inner", spread_by=("x",))
 
 
+def _counted(features: DataFrame, wanted: int) -> DataFrame:
+    """(area_id, voxels, exact, pos): voxels of each feature in some of its columns, evenly spaced."""
+    keep = ["area_id", "pos", "y0", "y1"]
+    layers = (F.col("y1") - F.col("y0")).cast("double")
+    edged = local_geometry.edges_in_row(features.filter(f"n_edges <= {MAX_EDGES_IN_ROW}"))
+    counted = columns.counted(edged.filter(_AREAL), keep, False, wanted).unionByName(
+        columns.counted(edged.filter("thick"), keep, True, wanted))
+    large = features.filter(f"n_edges > {MAX_EDGES_IN_ROW}").withColumn(
+        "stride", F.expr(f"cast(last_column - first_column AS bigint) div {wanted} + 1"))
+    spans = raster.large_polygon_spans(local_geometry.chunk_edges(large.filter(_AREAL))).unionByName(
+        raster.large_thick_spans(local_geometry.chunk_edges(large.filter("thick"))))
+    cells = spans.groupBy("area_id", "pos").agg(F.sum((F.col("z1") - F.col("z0") + 1).cast("double")).alias("cells"))
+    wide = large.select(*keep, (F.col("stride") == 1).alias("exact")).join(cells, ["area_id", "pos"], "left").fillna(
+        {"cells": 0.0}).select(*counted.columns)
+    return counted.unionByName(wide).select("area_id", "pos", (F.col("cells") * layers).alias("voxels"), "exact")
+
+
+def wide_violations(features: DataFrame, framed: DataFrame, work: Workspace) -> DataFrame | None:
+    """Areas of very many columns that are over budget, before any span of them exists.
+
+    A feature's voxels over some of its columns bound its voxels from below. Few
+    columns are counted first; only features of areas that the bound leaves
+    undecided are counted again over more columns, until it decides or all of
+    their columns are counted. None where no area is that wide.
+    """
+    undecided = framed.filter(f"last_column - first_column >= {WIDE}").select("area_id", "max_voxels")
+    if undecided.isEmpty():
+        return None
+    left = features.filter("accepted").join(F.broadcast(undecided.select("area_id")), "area_id", "left_semi")
+    known, wanted, found = None, FEW_COLUMNS, []
+    while True:
+        counted = work.save(_counted(left, wanted), f"counted-{wanted}")
+        every = counted if known is None else counted.unionByName(known)
+        bounds = every.groupBy("area_id").agg(F.sum("voxels").alias("voxel_records"))
+        over = work.save(budget_violations(undecided, bounds), f"over-{wanted}")
+        found.append(over)
+        gone = over.select("area_id")
+        undecided = undecided.join(gone, "area_id", "left_anti")
+        more = counted.filter("NOT exact").join(gone, "area_id", "left_anti").select("area_id", "pos")
+        if more.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        known = every.filter("exact")
+        left = left.join(more, ["area_id", "pos"], "left_semi")
+        wanted *= MORE
+
+
 def _with_large(prepared: DataFrame, work: Workspace) -> DataFrame:
     """Fill in validity and contact of large features, if there are any."""
     small = prepared.filter(f"n_edges <= {MAX_EDGES_IN_ROW}")
@@ -172,7 +223,8 @@ def build(
 
     Features without a column ``area_id`` belong to every area that their
     envelope overlaps.
-    The first violation (by area, stage, position) raises :class:`GateError`.
+    The first violation (by area, stage, position) raises :class:`GateError`;
+    the voxel budget of areas of very many columns is judged before that of the others.
     With ``on_violation="skip"`` the areas concerned are left out instead and
     listed in the result's ``violations``; the other areas go on. The inputs are
     kept under ``evidence_path``, before any gate, so that they outlive a failed run.
@@ -205,6 +257,13 @@ def build(
     failed = broken.select("area_id").distinct()
     named = _with_names(checked.join(failed, "area_id", "left_anti") if skip else checked, work)
 
+    early = wide_violations(named, usable, work)
+    if early is not None:
+        if not skip:
+            raise_first(early)
+        found = found.unionByName(early)
+        usable, named = (df.join(early.select("area_id"), "area_id", "left_anti") for df in (usable, named))
+
     keep = ["area_id", "pos", *ATTRIBUTES]
     small = small_spans(named.filter(f"n_edges <= {MAX_EDGES_IN_ROW}"), keep)
     large_rows = named.filter(f"n_edges > {MAX_EDGES_IN_ROW}")

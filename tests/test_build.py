@@ -5,6 +5,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from lithogrid import GateError, build, build_from_osm, publish
 from lithogrid.sources import config, geojson, osm
@@ -62,6 +63,47 @@ def test_budget_fails_before_any_voxel(spark, tmp_path):
         run(spark, tmp_path, [TOWER], {**CONFIG, "max_voxels": 1})
 
 
+COMB = {**TOWER, "id": "comb", "geometry": {"type": "Polygon", "coordinates": [[
+    [0.0001, 0.0001], *([x / 1e6, z] for k in range(200, 900, 10) for x, z in ((k, 0.0001), (k + 2, 0.0009), (k + 4, 0.0001))),
+    [0.0009, 0.00005], [0.0001, 0.00005], [0.0001, 0.0001]]]}}
+PATH = {**TOWER, "id": "path", "properties": {"source_id": "plan", "kind": "road", "height_m": 1, "base_elevation_m": 0},
+        "geometry": {"type": "LineString", "coordinates": [[0.0001, 0.0001], [0.0009, 0.0008]]}}
+
+
+@pytest.mark.parametrize("given", [TOWER, COMB], ids=["small", "large"])
+def test_budget_of_tiny_voxels_fails_before_any_span(spark, tmp_path, monkeypatch, given):
+    from lithogrid.plans import build as plan
+
+    monkeypatch.setattr(plan, "small_spans", None)
+    monkeypatch.setattr(plan, "large_spans", None)
+    with pytest.raises(GateError, match="Voxel budget"):
+        run(spark, tmp_path, [given], {**CONFIG, "voxel_size_m": 1e-6})
+
+
+def test_bounds_over_some_columns_end_at_the_exact_count(spark, tmp_path, monkeypatch):
+    from lithogrid.operators import raster
+    from lithogrid.plans import build as plan
+
+    monkeypatch.setattr(raster, "COLUMN_BLOCK", 7)
+    result = run(spark, tmp_path, [TOWER, COMB, PATH])
+    exact = {r.pos: r.voxels for r in result.spans.groupBy("pos").agg(
+        F.sum(raster.span_voxels(result.spans)).alias("voxels")).collect()}
+    accepted = plan.Workspace(spark).save(result.accepted, "accepted")
+    few, every = ({r.pos: r for r in plan._counted(accepted, wanted).collect()} for wanted in (20, 1000))
+    assert {k: r.voxels for k, r in every.items()} == exact and all(r.exact for r in every.values())
+    assert all(0 < r.voxels < exact[k] and not r.exact for k, r in few.items()) and len(few) == 3
+
+    monkeypatch.setattr(plan, "WIDE", 10)
+    monkeypatch.setattr(plan, "FEW_COLUMNS", 20)
+    total = sum(exact.values())
+    for budget, want in ((total, []), (total - 1, [plan.VOXELS_OVER_BUDGET])):
+        areas = result.areas.withColumn("max_voxels", F.lit(budget))
+        over = plan.wide_violations(accepted, areas, plan.Workspace(spark))
+        assert [r.message for r in over.collect()] == want
+    monkeypatch.setattr(plan, "WIDE", 1 << 16)
+    assert plan.wide_violations(accepted, result.areas, result.work) is None
+
+
 def test_unknown_source_fails(spark, tmp_path):
     with pytest.raises(GateError, match="tower has no registered source"):
         run(spark, tmp_path, [TOWER], {**CONFIG, "sources": []})
