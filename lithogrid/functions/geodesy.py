@@ -1,7 +1,8 @@
 """Local metric coordinates: ellipsoidal azimuthal-equidistant projection.
 
 Distance and azimuth from the centre come from the inverse geodesic problem
-(Vincenty 1975), iterated until every vertex of the Arrow batch has settled.
+(Vincenty 1975). Every vertex takes a few rounds and then as many more as it
+needs itself, so that its place does not depend on the batch it came in.
 Built-in expressions can state a fixed number of rounds, but the generated
 method outgrows what the JVM compiles: measured 30 us a vertex against less
 than 1 us here, where a batch of vertex arrays is one numpy call.
@@ -24,13 +25,13 @@ FLATTENING = 1 / 298.257223563
 SEMI_MINOR_M = SEMI_MAJOR_M * (1 - FLATTENING)
 
 _TOLERANCE = 1e-14
-_ROUNDS = 60
+_FEWEST_ROUNDS, _ROUNDS = 6, 60
 _VERTICES = 1 << 16
 
 
 def _reduced(lat_deg):
     tangent = (1 - FLATTENING) * np.tan(np.radians(lat_deg))
-    cosine = 1 / np.hypot(1.0, tangent)
+    cosine = 1 / np.sqrt(1 + tangent * tangent)
     return tangent * cosine, cosine
 
 
@@ -42,7 +43,7 @@ def _arc(lam, sin1, cos1, sin2, cos2):
     """Great-circle quantities on the auxiliary sphere for longitude ``lam``."""
     east = cos2 * np.sin(lam)
     north = cos1 * sin2 - sin1 * cos2 * np.cos(lam)
-    sin_arc = np.hypot(east, north)
+    sin_arc = np.sqrt(east * east + north * north)
     cos_arc = sin1 * sin2 + cos1 * cos2 * np.cos(lam)
     sin_azimuth = _divide(cos1 * east, sin_arc)
     cos_sq = 1 - sin_azimuth**2
@@ -59,16 +60,18 @@ def azimuthal_equidistant(lon, lat, lon0, lat0):
     """
     sin1, cos1 = _reduced(lat0)
     sin2, cos2 = _reduced(lat)
-    gap = np.radians((lon - lon0 + 180.0) % 360.0 - 180.0)
-    lam = gap
-    for _ in range(_ROUNDS):  # settles within a few rounds but near the antipode
+    gap = lon - lon0  # turned only where it must be: adding 180 costs some nanometres
+    gap = np.radians(np.where(np.abs(gap) <= 180.0, gap, (gap + 180.0) % 360.0 - 180.0))
+    lam, settled = gap, np.zeros(np.shape(gap), bool)
+    for k in range(_ROUNDS):  # settles within a few rounds but near the antipode
         _, _, sin_arc, cos_arc, arc, sin_az, cos_sq, cos_mid = _arc(lam, sin1, cos1, sin2, cos2)
         c = FLATTENING / 16 * cos_sq * (4 + FLATTENING * (4 - 3 * cos_sq))
-        last, lam = lam, gap + (1 - c) * FLATTENING * sin_az * (
-            arc + c * sin_arc * (cos_mid + c * cos_arc * (2 * cos_mid**2 - 1)))
-        settled = np.abs(lam - last) <= _TOLERANCE
-        if settled.all():
-            break
+        last, lam = lam, np.where(settled, lam, gap + (1 - c) * FLATTENING * sin_az * (
+            arc + c * sin_arc * (cos_mid + c * cos_arc * (2 * cos_mid**2 - 1))))
+        if k + 1 >= _FEWEST_ROUNDS:
+            settled = np.abs(lam - last) <= _TOLERANCE
+            if settled.all():
+                break
     east, north, sin_arc, cos_arc, arc, _, cos_sq, cos_mid = _arc(lam, sin1, cos1, sin2, cos2)
     u = cos_sq * (SEMI_MAJOR_M**2 / SEMI_MINOR_M**2 - 1)
     a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))

@@ -15,17 +15,21 @@ def let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-# --- the area: a convex quadrilateral a*x + b*z >= c on four sides -----------------------------
+# --- the area: a convex quadrilateral, a*(x - x0) + b*(z - z0) >= 0 on four sides ---------------
 
 def quad_of(x: str, z: str) -> str:
-    """Half planes of the quadrilateral with corner arrays ``x`` and ``z``."""
+    """Half planes of the quadrilateral with corner arrays ``x`` and ``z``.
+
+    Each is taken from its corner: products with whole coordinates cancel, and
+    what only touches the area would be decided by what they lose.
+    """
     turn = f"sign({shoelace(x, z)})"
     fields = []
     for k in _SIDES:
         i, j = k - 1, k % 4
         a = f"({turn} * ({z}[{i}] - {z}[{j}]))"
         b = f"({turn} * ({x}[{j}] - {x}[{i}]))"
-        fields.append(f"'a{k}', {a}, 'b{k}', {b}, 'c{k}', {a} * {x}[{i}] + {b} * {z}[{i}]")
+        fields.append(f"'a{k}', {a}, 'b{k}', {b}, 'x{k}', {x}[{i}], 'z{k}', {z}[{i}]")
     return f"named_struct({', '.join(fields)})"
 
 
@@ -35,14 +39,23 @@ def shoelace(x: str, z: str) -> str:
     return f"(({' + '.join(terms)}) / 2D)"
 
 
+def side_value(k: int, x: str, z: str) -> str:
+    """Signed distance from side ``k``, times its length; negative outside."""
+    return f"(quad.b{k} * ({z} - quad.z{k}) + quad.a{k} * ({x} - quad.x{k}))"
+
+
+def _side_z(k: int, x: str) -> str:
+    return f"quad.z{k} - quad.a{k} * ({x} - quad.x{k}) / quad.b{k}"
+
+
 def quad_bottom(x: str) -> str:
     """Lowest z of the area on the vertical line at ``x``."""
-    cuts = [f"CASE WHEN quad.b{k} > 0 THEN (quad.c{k} - quad.a{k} * {x}) / quad.b{k} END" for k in _SIDES]
+    cuts = [f"CASE WHEN quad.b{k} > 0 THEN {_side_z(k, x)} END" for k in _SIDES]
     return f"greatest({', '.join(cuts)})"
 
 
 def quad_top(x: str) -> str:
-    cuts = [f"CASE WHEN quad.b{k} < 0 THEN (quad.c{k} - quad.a{k} * {x}) / quad.b{k} END" for k in _SIDES]
+    cuts = [f"CASE WHEN quad.b{k} < 0 THEN {_side_z(k, x)} END" for k in _SIDES]
     return f"least({', '.join(cuts)})"
 
 
@@ -50,10 +63,9 @@ def quad_top(x: str) -> str:
 
 # Signed distances of both ends from the four sides, negative outside.
 SIDE_VALUES = "named_struct({})".format(", ".join(
-    f"'f{k}', quad.a{k} * e.x1 + quad.b{k} * e.z1 - quad.c{k}, "
-    f"'g{k}', quad.a{k} * e.x2 + quad.b{k} * e.z2 - quad.c{k}" for k in _SIDES))
+    f"'f{k}', {side_value(k, 'e.x1', 'e.z1')}, 'g{k}', {side_value(k, 'e.x2', 'e.z2')}" for k in _SIDES))
 
-STARTS_INSIDE = " AND ".join(f"quad.a{k} * e.x1 + quad.b{k} * e.z1 >= quad.c{k}" for k in _SIDES)
+STARTS_INSIDE = " AND ".join(f"{side_value(k, 'e.x1', 'e.z1')} >= 0" for k in _SIDES)
 
 ENDS_INSIDE = STARTS_INSIDE.replace("e.x1", "e.x2").replace("e.z1", "e.z2")
 

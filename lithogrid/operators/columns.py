@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Places where an edge meets a column that are held at once.
 CUTS = 1 << 20
 _SIDES = (1, 2, 3, 4)
-_QUAD = [f"{v}{k}" for k in _SIDES for v in "abc"]
+_QUAD = [f"{v}{k}" for k in _SIDES for v in "abxz"]
 _SHIFT, _WIDE = 1 << 40, 1 << 41
 
 
@@ -52,8 +52,8 @@ class Rows:
         bottom, top = np.full(len(x), -np.inf), np.full(len(x), np.inf)
         with np.errstate(divide="ignore", invalid="ignore"):
             for k in _SIDES:
-                a, b, c = (self.quad[f"{v}{k}"][row] for v in "abc")
-                z = (c - a * x) / b
+                a, b, x0, z0 = (self.quad[f"{v}{k}"][row] for v in "abxz")
+                z = z0 - a * (x - x0) / b
                 bottom = np.where(b > 0, np.maximum(bottom, z), bottom)
                 top = np.where(b < 0, np.minimum(top, z), top)
         return first_cell(bottom, self.r[row]), last_cell(top, self.r[row])
@@ -128,8 +128,8 @@ def capsule_cuts(rows: Rows):
     t0, t1, out = np.zeros(len(row)), np.ones(len(row)), np.zeros(len(row), bool)
     with np.errstate(divide="ignore", invalid="ignore"):
         for k in _SIDES:
-            a, b, c = (rows.quad[f"{v}{k}"][row] for v in "abc")
-            f, g = a * rows.x1 + b * rows.z1 - c, a * rows.x2 + b * rows.z2 - c
+            a, b, x0, z0 = (rows.quad[f"{v}{k}"][row] for v in "abxz")
+            f, g = b * (rows.z1 - z0) + a * (rows.x1 - x0), b * (rows.z2 - z0) + a * (rows.x2 - x0)
             out |= (f < 0) & (g < 0)
             t0 = np.where(f < 0, np.maximum(t0, f / (f - g)), t0)
             t1 = np.where(g < 0, np.minimum(t1, f / (f - g)), t1)

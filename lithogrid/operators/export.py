@@ -15,7 +15,7 @@ _RINGS = (f"transform(outline, (g, k) -> named_struct('part', g.part, 'ring', g.
 
 
 def _value(k: int, p: str) -> str:
-    return f"(quad.a{k} * {p}.x + quad.b{k} * {p}.z - quad.c{k})"
+    return planar.side_value(k, f"{p}.x", f"{p}.z")
 
 
 def _clip_side(k: int) -> str:
