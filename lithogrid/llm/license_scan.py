@@ -1,13 +1,14 @@
 """License scan by a positional rare-token index, with DataFrame and SQL operations only.
 
-Templates are statements of licenses. Their words, but for the commonest, are
-the license words; the index posts each at its places in the templates. Each
+Templates are statements of licenses; the index posts each of their words at its
+places in the templates. The commonest words have no part in the share of a
+template that stands in a text, but must stand in its key phrases all the same. Each
 template is anchored at the rarest word of its mandatory key phrases, by inverse
 document frequency over all documents. Only the templates whose anchors a document has are
 looked up: the anchor at template place p and document place d proposes that the template starts at
 d - p, which is before the text if the text opens with a later part of it. A
 proposed start is an alignment if enough of the template's words stand at their
-places after it, among them every posted word of its mandatory key phrases. An alignment needs its
+places after it, among them every word of its mandatory key phrases. An alignment needs its
 anchor, so no template is lost.
 
 Base labels need no alignment: they are the places where a phrase's words stand
@@ -59,17 +60,20 @@ TEMPLATES = [
     ("cc-by", "licensed under a creative commons attribution", ["creative commons attribution"]),
     ("proprietary", "all rights reserved", ["all rights reserved"]),
 ]
-#: Words of the templates that are not posted.
-COMMON = "a and any are as by for has in into is of or the this to use with all nc nd sa".split()
-#: Share of a template's license words that an alignment needs.
+#: Words of the templates that do not count in an alignment's share.
+COMMON = "a and any are as for has in into is of or the this to use with all".split()
+#: Share of a template's counted words that an alignment needs.
 ENOUGH = 0.6
 
 _WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _postings() -> list[tuple[str, int, int, int]]:
-    """(word, template, place, 1 if in a key phrase); common words are not posted."""
+def _postings() -> list[tuple[str, int, int, int, int]]:
+    """(word, template, place, 1 if in a key phrase, 1 if it counts) of every word that counts or is in a key phrase.
+
+    A common word outside the key phrases has no part in the result.
+    """
     posted = []
     for t, (_, statement, phrases) in enumerate(TEMPLATES):
         words = statement.split()
@@ -77,7 +81,7 @@ def _postings() -> list[tuple[str, int, int, int]]:
         for phrase in map(str.split, phrases):
             start = next(i for i in range(len(words)) if words[i:i + len(phrase)] == phrase)
             key |= set(range(start, start + len(phrase)))
-        posted += [(w, t, p, int(p in key)) for p, w in enumerate(words) if w not in COMMON]
+        posted += [(w, t, p, int(p in key), int(w not in COMMON)) for p, w in enumerate(words) if p in key or w not in COMMON]
     return posted
 
 
@@ -128,14 +132,14 @@ def _alignments(found: DataFrame, ranks: dict[str, int]) -> DataFrame:
     posted = _postings()
     words, keys = [0] * len(TEMPLATES), [0] * len(TEMPLATES)
     anchors: dict[int, tuple[int, int]] = {}  # template: rank and place of the rarest word of its key phrases
-    for w, t, p, key in posted:
-        words[t] += 1
+    for w, t, p, key, counts in posted:
+        words[t] += counts
         keys[t] += key
         if key:
             anchors[t] = min(anchors.get(t, (len(ranks), 0)), (ranks[w], p))
     index = spark.createDataFrame(
-        [(w, t, p, key, words[t], keys[t], anchors[t][0], anchors[t][1] == p) for w, t, p, key in posted],
-        "w string, template int, place int, key int, words int, keys int, anchor int, at_anchor boolean")
+        [(w, t, p, key, counts, words[t], keys[t], anchors[t][0], anchors[t][1] == p) for w, t, p, key, counts in posted],
+        "w string, template int, place int, key int, counts int, words int, keys int, anchor int, at_anchor boolean")
     used = {rank for rank, _ in anchors.values()}
     rank = " ".join(f"WHEN {_quoted(w)} THEN {n}" for w, n in ranks.items() if n in used)
     looked_up = F.expr(f"array_compact(transform(array_distinct(hits.w), w -> CASE w {rank} END))")
@@ -144,9 +148,9 @@ def _alignments(found: DataFrame, ranks: dict[str, int]) -> DataFrame:
         "row", looked_up.alias("looked_up"), F.explode_outer("hits").alias("h")).filter(F.size("looked_up") > 0)
     votes = anchored.select("row", "looked_up", "h.w", "h.at").join(F.broadcast(index), "w").filter(
         F.array_contains("looked_up", F.col("anchor"))).select(
-        "row", "template", (F.col("at") - F.col("place")).alias("start"), "key", "words", "keys", "at_anchor")
+        "row", "template", (F.col("at") - F.col("place")).alias("start"), "key", "counts", "words", "keys", "at_anchor")
     return votes.groupBy("row", "template", "start", "words", "keys").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("key").alias("k"), F.max("at_anchor").alias("proposed")).filter(
+        F.sum("counts").alias("n"), F.sum("key").alias("k"), F.max("at_anchor").alias("proposed")).filter(
         f"proposed AND k = keys AND n >= {ENOUGH} * words").select(
         "row", "template", "start", F.when(F.col("start") >= 0, F.col("n") / F.col("words")).otherwise(0.5).alias("share"))
 

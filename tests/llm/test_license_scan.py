@@ -73,3 +73,16 @@ def test_production_settings_lose_no_license(docs_of):
     assert got[0].labels.split(",") == want
     assert got[0].labels == brute(every)[5]
     assert {i: (got[i].labels, got[i].score) for i in titles} == {i: t[1:] for i, t in titles.items()}
+
+
+def test_every_word_of_a_key_phrase_is_mandatory(docs_of):
+    texts = {
+        1: ("Licensed under CC BY-SA 4.0", "cc-by,cc-by-sa"), 2: ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc"),
+        3: ("Licensed under CC BY-ND 4.0", "cc-by,cc-by-nd"), 4: ("Licensed under CC BY 4.0", "cc-by"),
+        5: ("Licensed under CC terms", ""), 6: ("no rights reserved", ""), 7: ("all rights reserved", "proprietary"),
+        8: ("Permission was hereby granted, free of charge, to any person obtaining a copy of this Software", ""),
+        9: ("Permission is hereby granted, free of charge, to any person obtaining a copy of this Software", "mit"),
+        10: ("Redistribution or use in source and binary forms, with or without modification, are permitted", ""),
+        11: ("Permission to use, copy, modify, and or distribute this software for no purpose with or without fee", "")}
+    got = {r.doc_id: r.labels for r in L.license_scan(docs_of([(i, t) for i, (t, _) in texts.items()])).collect()}
+    assert got == {i: labels for i, (_, labels) in texts.items()}
