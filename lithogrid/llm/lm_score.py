@@ -13,10 +13,11 @@ out before it is scored, so target documents gain nothing from having been count
 
 The documents lie in blocks of at most ``BLOCK_BYTES`` of text. Each block's
 distinct n-grams with their counts go to the part that their hash names; a part
-adds the counts of all blocks and sends each block the totals of those of its
-n-grams that occur elsewhere too; a block is scored from its own counts and these
-answers. A common n-gram is one entry for each block, however often it occurs, so
-no part is hot.
+adds the counts of all blocks and answers each block how often its n-grams occur
+elsewhere: a bit for each, in the order in which the block sent them, and counts
+where the bit is set, but no keys. A block counts its texts again, which gives the
+same order, and is scored from its own counts and the answers. A common n-gram is
+one entry for each block, however often it occurs, so no part is hot.
 
 The probability of a word after another mixes the pair's share with the word's
 share, and that with a uniform one: p1(w) = (c(w) + A) / (N + A * V),
@@ -30,6 +31,7 @@ alike. Without a target document, all losses are those of the smoothing alone.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -53,7 +55,7 @@ MAX_WORDS = 400_000
 BLOCK_BYTES = 16 << 20
 #: Parts that the n-grams are dealt to, more if a part would serve over PART_BYTES of text.
 PARTS = 128
-PART_BYTES = 64 << 20
+PART_BYTES = 16 << 20
 #: What a row without text counts for.
 _ROW_BYTES = 64
 
@@ -95,25 +97,64 @@ def counted(found: list[np.ndarray], flags: list[bool]) -> np.ndarray:
     """Rows of keys in order, background counts and target counts of the texts' n-grams."""
     if not found:
         return np.zeros((3, 0), np.uint64)
-    keys, at = np.unique(np.concatenate(found), return_inverse=True)
-    target = np.repeat(np.array(flags, float), [len(f) for f in found])
-    return np.stack([keys, np.bincount(at, minlength=len(keys)).astype(np.uint64),
-                     np.bincount(at, target, len(keys)).astype(np.uint64)])
+    keys, counts = np.unique(np.concatenate(found), return_counts=True)
+    whole = np.zeros((3, len(keys)), np.uint64)
+    whole[0], whole[1] = keys, counts
+    target = [f for f, flag in zip(found, flags) if flag]
+    if target:
+        keys, counts = np.unique(np.concatenate(target), return_counts=True)
+        whole[2, np.searchsorted(whole[0], keys)] = counts
+    return whole
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """As many bytes of each value as the largest needs, byte by byte, so that zeros lie together for Spark's compression."""
+    width = -(-int(values.max()).bit_length() // 8) if len(values) else 0
+    wide = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)
+    return bytes([width]) + wide[:, :width].T.tobytes()
+
+
+def _values(value: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """The n values of the planes at a place, and where they end."""
+    width, at = value[at], at + 1
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(value, np.uint8, width * n, at).reshape(width, n).T
+    return wide.view("<u8")[:, 0], at + width * n
 
 
 def _pack(counts: np.ndarray) -> bytes:
-    """Byte by byte and the keys as differences, so that zeros lie together for Spark's compression."""
-    keys = np.diff(counts[:1], prepend=np.uint64(0))
-    return np.ascontiguousarray(np.concatenate([keys, counts[1:]]), "<u8").view(np.uint8).reshape(
-        3, -1, 8).transpose(0, 2, 1).tobytes()
+    """A cell: how many n-grams, their keys as differences, and their counts."""
+    keys = np.diff(counts[0], prepend=np.uint64(0))
+    return struct.pack("<Q", len(keys)) + b"".join(map(_planes, (keys, counts[1], counts[2])))
 
 
 def _unpack(value: bytes) -> np.ndarray:
-    counts = np.frombuffer(value, np.uint8).reshape(3, 8, -1).transpose(0, 2, 1).copy().view("<u8")[..., 0]
+    if not value:
+        return np.zeros((3, 0), np.uint64)
+    n, at = struct.unpack_from("<Q", value)[0], 8
+    counts = np.empty((3, n), np.uint64)
+    for k in range(3):
+        counts[k], at = _values(value, at, n)
     counts[0] = np.cumsum(counts[0], dtype=np.uint64)
     return counts
 
 
+def _pack_answer(elsewhere: np.ndarray) -> bytes:
+    """Both counts of a cell's n-grams in other blocks, in the cell's order; a bit tells which occur there."""
+    found = elsewhere[0] > 0
+    return struct.pack("<Q", len(found)) + np.packbits(found).tobytes() + _planes(elsewhere[0, found]) + _planes(elsewhere[1, found])
+
+
+def _unpack_answer(value: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams of the cell, places of those that occur elsewhere, both counts of these)."""
+    n = struct.unpack_from("<Q", value)[0]
+    bits = np.frombuffer(value, np.uint8, -(-n // 8), 8)
+    places = np.flatnonzero(np.unpackbits(bits, count=n))
+    background, at = _values(value, 8 + len(bits), len(places))
+    target, _ = _values(value, at, len(places))
+    return n, places, background, target
+
+
 def _cells(parts: int):
     """A task's n-grams by block and part: the words and the pairs, packed with their counts."""
     def dealt(counts: np.ndarray) -> dict[int, bytes]:
@@ -150,37 +191,39 @@ def _cells(parts: int):
 
 
 def _answer(cells: pa.Table) -> pa.Table:
-    """For the blocks of a part, the n-grams that they do not have alone with their counts in all blocks.
+    """For the blocks of a part, how often each of their n-grams occurs in other blocks.
 
     The first row has the part's sums over words.
     """
-    columns, sums = {"block": cells["block"]}, (0, 0, 0)
+    columns, sums = {"part": cells["part"], "block": cells["block"]}, (0, 0, 0)
     for name in ("words", "pairs"):
         own = [_unpack(v) for v in cells[name].to_pylist()]
-        keys, *counts = np.concatenate(own, 1)
-        distinct, at = np.unique(keys, return_inverse=True)
-        whole = np.stack([distinct, *(np.bincount(at, n, len(distinct)).astype(np.uint64) for n in counts)])
+        distinct = np.unique(np.concatenate([c[0] for c in own]))
+        whole = np.zeros((2, len(distinct)), np.uint64)
+        for keys, *counts in own:  # a cell has a key once
+            whole[:, np.searchsorted(distinct, keys)] += counts
         if name == "words":
-            sums = int(whole[1].sum()), int(whole[2].sum()), len(distinct)
-        ends, sent = np.cumsum([c.shape[1] for c in own]).tolist(), []
-        for mine, a, z in zip(own, [0, *ends], ends):
-            places = at[a:z]
-            sent.append(_pack(whole[:, places[whole[1, places] != mine[1]]]))
-        columns[name] = pa.array(sent, pa.binary())
+            sums = int(whole[0].sum()), int(whole[1].sum()), len(distinct)
+        columns[name] = pa.array(
+            [_pack_answer(whole[:, np.searchsorted(distinct, c[0])] - c[1:]) for c in own], pa.binary())
     for name, n in zip(("total", "target_total", "distinct"), sums):
         columns[name] = pa.array([n] + [0] * (cells.num_rows - 1), pa.int64())
     return pa.table(columns)
 
 
 class Models:
-    """Counts of both models for the n-grams of a block."""
+    """Counts of both models for the n-grams of a block; answers: those of the parts, in their order, to words and pairs."""
 
     def __init__(self, own: list[np.ndarray], answers: list[list[bytes]], totals: tuple[int, int], distinct: int):
         self.counts = []
         for counts, values in zip(own, answers):
-            for keys, *found in map(_unpack, values):
-                counts[1:, np.searchsorted(counts[0], keys)] = found
-            self.counts.append((counts[0], *counts[1:].astype(np.int64)))
+            at = 0
+            for n, places, *found in map(_unpack_answer, values):
+                counts[1:, at + places] += found
+                at += n
+            if at != counts.shape[1]:
+                raise ValueError("the answers are not those of the block's n-grams")
+            self.counts.append((counts[0], *counts[1:].view(np.int64)))
         self.totals = totals
         self.vocabulary = max(distinct, 1 << WORD_BITS)
         #: Scale of the counts; the background has the target's mass.
@@ -231,7 +274,7 @@ def lm_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     cells = rows.select("text", "target", "block").mapInArrow(
         _cells(max(PARTS, -(-size // PART_BYTES))), "part int, block long, words binary, pairs binary")
     answers = shared.save(cells.groupBy("part").applyInArrow(
-        _answer, "block long, words binary, pairs binary, total long, target_total long, distinct long"), "answers")
+        _answer, "part int, block long, words binary, pairs binary, total long, target_total long, distinct long"), "answers")
     *totals, distinct = (n or 0 for n in answers.agg(F.sum("total"), F.sum("target_total"), F.sum("distinct")).first())
 
     def score(texts: pa.Table, seen: pa.Table) -> pa.Table:
@@ -239,13 +282,14 @@ def lm_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         hashed = [hashes_of(t.as_py(), hashes) for t in texts["text"]]
         targets = texts["target"].to_pylist()
         own = [counted([h[k] for h in hashed], targets) for k in (0, 1)]
+        seen = seen.sort_by("part")  # parts are ranges of keys
         found = Models(own, [seen["words"].to_pylist(), seen["pairs"].to_pylist()], totals, distinct)
         out = [(len(words), *found.losses(words, pairs, target)) for (words, pairs), target in zip(hashed, targets)]
         n, *losses = zip(*out) if out else ((), (), ())
         return pa.table({"doc_id": texts["doc_id"], "target": texts["target"], "n_words": pa.array(n, pa.int64()),
                          "target_loss": pa.array(losses[0], pa.float64()), "background_loss": pa.array(losses[1], pa.float64())})
 
-    scored = rows.groupBy("block").cogroup(answers.select("block", "words", "pairs").groupBy("block")).applyInArrow(
+    scored = rows.groupBy("block").cogroup(answers.select("block", "part", "words", "pairs").groupBy("block")).applyInArrow(
         score, "doc_id long, target boolean, n_words long, target_loss double, background_loss double")
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 

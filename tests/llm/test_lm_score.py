@@ -3,6 +3,9 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from lithogrid.llm import lm_score as X
 
 
@@ -97,3 +100,22 @@ def test_more_words_than_a_table_would_have_slots(spark, docs_of, monkeypatch):
     want = exact(rows, good)
     for r in X.lm_score(docs_of(rows), labels).collect():
         assert abs(r.target_loss - want[r.doc_id][0]) < 1e-6 and abs(r.background_loss - want[r.doc_id][1]) < 1e-6
+
+
+def test_cells_and_answers_are_small():
+    """Keys travel once, and a block gets a bit for an n-gram that no other block has."""
+    rng = np.random.default_rng(5)
+    shared, alone = (rng.integers(0, 1 << 64, n, np.uint64) for n in (2000, (8, 20_000)))
+    own = [X.counted([np.concatenate([shared, some]), shared[:1000]], [k == 0, False]) for k, some in enumerate(alone)]
+    packed = [X._pack(c) for c in own]
+    for counts, cell in zip(own, packed):
+        assert len(cell) < 11 * counts.shape[1] and np.array_equal(X._unpack(cell), counts)
+    answers = X._answer(pa.table({"part": [0] * 8, "block": range(8), "words": [b""] * 8, "pairs": packed}))
+    assert answers["words"].to_pylist() == [X._pack_answer(np.zeros((2, 0), np.uint64))] * 8
+    for block, (counts, value) in enumerate(zip(own, answers["pairs"].to_pylist())):
+        assert len(value) < counts.shape[1]
+        n, places, background, target = X._unpack_answer(value)
+        assert n == counts.shape[1] and np.array_equal(counts[0, places], np.sort(shared))
+        twice = np.isin(np.sort(shared), shared[:1000])
+        assert background.tolist() == (7 + 7 * twice).tolist()
+        assert target.tolist() == [int(block != 0)] * 2000
