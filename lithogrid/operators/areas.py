@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lithogrid.functions import planar
 from lithogrid.functions.geodesy import project
 from lithogrid.functions.values import is_finite
-from lithogrid.operators.lookup import lookup
+from lithogrid.operators.lookup import fits_broadcast, lookup
 
 # Columns that features need from their area.
 FRAME = ["voxel_size_m", "lon0", "lat0", "quad", "qx", "qz", "first_column", "last_column"]
@@ -109,6 +109,9 @@ def attach_frame(features: DataFrame, framed: DataFrame, broadcast: bool | None
 
 FINEST_CELL_DEG = 0.02
 LEVELS = 16
+#: Cells of areas that are broadcast: beyond them the salted shuffle repeats every cell.
+MAX_CELLS = 1_500_000
+MAX_CELL_BYTES = 192 * 1024 * 1024
 
 
 def _cell(degrees: str, level: str) -> str:
@@ -153,13 +156,14 @@ def level_joins(features: DataFrame, areas: DataFrame, key: str = "pos", broadca
     used = sorted(r.area_level for r in sized.select("area_level").distinct().collect())
     coarser = f"filter(cast(array({', '.join(map(str, used))}) AS array<int>), l -> l > own_level)"
     placed = features.withColumn("own_level", F.expr(level))
-    meet = ["level", "cx", "cy"]
-    finer_areas = lookup(
-        cells(placed.withColumn("level", F.col("own_level"))),
-        boxes(sized.withColumn("level", F.explode(F.expr(f"sequence(area_level, {LEVELS - 1})")))),
-        meet, "inner", spread_by=(key,), broadcast=broadcast)
-    coarser_areas = lookup(
-        cells(placed.withColumn("level", F.explode(F.expr(coarser)))),
-        boxes(sized.withColumn("level", F.col("area_level"))),
-        meet, "inner", spread_by=(key,), broadcast=broadcast)
+
+    def meet(rows: DataFrame, listed: DataFrame) -> DataFrame:
+        small = boxes(listed)
+        held = fits_broadcast(small, MAX_CELLS, MAX_CELL_BYTES) if broadcast is None else broadcast
+        return lookup(cells(rows), small, ["level", "cx", "cy"], "inner", spread_by=(key,), broadcast=held)
+
+    finer_areas = meet(placed.withColumn("level", F.col("own_level")),
+                       sized.withColumn("level", F.explode(F.expr(f"sequence(area_level, {LEVELS - 1})"))))
+    coarser_areas = meet(placed.withColumn("level", F.explode(F.expr(coarser))),
+                         sized.withColumn("level", F.col("area_level")))
     return finer_areas.unionByName(coarser_areas)

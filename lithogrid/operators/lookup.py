@@ -11,18 +11,18 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 
 
-def fits_broadcast(small: DataFrame) -> bool:
-    """Count and weigh at most ``MAX_BROADCAST_ROWS + 1`` rows."""
+def fits_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Count and weigh at most ``max_rows + 1`` rows."""
     variable = [f.name for f in small.schema.fields if isinstance(f.dataType, T.StringType)]
     fixed = 16 * len(small.columns)
     nested = 256 * sum(isinstance(f.dataType, (T.StructType, T.ArrayType)) for f in small.schema.fields)
     weight = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in variable), F.lit(fixed + nested))
     rows, size = (
-        small.limit(MAX_BROADCAST_ROWS + 1)
+        small.limit(max_rows + 1)
         .agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0)))
         .first()
     )
-    return rows <= MAX_BROADCAST_ROWS and size <= MAX_BROADCAST_BYTES
+    return rows <= max_rows and size <= max_bytes
 
 
 def lookup(

@@ -410,3 +410,17 @@ def test_pairing_makes_no_product_with_a_world_wide_area(spark):
     found = pairs.count()
     assert found == 2500 and pairs.distinct().count() == found
     assert area_ops.level_joins(features, boxes).count() < 2 * found
+
+
+def test_pairing_repeats_no_cells_of_60000_areas(spark):
+    """Their cells are broadcast once instead of shuffled 32 times."""
+    size = ["west + 0.03 + id % 4 * 0.2 AS east", "south + 0.03 + id % 4 * 0.2 AS north"]
+    boxes = spark.range(60_000).selectExpr("id", "cast(id * 53 % 4000 AS DOUBLE) / 100 AS west", "cast(id * 31 % 2000 AS DOUBLE) / 100 AS south")
+    areas = boxes.selectExpr("concat('a', id) AS area_id", "west", "south", *size)
+    features = boxes.limit(10).selectExpr("id AS pos", "west", "south", "west AS east", "south AS north")
+    pairs = area_ops.pair_areas(features, areas)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan and plan.count("broadcast") == 2
+    expected = features.join(areas.select("area_id", *[F.col(c).alias(f"a_{c}") for c in ("west", "south", "east", "north")]), F.expr(
+        "west <= a_east AND east >= a_west AND south <= a_north AND north >= a_south"))
+    assert sorted((r.pos, r.area_id) for r in pairs.collect()) == sorted((r.pos, r.area_id) for r in expected.collect())
