@@ -45,4 +45,5 @@ def lookup(
         return big.join(F.broadcast(small), keys, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS).cast("bigint")))
     repeated = small.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    # by size of files alone Spark may broadcast either side, however many rows are made of it
+    return salted.join(repeated.hint("merge"), [*keys, "_salt"], how).drop("_salt")

@@ -424,3 +424,13 @@ def test_pairing_repeats_no_cells_of_60000_areas(spark):
     expected = features.join(areas.select("area_id", *[F.col(c).alias(f"a_{c}") for c in ("west", "south", "east", "north")]), F.expr(
         "west <= a_east AND east >= a_west AND south <= a_north AND north >= a_south"))
     assert sorted((r.pos, r.area_id) for r in pairs.collect()) == sorted((r.pos, r.area_id) for r in expected.collect())
+
+
+def test_salted_lookups_broadcast_neither_side(spark, tmp_path):
+    """Files of a few kB say nothing about the rows that are made of them."""
+    for name in ("big", "small"):
+        spark.range(10).select(F.col("id").alias("pos")).write.parquet(f"{tmp_path}/{name}")
+    rows = {name: spark.read.parquet(f"{tmp_path}/{name}").withColumn("area_id", F.lit("a")) for name in ("big", "small")}
+    joined = lookup(rows["big"], rows["small"].select("area_id", F.col("pos").alias("n")), ["area_id"], "inner", broadcast=False)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 100
