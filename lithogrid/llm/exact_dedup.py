@@ -47,15 +47,15 @@ def exact_classes(docs: DataFrame, digest=sha256) -> tuple[DataFrame, DataFrame,
     rows = docs.withColumn("norm", normalised()).withColumn("digest", digest(F.col("norm")))
     narrow = rows.select("doc_id", "digest", "norm")
     classes = shared.save(_contents(narrow).drop("norm"), "classes")
-    clashing = classes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
-    if clashing.isEmpty():
+    digests = classes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.sum("group_size").alias("rows"))
+    most, total = digests.agg(F.coalesce(F.max("texts"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    if most <= 1:
         classes = classes.withColumn("norm", F.lit(None).cast("string"))
     else:
-        clashing = shared.save(clashing.select("digest"), "clashing")
+        clashing = shared.save(digests.filter("texts > 1").select("digest"), "clashing")
         told = _contents(narrow.join(clashing, "digest", "left_semi"))
         alone = classes.join(clashing, "digest", "left_anti").withColumn("norm", F.lit(None).cast("string"))
         classes = shared.save(alone.unionByName(told), "told")
-    total = classes.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     return classes, rows, total
 
 

@@ -238,13 +238,11 @@ def keep_one(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     shared = Shared(docs.sparkSession)
     fps = shared.save(docs.select("doc_id", fingerprints("text").alias("fp")), "fingerprints")
     named, total = near_classes(fps, shared, limit)
-    placed = join_by_size(fps, named, "fp", "n", total, F.col("doc_id")).filter(
-        F.col("doc_id").eqNullSafe(F.col("component_id")))
-    winners = shared.save(placed.select("doc_id", "root").distinct(), "winners")
+    most = fps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).agg(F.coalesce(F.max("rows"), F.lit(0))).first()[0]
     packed = docs.select(F.struct("*").alias("row"), "doc_id", fingerprints("text").alias("fp"))
     kept = join_by_size(packed, named, "fp", "n", total, F.col("doc_id")).filter(
         F.col("doc_id").eqNullSafe(F.col("component_id")))
-    if placed.count() > winners.count():  # some rows of a component repeat its id, or have none
+    if most > 1:  # rows of a component may repeat its id, or have none
         kept = kept.dropDuplicates(["doc_id", "root"])
     return kept.select("row.*")
 
