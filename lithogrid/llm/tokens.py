@@ -31,6 +31,10 @@ _UNSPACED = re.compile(rf"{_ENDINGS}|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 # Others are cut at white space. White space beside white space stays where it is; Python knows more of it than the tokenizers.
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 _ASCII_SPACE = re.compile("[ \t\n\r\f\v]+")
+# One word to any tokenizer that cuts out runs of letters, whatever its normalizer does to it.
+_WORD = re.compile("[a-zß-öø-ÿ]+")
+#: Words that the library gets as one text.
+_JOINED = 500
 
 
 def _plain(text: str) -> bool:
@@ -81,6 +85,31 @@ class Encoder(dict):
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.pack = packer_of(self.kind)
         self.cut = unspaced_pieces if self.tokenizer.normalizer is not None else spaced_pieces
+        ending = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: By id, whether it ends a word; None where no id tells.
+        self.ends = None
+        if ending and self.cut is unspaced_pieces:
+            self.ends = np.zeros(size, bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(ending)]] = True
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode pieces; plain words many to a text, where the ids that end a word part them."""
+        alone = new
+        if self.ends is not None:
+            words, alone = [], []
+            for piece in new:
+                (words if _WORD.fullmatch(piece) else alone).append(piece)
+            some = [words[at:at + _JOINED] for at in range(0, len(words), _JOINED)]
+            for own, found in zip(some, self.tokenizer.encode_batch_fast([" ".join(own) for own in some], add_special_tokens=False)):
+                ids = np.array(found.ids, self.kind)
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                if len(stops) != len(own):  # a word has one such id at most, so one of these has none
+                    alone += own
+                    continue
+                data, stops = ids.tobytes(), (stops * self.kind.itemsize).tolist()
+                self.update(zip(own, map(data.__getitem__, map(slice, [0, *stops], stops))))
+        for piece, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            self[piece] = self.pack(found.ids)
 
     def _together(self, texts: list[str], end: bytes) -> Iterator[bytes]:
         whole = [self.added is not None and self.added.search(t) is not None for t in texts]
@@ -89,8 +118,7 @@ class Encoder(dict):
         if len(self) + len(new) > MAX_PIECES:
             self.clear()
             new = list(set().union(*cut))
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[piece] = self.pack(found.ids)
+        self._learn(new)
         for text, pieces, w in zip(texts, cut, whole):
             if w:
                 yield self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids) + end
