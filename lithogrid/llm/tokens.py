@@ -15,12 +15,15 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from lithogrid.llm.common import per_worker
 
 MAX_PIECES = 400_000
 #: Characters of the texts that are encoded together.
 TOGETHER = 1 << 21
+#: The same where the pieces are told apart without a Python string each.
+UNSPACED_TOGETHER = 1 << 22
 
 # Texts of these characters only are cut by the pattern that the tokenizers apply, where no version of Unicode differs.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -33,6 +36,12 @@ _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 _ASCII_SPACE = re.compile("[ \t\n\r\f\v]+")
 # One word to any tokenizer that cuts out runs of letters, whatever its normalizer does to it.
 _WORD = re.compile("[a-zß-öø-ÿ]+")
+# The unspaced cut over bytes of UTF-8, where every byte of a plain text from 128 on belongs to a letter À to ÿ: what
+# becomes of each byte in lower case, and its kind. Each even kind is a piece alone.
+_SPACE, _DIGIT, _LETTER, _MARK, _OTHER = 1, 2, 3, 4, 5
+_LOWER = bytes(b + 32 if 65 <= b <= 90 or 0x80 <= b <= 0x9E else b for b in range(256))
+_KINDS = bytes(_MARK if not b else _LETTER if b >= 128 or chr(b).isalpha() else _DIGIT if chr(b).isdigit()
+               else _SPACE if chr(b).isspace() else _OTHER for b in range(256))
 #: Words that the library gets as one text.
 _JOINED = 500
 
@@ -57,6 +66,26 @@ def unspaced_pieces(text: str) -> list[str]:
     return _UNSPACED.findall(text.lower()) if _plain(text) else _ASCII_SPACE.split(text)
 
 
+def unspaced_offsets(data: bytes) -> np.ndarray:
+    """Where the pieces of lower-case plain texts start, and the end. ``data``: UTF-8, a zero byte after each text.
+
+    Cuts as ``unspaced_pieces`` does; runs of white space and the zero bytes are pieces too.
+    """
+    raw, kinds = np.frombuffer(data, np.uint8), np.frombuffer(data.translate(_KINDS), np.uint8)
+    new = np.ones(len(raw) + 1, bool)
+    np.not_equal(kinds[1:], kinds[:-1], out=new[1:-1])
+    new[:-1] |= kinds & 1 == 0
+    at = np.flatnonzero(raw == ord("'"))
+    at = at[new[at] & (kinds[at + 1] == _LETTER)]
+    first, second = raw[at + 1], raw[at + 2]
+    short = np.isin(first, np.frombuffer(b"stmd", np.uint8))
+    long = np.isin(first, np.frombuffer(b"rv", np.uint8)) & (second == ord("e")) | (first == ord("l")) & (second == ord("l"))
+    some = short | long
+    new[at[some] + 1] = False
+    new[at[some] + 2 + long[some]] = True
+    return np.flatnonzero(new).astype(np.int32)
+
+
 def packer_of(kind: np.dtype):
     """Ids as bytes; ``array`` packs a short list faster than numpy does."""
     code = "H" if kind.itemsize == 2 else "I"
@@ -74,7 +103,7 @@ class Encoder(dict):
 
     def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = literal
@@ -88,7 +117,14 @@ class Encoder(dict):
         ending = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         #: By id, whether it ends a word; None where no id tells.
         self.ends = None
+        #: What plain words joined by spaces go to: the same model without the search for words in them.
+        self.words = self.tokenizer
         if ending and self.cut is unspaced_pieces:
+            how = self.tokenizer.pre_tokenizer
+            how = list(how) if isinstance(how, pre_tokenizers.Sequence) else []
+            if len(how) == 2 and isinstance(how[1], pre_tokenizers.ByteLevel):
+                self.words = Tokenizer(self.tokenizer.model)
+                self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), how[1]])
             self.ends = np.zeros(size, bool)
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(ending)]] = True
 
@@ -100,7 +136,7 @@ class Encoder(dict):
             for piece in new:
                 (words if _WORD.fullmatch(piece) else alone).append(piece)
             some = [words[at:at + _JOINED] for at in range(0, len(words), _JOINED)]
-            for own, found in zip(some, self.tokenizer.encode_batch_fast([" ".join(own) for own in some], add_special_tokens=False)):
+            for own, found in zip(some, self.words.encode_batch_fast([" ".join(own) for own in some], add_special_tokens=False)):
                 ids = np.array(found.ids, self.kind)
                 stops = np.flatnonzero(self.ends[ids]) + 1
                 if len(stops) != len(own):  # a word has one such id at most, so one of these has none
@@ -111,16 +147,48 @@ class Encoder(dict):
         for piece, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
             self[piece] = self.pack(found.ids)
 
+    def _plain_ids(self, texts: list[str], end: bytes) -> list[bytes]:
+        """Ids of plain texts that are cut unspaced: Arrow tells the pieces apart, numpy joins their ids."""
+        if not texts:
+            return []
+        data = ("\0".join(texts) + "\0").encode().translate(_LOWER)
+        offsets = unspaced_offsets(data)
+        cut = pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        which, pieces = cut.indices.to_numpy(), cut.dictionary.to_numpy(zero_copy_only=False).tolist()
+        mark = pieces.index("\0")
+        own = list(map(self.get, pieces))
+        own[mark] = end
+        new = [p for p, ids in zip(pieces, own) if ids is None]
+        if new:
+            if len(self) + len(new) > MAX_PIECES:  # what these texts have again is kept
+                known = {p: ids for p, ids in zip(pieces, own) if ids is not None and p != "\0"}
+                self.clear()
+                self.update(known)
+            self._learn(new)
+            own = list(map(self.get, pieces))
+            own[mark] = end
+        sizes = np.fromiter(map(len, own), np.int32, len(own)) // self.kind.itemsize
+        counts = sizes[which]
+        stops = np.cumsum(counts, dtype=np.int32)
+        shift = (np.cumsum(sizes, dtype=np.int32) - sizes)[which] - (stops - counts)
+        ids = np.frombuffer(b"".join(own), self.kind)[np.repeat(shift, counts) + np.arange(stops[-1], dtype=np.int32)].tobytes()
+        ends = (stops[which == mark] * self.kind.itemsize).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
     def _together(self, texts: list[str], end: bytes) -> Iterator[bytes]:
         whole = [self.added is not None and self.added.search(t) is not None for t in texts]
-        cut = [[] if w else self.cut(t) for t, w in zip(texts, whole)]
+        plain = [self.cut is unspaced_pieces and not w and _plain(t) for t, w in zip(texts, whole)]
+        done = iter(self._plain_ids([t for t, p in zip(texts, plain) if p], end))
+        cut = [[] if w or p else self.cut(t) for t, w, p in zip(texts, whole, plain)]
         new = list(set().union(*cut).difference(self))
         if len(self) + len(new) > MAX_PIECES:
             self.clear()
             new = list(set().union(*cut))
         self._learn(new)
-        for text, pieces, w in zip(texts, cut, whole):
-            if w:
+        for text, pieces, w, p in zip(texts, cut, whole, plain):
+            if p:
+                yield next(done)
+            elif w:
                 yield self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids) + end
             else:
                 yield b"".join(map(self.__getitem__, pieces)) + end
@@ -128,10 +196,11 @@ class Encoder(dict):
     def encode(self, texts: Iterable[str | None], end: int) -> Iterator[bytes]:
         """Each text's ids and then the id ``end``; a null text counts as empty."""
         mark, held, size = np.array([end], self.kind).tobytes(), [], 0
+        most = UNSPACED_TOGETHER if self.cut is unspaced_pieces else TOGETHER
         for text in texts:
             held.append(text or "")
             size += len(held[-1])
-            if size >= TOGETHER:
+            if size >= most:
                 yield from self._together(held, mark)
                 held, size = [], 0
         yield from self._together(held, mark)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from lithogrid.llm import tokens
 from lithogrid.llm.tokens import Encoder, tokenizer_path
 
 
@@ -42,3 +43,27 @@ def test_the_library_gets_few_texts():
     own.tokenizer = Watched(own.tokenizer)
     list(own.encode([" ".join(made_up(rng) for _ in range(20_000))], 1))
     assert len(own) > 5000 and own.tokenizer.texts < 100
+
+
+def test_pieces_cut_in_bytes_are_those_of_the_pattern():
+    rng = random.Random(7)
+    signs = [chr(b) for b in tokens._PLAIN] + list("''''''sstmdrevel''  09") * 8
+    texts = ["", "'", "''s", "'stuff 're 'r 'v' 'l 'll'l x'", *("".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(3000))]
+    data = "".join(t.lower() + "\0" for t in texts).encode()
+    assert "".join(t + "\0" for t in texts).encode().translate(tokens._LOWER) == data
+    at = tokens.unspaced_offsets(data).tolist()
+    got = [p for p in (data[a:b].decode() for a, b in zip(at, at[1:])) if p == "\0" or not p.isspace()]
+    assert got == [p for t in texts for p in [*tokens.unspaced_pieces(t), "\0"]]
+
+
+def test_joined_words_skip_the_word_search_and_a_full_cache_keeps_what_is_used(monkeypatch):
+    own, plain = Encoder(tokenizer_path("word_bpe_49k.json"), literal=False), Encoder(tokenizer_path("word_bpe_49k.json"))
+    own.tokenizer, own.words = Watched(own.tokenizer), Watched(own.words)
+    monkeypatch.setattr(tokens, "MAX_PIECES", 6)
+    texts = ["one two three four", "two three five six seven", "one 2 - seven"]
+    for text in texts:
+        [ids] = own.encode([text], 1)
+        assert np.frombuffer(ids, own.kind).tolist() == [*plain.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        if text == texts[1]:
+            assert sorted(own) == [" ", "five", "seven", "six", "three", "two"]
+            assert own.words.texts == 2 and own.tokenizer.texts == 1  # the space; no word went through the search
